@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.functions.columns import autumn_exposure, clip, finite_or_null, month_angle
+from ledgerloom.functions.columns import autumn_exposure, clip, finite_or_null, from_units, month_angle
 from ledgerloom.operators.panel import invoices_as_of
 from ledgerloom.settings import CALENDAR_FEATURES, EXTRA_FEATURES, KEYS, Horizon, add_months
 
@@ -26,9 +26,10 @@ def last_year_activity(grain: DataFrame, cutoffs: list[date], horizon: Horizon)
     """Spend and invoices in the same window one year before the forecast window."""
     windows = F.array(*[F.struct(F.lit(c).alias("cutoff"), F.lit(add_months(c, -12)).alias("low"),
                                  F.lit(_prior_end(c, horizon)).alias("high")) for c in cutoffs])
-    inside = F.filter(windows, lambda w: (F.col("purchase_day") >= w["low"]) & (F.col("purchase_day") < w["high"]))
-    return (grain.withColumn("_w", F.explode(inside)).select("customer_id", "_w.cutoff", "invoice_id", "revenue")
-            .groupBy(*KEYS).agg(F.sum("revenue").cast("double").alias("_spend"),
+    inside = (F.col("purchase_day") >= F.col("_w.low")) & (F.col("purchase_day") < F.col("_w.high"))
+    return (grain.withColumn("_w", F.explode(windows)).filter(inside)
+            .select("customer_id", "_w.cutoff", "invoice_id", "revenue_units")
+            .groupBy(*KEYS).agg(from_units(F.sum("revenue_units")).alias("_spend"),
                                 F.count_distinct("invoice_id").cast("double").alias("_orders")))
 
 
@@ -43,7 +44,7 @@ def _prior_end(cutoff: date, horizon: Horizon) -> date:
 
 def order_value_extras(invoices: DataFrame) -> DataFrame:
     """Value of the latest order and sample deviation of order values."""
-    value = F.col("revenue").cast("double")
+    value = from_units(F.col("revenue_units"))
     return invoices.groupBy(*KEYS).agg(
         F.max(F.struct("last_at", "first_position", value.alias("amount")))["amount"].alias("last_order_value_gbp"),
         F.stddev_samp(value).alias("order_value_std_gbp"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ledgerloom.functions.columns import clip
-from ledgerloom.operators.ingest import last_country
+from ledgerloom.functions.columns import to_units
 from ledgerloom.settings import MONTH_DAYS
 
 
@@ -16,25 +15,23 @@ def history_grain(purchases: DataFrame) -> DataFrame:
 
     Cutoffs are midnights, so a day lies wholly before or after each of them: this grain answers
     every as-of question while an invoice with lines on both sides of a cutoff stays split.
+    Only numbers and times are carried: a text value in the aggregates would turn every
+    aggregation that follows into a sort.
     """
     return purchases.groupBy("customer_id", "invoice_id", "purchase_day").agg(
         F.min("invoice_date").alias("first_at"), F.max("invoice_date").alias("last_at"),
-        F.sum("revenue").alias("revenue"), F.sum("quantity").alias("units"),
-        F.count(F.lit(1)).alias("lines"), F.min("line_position").alias("first_position"),
-        last_country())
-
-
-def before(day: Column, cutoffs: list[date]) -> Column:
-    """Array of the cutoffs after ``day``; exploding it fans a row out to its snapshots."""
-    return F.filter(F.array(*[F.lit(c) for c in sorted(cutoffs)]), lambda c: day < c)
+        F.sum(to_units(F.col("revenue"))).alias("revenue_units"), F.sum("quantity").alias("units"),
+        F.count(F.lit(1)).alias("lines"), F.min("line_position").alias("first_position"))
 
 
 def as_of(rows: DataFrame, day: str, cutoffs: list[date], trailing_days: int | None = None) -> DataFrame:
     """Rows repeated for every cutoff they precede, optionally only the last days before it."""
-    options = F.array(*[F.lit(c) for c in sorted(cutoffs)])
-    keep = lambda c: (F.col(day) < c) if trailing_days is None else (
-        (F.col(day) < c) & (F.col(day) >= F.date_sub(c, trailing_days)))
-    return rows.withColumn("cutoff", F.explode(F.filter(options, keep)))
+    day = F.col(day)
+    out = rows.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in sorted(cutoffs)])))
+    keep = day < F.col("cutoff")
+    if trailing_days is not None:
+        keep = keep & (day >= F.date_sub("cutoff", trailing_days))
+    return out.filter(keep)
 
 
 def cohort(purchases: DataFrame, cutoffs: list[date]) -> DataFrame:
@@ -43,6 +40,32 @@ def cohort(purchases: DataFrame, cutoffs: list[date]) -> DataFrame:
     return as_of(first, "_first", cutoffs).select("customer_id", "cutoff")
 
 
+def last_country(purchases: DataFrame, cutoffs: list[date], of_invoice: bool = True) -> DataFrame:
+    """Country of the latest invoice (or line) before each cutoff, one row per customer and cutoff.
+
+    Nearly all customers have one country, found by grouping on it. Only customers with several
+    go through the ordering: an invoice is placed by its earliest line and has the country of its
+    last line; lines are placed by their time.
+    """
+    known = purchases.filter(F.col("country").isNotNull())
+    per_country = known.groupBy("customer_id", "country").agg(F.min("purchase_day").alias("first_day"))
+    per_customer = per_country.groupBy("customer_id").agg(
+        F.min("first_day").alias("first_day"), F.min("country").alias("country"), F.max("country").alias("_other"))
+    one = as_of(per_customer.filter(F.col("country") == F.col("_other")), "first_day", cutoffs).select(
+        "customer_id", "cutoff", "country")
+    several = per_customer.filter(F.col("country") != F.col("_other")).select("customer_id")
+    rows = as_of(known.join(several, "customer_id", "left_semi"), "purchase_day", cutoffs)
+    if of_invoice:
+        rows = rows.groupBy("customer_id", "cutoff", "invoice_id").agg(
+            F.min("invoice_date").alias("invoice_date"), F.min("line_position").alias("at"),
+            F.max(F.struct("line_position", "country"))["country"].alias("country"))
+    else:
+        rows = rows.withColumn("at", F.col("line_position"))
+    ordered = rows.groupBy("customer_id", "cutoff").agg(
+        F.max(F.struct("invoice_date", "at", "country"))["country"].alias("country"))
+    return one.unionByName(ordered)
+
+
 def purchase_day_summary(purchases: DataFrame, cutoffs: list[date]) -> DataFrame:
     """Occasions, frequency, recency and age in months, and repeat-day mean spend per cutoff."""
     daily = (purchases.groupBy("customer_id", "purchase_day").agg(F.sum("revenue").alias("spend")))
@@ -69,10 +92,7 @@ def purchase_day_summary(purchases: DataFrame, cutoffs: list[date]) -> DataFrame
 
 def history_summary(purchases: DataFrame, cutoffs: list[date], home_country: str) -> DataFrame:
     """Purchase-day summary with the last country and the non-home flag."""
-    lines = purchases.groupBy("customer_id", "purchase_day").agg(F.max(
-        F.when(F.col("country").isNotNull(), F.struct("invoice_date", "line_position", "country"))).alias("_last"))
-    country = as_of(lines, "purchase_day", cutoffs).groupBy("customer_id", "cutoff").agg(
-        F.max("_last")["country"].alias("country"))
+    country = last_country(purchases, cutoffs, of_invoice=False)
     return (purchase_day_summary(purchases, cutoffs).join(country, ["customer_id", "cutoff"], "left")
             .withColumn("foreign", F.coalesce(F.col("country") != home_country, F.lit(True)).cast("double")))
 

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ledgerloom.scratch import materialise
 
 SKETCH_ACCURACY = 10000
-# Below this size the sketch of percentile_approx has not merged anything and is exact.
-SKETCH_EXACT_ROWS = 5000
+# Groups below this size keep all their values in the second pass.
+SMALL_GROUP = 5000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -91,16 +91,6 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str],
     return out.drop("_slice", "_row", *[f"_b_{name}" for name in totals])
 
 
-def sketch_median(c: Column) -> Column:
-    """Median aggregate with bounded memory; exact for groups under ``SKETCH_EXACT_ROWS`` rows.
-
-    The sketch returns the lower middle element; the negated sketch returns the upper one.
-    """
-    lower = F.percentile_approx(c, F.lit(0.5), F.lit(SKETCH_ACCURACY))
-    upper = -F.percentile_approx(-c, F.lit(0.5), F.lit(SKETCH_ACCURACY))
-    return (lower + upper) / 2
-
-
 def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float],
                     groups: list[str] | None = None, few_groups: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles: (groups…, variable, probability, quantile, n).
@@ -124,7 +114,7 @@ def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float]
         F.count(F.lit(1)).alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
         F.percentile_approx("value", F.array(*[F.lit(x) for x in marks]),
                             F.lit(SKETCH_ACCURACY)).alias("_marks"))
-        .withColumn("_small", F.col("n") < SKETCH_EXACT_ROWS))
+        .withColumn("_small", F.col("n") < SMALL_GROUP))
     structs = []
     for i, p in enumerate(probabilities):
         structs.append(F.struct(

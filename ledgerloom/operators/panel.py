@@ -6,13 +6,15 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.columns import clip, days_between, finite_or_null
-from ledgerloom.operators.history import as_of, history_grain
-from ledgerloom.operators.ordering import SKETCH_EXACT_ROWS, exact_medians, sketch_median
+from ledgerloom.functions.columns import clip, days_between, finite_or_null, from_units
+from ledgerloom.operators.history import as_of, history_grain, last_country
+from ledgerloom.operators.ordering import exact_medians
 from ledgerloom.scratch import materialise
-from ledgerloom.settings import KEYS, MONTH_DAYS, NUMERIC_FEATURES, SPEND_WINDOWS, WEEK_CHANNELS, WEEKS
+from ledgerloom.settings import KEYS, NUMERIC_FEATURES, SPEND_WINDOWS, WEEK_CHANNELS, WEEKS
 
 WINDOW_DAYS = WEEKS * 7
+# Largest number of values of one customer that a task may gather.
+GATHER_LIMIT = 10000
 
 
 def _since(day: Column, days: int) -> Column:
@@ -25,32 +27,29 @@ def invoices_as_of(grain: DataFrame, cutoffs: list[date]) -> DataFrame:
     ``last_day`` is the day of the latest line before the cutoff, so an invoice has a line in
     ``[cutoff - N, cutoff)`` exactly if ``last_day >= cutoff - N``; spend sums the lines.
     """
-    spend = [F.sum(F.when(_since(F.col("purchase_day"), n), F.col("revenue"))).alias(f"spend_{n}")
+    spend = [F.sum(F.when(_since(F.col("purchase_day"), n), F.col("revenue_units"))).alias(f"spend_{n}")
              for n in SPEND_WINDOWS]
     return as_of(grain, "purchase_day", cutoffs).groupBy("customer_id", "cutoff", "invoice_id").agg(
         F.min("first_at").alias("invoice_date"), F.max("last_at").alias("last_at"),
         F.max("purchase_day").alias("last_day"),
-        F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum("lines").alias("lines"),
-        F.min("first_position").alias("first_position"), F.max("last_line").alias("last_line"), *spend)
+        F.sum("revenue_units").alias("revenue_units"), F.sum("units").alias("units"), F.sum("lines").alias("lines"),
+        F.min("first_position").alias("first_position"), *spend)
 
 
 def order_features(invoices: DataFrame) -> DataFrame:
-    """Recency, frequency, money, gaps and trailing windows per customer and cutoff."""
+    """Recency, frequency, money, gaps and trailing windows per customer and cutoff (no median)."""
     def mean(total: Column) -> Column:
         return total / F.col("purchase_count")
 
     sums = invoices.groupBy(*KEYS).agg(
         F.min("invoice_date").alias("first_purchase"), F.max("invoice_date").alias("last_purchase"),
         F.count(F.lit(1)).alias("purchase_count"),
-        F.sum("revenue").cast("double").alias("lifetime_revenue_gbp"),
-        sketch_median(F.col("revenue").cast("double")).alias("median_order_value_gbp"),
-        F.max("revenue").cast("double").alias("max_order_value_gbp"),
+        from_units(F.sum("revenue_units")).alias("lifetime_revenue_gbp"),
+        from_units(F.max("revenue_units")).alias("max_order_value_gbp"),
         F.sum("units").alias("_units"), F.sum("lines").alias("_lines"),
-        F.max(F.struct("invoice_date", "first_position", F.col("last_line.country").alias("country")))["country"]
-        .alias("country"),
         F.count_distinct(F.to_date("invoice_date")).alias("purchase_day_count"),
         *[F.count_if(_since(F.col("last_day"), n)).cast("double").alias(f"orders_{n}d") for n in SPEND_WINDOWS],
-        *[F.coalesce(F.sum(f"spend_{n}").cast("double"), F.lit(0.0)).alias(f"spend_{n}d_gbp") for n in SPEND_WINDOWS])
+        *[from_units(F.coalesce(F.sum(f"spend_{n}"), F.lit(0))).alias(f"spend_{n}d_gbp") for n in SPEND_WINDOWS])
     at = F.col("cutoff").cast("timestamp_ntz")
     days = F.col("purchase_day_count")
     span = F.datediff(F.to_date("last_purchase"), F.to_date("first_purchase"))
@@ -126,17 +125,19 @@ def dense_weeks(bins: DataFrame, first_days: DataFrame) -> DataFrame:
         (WEEKS - F.coalesce("_active", F.lit(0))).alias("zero_purchase_weeks_26w")))
 
 
-def _exact_hot_medians(features: DataFrame, grain: DataFrame, cutoffs: list[date]) -> DataFrame:
-    """Replace sketched medians of customers with very many invoices by exact ones."""
-    hot = (grain.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_rows"))
-           .filter(F.col("_rows") >= SKETCH_EXACT_ROWS).select("customer_id"))
+def median_order_values(invoices: DataFrame) -> DataFrame:
+    """Exact median order value. ``invoices`` is read several times, so it should be stored.
+
+    ``median`` gathers a group's values, which is fine for ordinary customers. Customers with
+    very many invoices are left out of it and go through the distributed quantiles.
+    """
+    values = invoices.select(*KEYS, from_units(F.col("revenue_units")).alias("median_order_value_gbp"))
+    hot = values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GATHER_LIMIT).select(*KEYS)
+    usual = F.median("median_order_value_gbp").alias("median_order_value_gbp")
     if hot.isEmpty():
-        return features
-    rows = invoices_as_of(grain.join(hot, "customer_id", "left_semi"), cutoffs)
-    exact = exact_medians(rows.select(*KEYS, "revenue"), ["revenue"], KEYS, "_exact")
-    return (features.join(exact, KEYS, "left")
-            .withColumn("median_order_value_gbp", F.coalesce("revenue_exact", "median_order_value_gbp"))
-            .drop("revenue_exact"))
+        return values.groupBy(*KEYS).agg(usual)
+    rest = values.join(hot, KEYS, "left_anti").groupBy(*KEYS).agg(usual)
+    return rest.unionByName(exact_medians(values.join(hot, KEYS, "left_semi"), ["median_order_value_gbp"], KEYS))
 
 
 def build_panel(purchases: DataFrame, credits: DataFrame, cutoffs: list[date], horizon_days: int = 90,
@@ -147,9 +148,11 @@ def build_panel(purchases: DataFrame, credits: DataFrame, cutoffs: list[date], h
     partitioning. Pass a stored ``grain`` to share it with other operators.
     """
     grain = materialise(history_grain(purchases), "grain") if grain is None else grain
-    orders = _exact_hot_medians(order_features(invoices_as_of(grain, cutoffs)), grain, cutoffs)
+    invoices = materialise(invoices_as_of(grain, cutoffs), "invoices")
+    orders = order_features(invoices)
     weeks = dense_weeks(weekly_bins(purchases, cutoffs), orders.select(*KEYS, "first_purchase"))
-    panel = (orders.join(product_features(purchases, cutoffs), KEYS)
+    panel = (orders.join(median_order_values(invoices), KEYS, "left").join(last_country(purchases, cutoffs), KEYS, "left")
+             .join(product_features(purchases, cutoffs), KEYS)
              .join(credit_features(credits, cutoffs), KEYS, "left").join(weeks, KEYS))
     panel = panel.withColumns({
         "credit_amount_365d_gbp": F.coalesce("credit_amount_365d_gbp", F.lit(0.0)),

@@ -13,8 +13,8 @@ def forward_windows(rows: DataFrame, day: str, cutoffs: list[date], horizons: li
     """Rows repeated for every (cutoff, horizon) window ``[cutoff, end)`` that holds their day."""
     options = F.array(*[F.struct(F.lit(c).alias("cutoff"), F.lit(h.name).alias("horizon"), F.lit(h.end(c)).alias("end"))
                         for c in sorted(cutoffs) for h in horizons])
-    inside = F.filter(options, lambda w: (F.col(day) >= w["cutoff"]) & (F.col(day) < w["end"]))
-    return rows.withColumn("_w", F.explode(inside)).select("*", "_w.cutoff", "_w.horizon").drop("_w")
+    inside = (F.col(day) >= F.col("_w.cutoff")) & (F.col(day) < F.col("_w.end"))
+    return rows.withColumn("_w", F.explode(options)).filter(inside).select("*", "_w.cutoff", "_w.horizon").drop("_w")
 
 
 def future_activity(purchases: DataFrame, cutoffs: list[date], horizons: list[Horizon]) -> DataFrame:
@@ -36,8 +36,7 @@ def build_targets(purchases: DataFrame, cohort: DataFrame, cutoffs: list[date],
                               F.lit(h.end(c)).alias("horizon_end_exclusive"),
                               F.lit(h.end(c) <= complete_end).alias("label_mature"))
                      for c in sorted(cutoffs) for h in horizons])
-    rows = (cohort.select(*KEYS)
-            .withColumn("_h", F.explode(F.filter(ends, lambda e: e["cutoff"] == F.col("cutoff"))))
+    rows = (cohort.select(*KEYS).withColumn("_h", F.explode(ends)).filter(F.col("_h.cutoff") == F.col("cutoff"))
             .select(*KEYS, "_h.horizon", "_h.horizon_end_exclusive", "_h.label_mature"))
     joined = rows.join(future_activity(purchases, cutoffs, horizons), KEYS + ["horizon"], "left")
     mature = F.col("label_mature")

@@ -43,7 +43,7 @@ def event_purchases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_rows(spark: SparkSession, folder: str, cutoffs: list[date] = CUTOFFS) -> DataFrame:
-    """Order features of every snapshot, without the weekly sequence."""
+    """Order features of every snapshot, without median, country and weekly sequence."""
     return panel.order_features(panel.invoices_as_of(history.history_grain(purchases(spark, folder)), cutoffs))
 
 
@@ -97,7 +97,8 @@ def rule_forecasts(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """History, risk, revenue and segments of every snapshot from closed-form rules, stored once."""
-    rows = materialise(order_rows(spark, folder).select(
+    sold = purchases(spark, folder)
+    rows = materialise(order_rows(spark, folder).join(history.last_country(sold, CUTOFFS), KEYS, "left").select(
         *KEYS, "country", "recency_days", "tenure_days", F.col("purchase_count").cast("double").alias("purchase_count"),
         "purchase_day_count", "avg_order_value_gbp", "lifetime_revenue_gbp", "spend_90d_gbp", "spend_365d_gbp"), "review")
     risk = rows.select(*KEYS, (F.col("recency_days") / (F.col("recency_days") + 90)).alias("rule_risk"))

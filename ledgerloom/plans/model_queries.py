@@ -1 +1,248 @@
+"""Registered queries with fitted models; they have no SQL counterpart.
+
+All of them learn from the labelled panel of the given tables. Iteration counts are smaller than
+the defaults of the models so that a query stays interactive; the rows are never reduced.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import boosting, history, metrics, models, segments, selection, targets
+from ledgerloom.operators.behaviour import (BetaGeoNbd, GammaGamma, ParetoNbd, bg_value, for_cohort, pareto_value,
+                                            penalty_sweep, quadrature_check)
+from ledgerloom.operators.design import additive_design, logged_design, plain_design, spline_design
+from ledgerloom.plans import inputs as I
+from ledgerloom.scratch import materialise
+from ledgerloom.settings import (CALENDAR_FEATURES, EXTRA_FEATURES, KEYS, LOGISTIC_SPLINE_FEATURES, NINETY_DAYS,
+                                 NUMERIC_FEATURES, REVENUE_SPLINE_FEATURES, SEED)
+
 MODEL_QUERIES = {}
+VALUE_FEATURES = NUMERIC_FEATURES + CALENDAR_FEATURES + EXTRA_FEATURES
+
+
+def query(f):
+    MODEL_QUERIES[f.__name__] = lambda spark, folder: I.rounded(f(spark, folder))
+    return f
+
+
+def _classified(scored):
+    return scored.select(*KEYS, F.col("inactive").cast("int").alias("y"), "p")
+
+
+def _splits(spark, d):
+    parts = models.split_by_cutoff(I.labelled_panel(spark, d), {
+        "training": I.TRAINING, "development": [I.DEVELOPMENT], "calibration": [I.CALIBRATION], "final_test": [I.FINAL]})
+    return parts
+
+
+def _inactivity(make):
+    def run(spark, d):
+        parts = _splits(spark, d)
+        return _classified(make().fit(parts["training"]).predict(parts["development"]))
+    return run
+
+
+def _revenue(make):
+    def run(spark, d):
+        rows = I.labelled_panel(spark, d)
+        cohort = targets.scoring_cohort(rows, I.FINAL)
+        scored = make().fit(targets.available_training(rows, I.FINAL)).predict(cohort)
+        bounds = [c for c in ("lower", "upper") if c in scored.columns]
+        return scored.select(*KEYS, F.col("future_revenue_gbp").alias("actual"), "predicted", *bounds)
+    return run
+
+
+def _named(name, f):
+    f.__name__ = name
+    return query(f)
+
+
+_named("recency_logistic", _inactivity(lambda: models.LogisticModel(plain_design(["recency_days"], country=False), 0.2)))
+_named("full_logistic", _inactivity(lambda: models.LogisticModel(plain_design(NUMERIC_FEATURES), 0.25)))
+_named("logistic_splines", _inactivity(lambda: models.LogisticModel(spline_design(LOGISTIC_SPLINE_FEATURES), 0.2)))
+_named("forest_classifier", _inactivity(lambda: models.TreeClassifier(plain_design(NUMERIC_FEATURES, scale=False), trees=30)))
+_named("boosted_classifier", _inactivity(lambda: models.TreeClassifier(
+    plain_design(NUMERIC_FEATURES, scale=False), kind="boosted", trees=10, depth=3, step=0.2, columns_per_split="0.82",
+    row_share=0.82)))
+_named("purchase_hazard", _inactivity(lambda: models.PurchaseHazard(plain_design(NUMERIC_FEATURES))))
+_named("weekly_network", _inactivity(lambda: models.WeeklyNetwork(plain_design(NUMERIC_FEATURES), iterations=30)))
+
+
+@query
+def network_ensemble(spark, d):
+    parts = _splits(spark, d)
+    return _classified(models.seed_ensemble(
+        lambda seed: models.WeeklyNetwork(plain_design(NUMERIC_FEATURES), hidden=16, iterations=15, seed=seed),
+        [SEED, SEED + 1, SEED + 2], parts["training"], parts["development"]))
+
+
+@query
+def calibrated_logistic(spark, d):
+    """Refit on training and development, calibrate on the next cutoff, score the last one."""
+    rows = I.labelled_panel(spark, d)
+    parts = _splits(spark, d)
+    model = models.LogisticModel(plain_design(NUMERIC_FEATURES), 0.25).fit(
+        rows.filter(F.col("label_mature") & F.col("cutoff").isin(I.TRAINING + [I.DEVELOPMENT])))
+    platt = models.Platt().fit(model.predict(parts["calibration"]))
+    return _classified(platt.predict(model.predict(parts["final_test"])))
+
+
+_named("tweedie_glm", _revenue(lambda: models.RevenueGlm(plain_design(NUMERIC_FEATURES), "tweedie", alpha=4.0)))
+_named("hurdle_glm", _revenue(lambda: models.RevenueGlm(plain_design(NUMERIC_FEATURES), "hurdle", alpha=2.0)))
+_named("frequency_severity_glm", _revenue(lambda: models.RevenueGlm(
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "frequency_severity", alpha=1.0)))
+_named("tweedie_splines", _revenue(lambda: models.RevenueGlm(
+    additive_design(REVENUE_SPLINE_FEATURES, CALENDAR_FEATURES), "tweedie", alpha=0.3)))
+_named("hurdle_splines", _revenue(lambda: models.RevenueGlm(
+    additive_design(REVENUE_SPLINE_FEATURES, CALENDAR_FEATURES), "hurdle", alpha=0.3)))
+_named("forest_regressor", _revenue(lambda: models.TreeRegressor(plain_design(NUMERIC_FEATURES, scale=False), trees=30)))
+_named("boosted_median", _revenue(lambda: models.TreeRegressor(
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "absolute", trees=10, depth=4, min_rows=40, step=0.2)))
+_named("boosted_tweedie", _revenue(lambda: boosting.LogLinkBoosting(
+    plain_design(VALUE_FEATURES, scale=False), "tweedie", rounds=8, step=0.2)))
+_named("boosted_poisson", _revenue(lambda: boosting.LogLinkBoosting(
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "poisson", rounds=6, depth=4, step=0.2, min_rows=40, row_share=1.0)))
+_named("boosted_hurdle", _revenue(lambda: boosting.BoostedHurdle(
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), trees=6, step=0.2)))
+_named("lognormal_hurdle", _revenue(lambda: models.LogNormalHurdle(
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), trees=8, step=0.2)))
+
+
+# --- Behaviour --------------------------------------------------------------------------
+
+
+def _summary(spark, d, cutoff):
+    return materialise(history.history_summary(I.purchases(spark, d), [cutoff], I.HOME), "summary")
+
+
+def _with_actual(spark, d, predictions):
+    labels = targets.scoring_cohort(I.labelled_panel(spark, d), I.FINAL)
+    return for_cohort(predictions, labels).join(labels.select(*KEYS, F.col("future_revenue_gbp").alias("actual")), KEYS)
+
+
+@query
+def bg_nbd_value(spark, d):
+    summary = _summary(spark, d, I.FINAL)
+    return _with_actual(spark, d, bg_value(summary, 90, BetaGeoNbd.fit(summary), GammaGamma.fit(summary)))
+
+
+@query
+def pareto_value_90d(spark, d):
+    summary = _summary(spark, d, I.FINAL)
+    return _with_actual(spark, d, pareto_value(summary, 90, ParetoNbd().fit(summary), GammaGamma.fit(summary)))
+
+
+@query
+def seasonal_pareto_value(spark, d):
+    summary = _summary(spark, d, I.FINAL)
+    return _with_actual(spark, d, pareto_value(summary, 90, ParetoNbd(seasonal=True).fit(summary), GammaGamma.fit(summary)))
+
+
+@query
+def penalty_sensitivity(spark, d):
+    summary = _summary(spark, d, I.CALIBRATION)
+    labels = targets.scoring_cohort(I.labelled_panel(spark, d), I.CALIBRATION).select(
+        *KEYS, F.col("future_revenue_gbp").alias("actual"))
+    rows = materialise(penalty_sweep(summary, labels, 90, [0.0, 1e-5, 1e-4, 1e-3, 1e-2]), "sweep")
+    return metrics.revenue_metrics(rows, groups=["model", "bg_a", "bg_b", "gamma_q"])
+
+
+@query
+def quadrature_audit(spark, d):
+    import numpy as np
+    summary = _summary(spark, d, I.FINAL)
+    out = None
+    for seasonal in (False, True):
+        theta = np.concatenate([np.log([0.6, 2.0, 0.4, 9.0]), [0.3, 0.1, -0.1] if seasonal else []])
+        part = quadrature_check(ParetoNbd(seasonal, theta=theta), summary, 90).select(F.lit(seasonal).alias("seasonal"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- Segments ---------------------------------------------------------------------------
+
+
+@query
+def segment_candidates(spark, d):
+    train = I.labelled_panel(spark, d).filter(F.col("cutoff") == F.lit(I.CALIBRATION))
+    return segments.kmeans_candidates(train, [2, 3], [SEED, SEED + 1], restarts=1)[0]
+
+
+@query
+def segment_assignments(spark, d):
+    """Segments and soft membership of the later cohort in the space fitted on the earlier one."""
+    rows = I.labelled_panel(spark, d)
+    train, later = (rows.filter(F.col("cutoff") == F.lit(c)) for c in (I.CALIBRATION, I.FINAL))
+    space = segments.SegmentSpace(True).fit(train)
+    points = space.transform(train).select(*KEYS, "z")
+    hard = segments.best_kmeans(points, 2, SEED, 2)
+    soft = min(segments.fit_mixtures(points, [2, 3], starts=1, max_iter=30), key=lambda m: m.bic(points.count()))
+    assigned = soft.assign(hard.transform(space.transform(later)))
+    return assigned.select(*KEYS, F.col("segment").alias("kmeans_segment"), "gmm_segment", "gmm_max_membership")
+
+
+@query
+def mixture_candidates(spark, d):
+    train = I.labelled_panel(spark, d).filter(F.col("cutoff") == F.lit(I.CALIBRATION))
+    points = segments.SegmentSpace(True).fit(train).transform(train).select(*KEYS, "z")
+    found = segments.fit_mixtures(points, range(2, 5), starts=1, max_iter=30)
+    return segments.mixture_table(spark, found, points.count())
+
+
+@query
+def segment_projection(spark, d):
+    rows = I.labelled_panel(spark, d)
+    train, later = (rows.filter(F.col("cutoff") == F.lit(c)) for c in (I.CALIBRATION, I.FINAL))
+    space = segments.SegmentSpace(True).fit(train)
+    points = space.transform(train).select(*KEYS, "z")
+    soft = segments.fit_mixtures(points, [3], starts=1, max_iter=20)[0]
+    return segments.projection(space, segments.best_kmeans(points, 2, SEED, 1), space, soft,
+                               {"fit": train, "assignment": later})
+
+
+# --- Comparison -------------------------------------------------------------------------
+
+
+@query
+def rolling_evaluation(spark, d):
+    """Leaderboard over origins; models learn only from outcomes that had ended."""
+    rows = I.labelled_panel(spark, d)
+    sold = I.purchases(spark, d)
+
+    def recent(train, cohort):
+        return cohort.withColumn("predicted", models.recent_spend(90, 90))
+
+    def hurdle(train, cohort):
+        return models.RevenueGlm(plain_design(NUMERIC_FEATURES), "hurdle", alpha=2.0).fit(train).predict(cohort)
+
+    def behaviour(train, cohort):
+        summary = materialise(history.purchase_day_summary(sold, [cohort.first()["cutoff"]]), "summary")
+        return for_cohort(bg_value(summary, 90, BetaGeoNbd.fit(summary), GammaGamma.fit(summary)), cohort)
+
+    predictions, statuses = models.rolling_origins(
+        rows, [I.CALIBRATION, I.FINAL], {"recent_spend": recent, "hurdle_glm": hurdle, "bg_nbd": behaviour}, "90d")
+    scored = metrics.revenue_metrics(predictions, groups=["model", "cutoff"]).join(statuses, ["model", "cutoff"])
+    return selection.leaderboard(scored)
+
+
+@query
+def bootstrap_improvement(spark, d):
+    rows = materialise(I.rule_forecasts(spark, d), "forecasts")
+    differences = metrics.improvement(rows.filter("model = 'recent_spend'"), rows.filter("model = 'run_rate'"))
+    return metrics.bootstrap_difference(differences)
+
+
+@query
+def replay_audit(spark, d):
+    """Two scorings of the same model agree, and two builds of the labels are identical."""
+    parts = _splits(spark, d)
+    model = models.LogisticModel(plain_design(["recency_days"], country=False), 0.2).fit(parts["training"])
+    first = materialise(model.predict(parts["development"], "predicted").select(*KEYS, "predicted"), "scores")
+    again = model.predict(parts["development"], "predicted")
+    same = metrics.identical_tables(*[I.target_rows(spark, d, [NINETY_DAYS]) for _ in range(2)])
+    replay = metrics.replay_difference(first, again)
+    return replay.select(F.lit("replay").alias("check_name"), F.col("unmatched_keys").alias("rows"),
+                         F.col("max_absolute_difference")).unionByName(
+        same.select(F.concat(F.lit("rebuild_"), "side").alias("check_name"), "rows",
+                    F.lit(0.0).alias("max_absolute_difference")))

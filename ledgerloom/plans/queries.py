@@ -65,7 +65,11 @@ def purchase_invoices(spark, d):
 
 @query
 def customer_rfm(spark, d):
-    return I.order_rows(spark, d).select(
+    sold = I.purchases(spark, d)
+    invoices = materialise(panel.invoices_as_of(history.history_grain(sold), I.CUTOFFS), "invoices")
+    rows = (panel.order_features(invoices).join(panel.median_order_values(invoices), KEYS, "left")
+            .join(history.last_country(sold, I.CUTOFFS), KEYS, "left"))
+    return rows.select(
         *KEYS, "country", "first_purchase", "last_purchase", "recency_days", "tenure_days", "history_days", "purchase_count",
         "purchase_day_count", "repeat_purchase_day_count", "lifetime_revenue_gbp", "avg_order_value_gbp",
         "median_order_value_gbp", "max_order_value_gbp", "avg_basket_units", "avg_basket_lines",
@@ -112,7 +116,8 @@ def customer_panel(spark, d):
 @query
 def event_recency(spark, d):
     """Snapshots of the event stream: fractional-second timestamps and day-based windows."""
-    rows = panel.order_features(panel.invoices_as_of(history.history_grain(I.event_purchases(spark, d)), [I.EVENT_CUTOFF]))
+    invoices = materialise(panel.invoices_as_of(history.history_grain(I.event_purchases(spark, d)), [I.EVENT_CUTOFF]), "invoices")
+    rows = panel.order_features(invoices).join(panel.median_order_values(invoices), KEYS)
     return rows.select(*KEYS, "recency_days", "tenure_days", "purchase_count", "purchase_day_count",
                        "mean_days_between_purchase_days", "lifetime_revenue_gbp", "median_order_value_gbp", "orders_30d")
 
