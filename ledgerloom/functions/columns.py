@@ -7,36 +7,36 @@ import math
 from pyspark.sql import Column, functions as F
 
 
-def finite_or_null(c: Column) -> Column:
-    """NaN and infinities become NULL."""
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+def finite_or_null(c: str) -> str:
+    """SQL: NaN and infinities become NULL (NaN compares greater than every number)."""
+    return f"CASE WHEN abs({c}) < double('Infinity') THEN {c} END"
 
 
-def to_units(money: Column) -> Column:
-    """Money as whole ten-thousandths: sums stay exact and much cheaper than wide decimals.
+def to_units(money: str) -> str:
+    """SQL: money as whole ten-thousandths. Sums stay exact and much cheaper than wide decimals.
 
     An overflow (beyond 900 trillion) raises instead of wrapping.
     """
-    return (money * 10000).cast("bigint")
+    return f"CAST({money} * 10000 AS BIGINT)"
 
 
-def from_units(units: Column) -> Column:
-    return units / F.lit(10000.0)
+def from_units(units: str) -> str:
+    return f"({units}) / 10000D"
 
 
 def is_finite(c: Column) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 
 
-def seconds_of_day(ts: Column) -> Column:
-    # extract(SECOND) keeps the fraction; hour/minute/second of a zone-less timestamp are zone-free.
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts).cast("double")
+def days_between(later: str, earlier: str) -> str:
+    """SQL: elapsed days between two zone-less timestamps, with the fraction of a day.
 
-
-def days_between(later: Column, earlier: Column) -> Column:
-    """Elapsed days between two zone-less timestamps, with the fraction of a day."""
-    whole = F.datediff(F.to_date(later), F.to_date(earlier)).cast("double")
-    return whole + (seconds_of_day(later) - seconds_of_day(earlier)) / F.lit(86400.0)
+    The fields of a zone-less timestamp are read without any time zone; extract(SECOND) keeps
+    the fraction.
+    """
+    def seconds(ts: str) -> str:
+        return f"(hour({ts}) * 3600 + minute({ts}) * 60 + CAST(extract(SECOND FROM {ts}) AS DOUBLE))"
+    return f"(datediff(to_date({later}), to_date({earlier})) + ({seconds(later)} - {seconds(earlier)}) / 86400D)"
 
 
 def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:

@@ -1,55 +1,53 @@
 """Design matrices fitted on training rows only and applied to any later cohort.
 
 Fitting is a few aggregates (medians, moments, ranges, category counts); a fitted design is a
-list of column expressions, so applying it stays inside the scan that feeds the model.
+list of SQL expressions, so applying it stays inside the scan that feeds the model.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.columns import clip, log1p_nonnegative
+from ledgerloom.functions.columns import log1p_nonnegative
 from ledgerloom.operators.ordering import exact_medians
 
 MAX_CATEGORIES = 5000
 
 
-def cubic_bump(u: Column) -> Column:
-    """Uniform cubic B-spline over four unit intervals."""
-    def poly(a, b, c, d):
-        return (((a * u + b) * u + c) * u + d) / 6
-    return (F.when((u < 0) | (u >= 4), F.lit(0.0)).when(u < 1, poly(1, 0, 0, 0))
-            .when(u < 2, poly(-3, 12, -12, 4)).when(u < 3, poly(3, -24, 60, -44))
-            .otherwise(poly(-1, 12, -48, 64)))
-
-
-def spline_basis(x: Column, low: float, high: float, knots: int = 5, extrapolation: str = "constant",
-                 include_last: bool = False) -> list[Column]:
-    """Cubic B-spline basis with equally spaced knots on [low, high].
+def spline_basis(position: str, offset: str, interval: str, knots: int, extrapolation: str) -> list[str]:
+    """SQL of a cubic B-spline basis on equally spaced knots, the last function left out.
 
+    ``position`` is (x - low) / knot width, ``interval`` its knot interval and ``offset`` the
+    place inside it. Only four functions are alive in an interval, each a cubic in the offset.
     Beyond the range the basis is frozen (``constant``) or continued with its boundary slope
     (``linear``).
     """
-    width = (high - low) / (knots - 1)
-    count = knots + 2
-    inside = clip(x, low, high)
-    # Slopes (per knot width) of the three functions alive at a boundary knot.
+    t = offset
+    pieces = [f"(1 - {t}) * (1 - {t}) * (1 - {t}) / 6", f"((3 * {t} - 6) * {t} * {t} + 4) / 6",
+              f"(((-3 * {t} + 3) * {t} + 3) * {t} + 1) / 6", f"{t} * {t} * {t} / 6"]
+    # Slopes per knot width of the three functions alive at a boundary knot.
     slopes = (-0.5, 0.0, 0.5)
     out = []
-    for i in range(count if include_last else count - 1):
-        value = cubic_bump((inside - (low + (i - 3) * width)) / width)
-        if extrapolation == "linear":
-            if i < 3:
-                value = value + slopes[i] * F.least(x - low, F.lit(0.0)) / width
-            if count - 3 <= i:
-                value = value + slopes[i - (count - 3)] * F.greatest(x - high, F.lit(0.0)) / width
-        out.append(value)
+    for i in range(knots + 1):
+        cases = " ".join(f"WHEN {i - k} THEN {piece}" for k, piece in enumerate(pieces) if 0 <= i - k < knots - 1)
+        value = f"CASE {interval} {cases} ELSE 0D END"
+        if extrapolation == "linear" and i < 3 and slopes[i]:
+            value += f" + {slopes[i]}D * least({position}, 0D)"
+        if extrapolation == "linear" and 0 <= i - (knots - 1) < 3 and slopes[i - (knots - 1)]:
+            value += f" + {slopes[i - (knots - 1)]}D * greatest({position} - {knots - 1}, 0D)"
+        out.append(f"({value})")
     return out
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Design:
     """What goes into the matrix; ``fit`` turns it into a ``FittedDesign``."""
@@ -63,6 +61,7 @@ class Design:
     indicators: str = "fitted"         # "fitted" (columns with NULLs at fit), "all" or "none"
     log_indicators: bool = False
     extrapolation: str = "constant"
+    knots: int = 5
     pool_below: int = 0                # country categories rarer than this share one column
 
     def fit(self, train: DataFrame) -> "FittedDesign":
@@ -82,20 +81,21 @@ class Design:
             rare = sorted(r["c"] for r in counts if r["count"] < self.pool_below)
         fitted = FittedDesign(self, medians, tuple(with_nulls), tuple(frequent), tuple(rare))
         if self.splines:
-            values = [fitted.filled(c) for c in self.splines]
-            moments = train.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values)
-                                  for n, f in (("low", F.min), ("high", F.max), ("sd", F.stddev_pop))]).first()
+            filled = train.selectExpr(*[f"{fitted.filled(c)} AS s{i}" for i, c in enumerate(self.splines)])
+            moments = filled.agg(*[f(f"s{i}").alias(f"{n}{i}") for i in range(len(self.splines))
+                                   for n, f in (("low", F.min), ("high", F.max), ("sd", F.stddev_pop))]).first()
             ranges = {c: (float(moments[f"low{i}"]), float(moments[f"high{i}"])) for i, c in enumerate(self.splines)
                       if moments[f"sd{i}"] > 1e-10}  # constant columns have no basis
             fitted = replace(fitted, ranges=ranges)
         if self.scale != "none":
-            columns = fitted.columns(scaled=False)
-            wanted = columns if self.scale == "all" else [c for c in columns if c[2]]
-            moments = train.agg(*[f(v).alias(f"{n}{i}") for i, (_, v, _) in enumerate(wanted)
-                                  for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if wanted else {}
-            scaling = {name: (float(moments[f"m{i}"]), float(moments[f"s{i}"]) or 1.0)
-                       for i, (name, _, _) in enumerate(wanted)}
-            scaling = {k: (m, s if s > 1e-12 else 1.0) for k, (m, s) in scaling.items()}
+            vectors = fitted.transform(train.select(*fitted.inputs), "_v")
+            moments = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("m")).first()["m"]
+            n = moments["count"]
+            scaling = {}
+            for name, block, mean, variance in zip(fitted.names, fitted.blocks, moments["mean"], moments["variance"]):
+                if block or self.scale == "all":
+                    deviation = math.sqrt(max(float(variance), 0.0) * (n - 1) / n)  # population deviation
+                    scaling[name] = (float(mean), deviation if deviation > 1e-12 else 1.0)
             fitted = replace(fitted, scaling=scaling)
         return fitted
 
@@ -110,47 +110,72 @@ class FittedDesign:
     ranges: dict = field(default_factory=dict)
     scaling: dict = field(default_factory=dict)
 
-    def filled(self, column: str) -> Column:
-        value = F.coalesce(F.col(column).cast("double"), F.lit(self.medians[column]))
-        return log1p_nonnegative(value) if self.design.log else value
+    @property
+    def inputs(self) -> list[str]:
+        d = self.design
+        return list(dict.fromkeys(d.numeric + d.splines + d.passthrough + (("country",) if d.country else ())))
+
+    def filled(self, column: str) -> str:
+        value = f"coalesce(CAST(`{column}` AS DOUBLE), {self.medians[column]!r}D)"
+        return f"ln(1 + greatest({value}, 0D))" if self.design.log else value
+
+    def _plan(self) -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str, bool]]]:
+        """Two helper stages and the matrix columns (name, SQL, in the numeric block).
 
-    def columns(self, scaled: bool = True) -> list[tuple[str, Column, bool]]:
-        """(name, expression, belongs to the scaled numeric block) in a fixed order."""
+        Values used several times are computed once, in a stage of their own.
+        """
         d = self.design
-        out = [(c, self.filled(c), True) for c in d.numeric]
-        for c in d.splines:
-            if c in self.ranges:
-                low, high = self.ranges[c]
-                out += [(f"{c}__spline{i}", b, True) for i, b in enumerate(
-                    spline_basis(self.filled(c), low, high, extrapolation=d.extrapolation))]
+        first, second, out = [], [], [(c, self.filled(c), True) for c in d.numeric]
+        knots = d.knots
+        for k, c in enumerate(c for c in d.splines if c in self.ranges):
+            low, high = self.ranges[c]
+            first.append((f"_u{k}", f"({self.filled(c)} - {low!r}D) / {(high - low) / (knots - 1)!r}D"))
+            inside = f"greatest(0D, least({knots - 1}D, _u{k}))"
+            second += [(f"_j{k}", f"CAST(least({knots - 2}, floor({inside})) AS INT)"),
+                       (f"_t{k}", f"{inside} - least({knots - 2}, floor({inside}))")]
+            out += [(f"{c}__spline{i}", b, True) for i, b in enumerate(
+                spline_basis(f"_u{k}", f"_t{k}", f"_j{k}", knots, d.extrapolation))]
         if d.indicators != "none":
             inputs = list(dict.fromkeys(d.numeric + d.splines))
-            flagged = inputs if d.indicators == "all" else self.with_nulls
-            for c in flagged:
-                flag = F.col(c).isNull().cast("double")
-                out.append((f"{c}__missing", F.log1p(flag) if d.log_indicators else flag, True))
-        out += [(c, F.col(c).cast("double"), False) for c in d.passthrough]
+            for c in inputs if d.indicators == "all" else self.with_nulls:
+                flag = f"CAST(`{c}` IS NULL AS DOUBLE)"
+                out.append((f"{c}__missing", f"ln(1 + {flag})" if d.log_indicators else flag, True))
+        out += [(c, f"CAST(`{c}` AS DOUBLE)", False) for c in d.passthrough]
         if d.country:
-            country = F.coalesce("country", F.lit("Unknown"))
             # Unseen countries match no column: all zeros.
-            out += [(f"country__{c}", (country == c).cast("double"), False) for c in self.frequent]
+            out += [(f"country__{c}", f"CAST(coalesce(country, 'Unknown') = {_text(c)} AS DOUBLE)", False) for c in self.frequent]
             if self.rare:
-                out.append(("country__rare", country.isin(list(self.rare)).cast("double"), False))
-        if scaled and self.scaling:
-            out = [(n, (v - self.scaling[n][0]) / self.scaling[n][1] if n in self.scaling else v, b) for n, v, b in out]
-        return out
+                listed = ", ".join(_text(c) for c in self.rare)
+                out.append(("country__rare", f"CAST(coalesce(country, 'Unknown') IN ({listed}) AS DOUBLE)", False))
+        return first, second, out
 
     @property
     def names(self) -> list[str]:
-        return [n for n, _, _ in self.columns()]
+        return [n for n, _, _ in self._plan()[2]]
+
+    @property
+    def blocks(self) -> list[bool]:
+        return [b for _, _, b in self._plan()[2]]
 
     def transform(self, rows: DataFrame, output: str = "features") -> DataFrame:
         """Rows with one vector column."""
-        columns = self.columns()
-        kept = rows.columns
-        wide = rows.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(f"_x{i}") for i, (_, v, _) in enumerate(columns)])
+        first, second, columns = self._plan()
+        kept = [f"`{c}`" for c in rows.columns]
+        staged, so_far = rows, list(kept)
+        for stage in (first, second):
+            if stage:
+                staged = staged.selectExpr(*so_far, *[f"{sql} AS {name}" for name, sql in stage])
+                so_far = so_far + [name for name, _ in stage]
+
+        def scaled(name: str, sql: str) -> str:
+            if name not in self.scaling:
+                return sql
+            mean, deviation = self.scaling[name]
+            return f"({sql} - ({mean!r}D)) / {deviation!r}D"
+
+        wide = staged.selectExpr(*kept, *[f"{scaled(n, sql)} AS _x{i}" for i, (n, sql, _) in enumerate(columns)])
         assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(columns))], outputCol=output)
-        return assembler.transform(wide).select(*[F.col(f"`{c}`") for c in kept], output)
+        return assembler.transform(wide).selectExpr(*kept, output)
 
 
 def plain_design(numeric: list[str], scale: bool = True, country: bool = True) -> Design:

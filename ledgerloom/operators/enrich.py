@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.functions.columns import autumn_exposure, clip, finite_or_null, from_units, month_angle
+from ledgerloom.functions.columns import autumn_exposure, finite_or_null, from_units, month_angle
 from ledgerloom.operators.panel import invoices_as_of
 from ledgerloom.settings import CALENDAR_FEATURES, EXTRA_FEATURES, KEYS, Horizon, add_months
 
@@ -29,7 +29,7 @@ def last_year_activity(grain: DataFrame, cutoffs: list[date], horizon: Horizon)
     inside = (F.col("purchase_day") >= F.col("_w.low")) & (F.col("purchase_day") < F.col("_w.high"))
     return (grain.withColumn("_w", F.explode(windows)).filter(inside)
             .select("customer_id", "_w.cutoff", "invoice_id", "revenue_units")
-            .groupBy(*KEYS).agg(from_units(F.sum("revenue_units")).alias("_spend"),
+            .groupBy(*KEYS).agg(F.expr(f"{from_units('sum(revenue_units)')} AS _spend"),
                                 F.count_distinct("invoice_id").cast("double").alias("_orders")))
 
 
@@ -44,10 +44,9 @@ def _prior_end(cutoff: date, horizon: Horizon) -> date:
 
 def order_value_extras(invoices: DataFrame) -> DataFrame:
     """Value of the latest order and sample deviation of order values."""
-    value = from_units(F.col("revenue_units"))
     return invoices.groupBy(*KEYS).agg(
-        F.max(F.struct("last_at", "first_position", value.alias("amount")))["amount"].alias("last_order_value_gbp"),
-        F.stddev_samp(value).alias("order_value_std_gbp"))
+        F.expr(f"max(struct(last_at, first_position, {from_units('revenue_units')} AS amount)).amount AS last_order_value_gbp"),
+        F.expr(f"stddev_samp({from_units('revenue_units')}) AS order_value_std_gbp"))
 
 
 def enriched_features(panel: DataFrame, grain: DataFrame, cutoffs: list[date], source_start: date,
@@ -58,17 +57,18 @@ def enriched_features(panel: DataFrame, grain: DataFrame, cutoffs: list[date], s
     prior = last_year_activity(grain, cutoffs, horizon)
     # One row per cutoff of the request.
     calendar = F.broadcast(forecast_calendar(spark, cutoffs, horizon))
-    covered = F.col("cutoff").isin([c for c in cutoffs if add_months(c, -12) >= source_start])
+    seen = [f"DATE '{c}'" for c in cutoffs if add_months(c, -12) >= source_start]
+    covered = f"cutoff IN ({', '.join(seen)})" if seen else "FALSE"
     out = (panel.drop("horizon_days").join(calendar, "cutoff").join(extras, KEYS, "left").join(prior, KEYS, "left"))
-    return out.withColumns({
-        "recent_order_value_30d": F.try_divide("spend_30d_gbp", "orders_30d"),
-        "recent_order_value_90d": F.try_divide("spend_90d_gbp", "orders_90d"),
-        "prior_90d_spend_gbp": clip(F.col("spend_180d_gbp") - F.col("spend_90d_gbp"), 0.0),
-        "recency_over_mean_gap": finite_or_null(
-            F.col("recency_days") / clip(F.col("mean_days_between_purchase_days"), 1.0)),
-        "spend_same_future_window_last_year_gbp": F.when(covered, F.coalesce("_spend", F.lit(0.0))),
-        "orders_same_future_window_last_year": F.when(covered, F.coalesce("_orders", F.lit(0.0))),
-    }).drop("_spend", "_orders")
+    ratio = "recency_days / (CASE WHEN mean_days_between_purchase_days IS NOT NULL THEN greatest(mean_days_between_purchase_days, 1D) END)"
+    return out.selectExpr(
+        *[c for c in out.columns if c not in ("_spend", "_orders")],
+        "try_divide(spend_30d_gbp, orders_30d) AS recent_order_value_30d",
+        "try_divide(spend_90d_gbp, orders_90d) AS recent_order_value_90d",
+        "greatest(spend_180d_gbp - spend_90d_gbp, 0D) AS prior_90d_spend_gbp",
+        f"{finite_or_null(ratio)} AS recency_over_mean_gap",
+        f"CASE WHEN {covered} THEN coalesce(_spend, 0D) END AS spend_same_future_window_last_year_gbp",
+        f"CASE WHEN {covered} THEN coalesce(_orders, 0D) END AS orders_same_future_window_last_year")
 
 
 ENRICHED_COLUMNS = CALENDAR_FEATURES + EXTRA_FEATURES

@@ -18,20 +18,17 @@ def history_grain(purchases: DataFrame) -> DataFrame:
     Only numbers and times are carried: a text value in the aggregates would turn every
     aggregation that follows into a sort.
     """
-    return purchases.groupBy("customer_id", "invoice_id", "purchase_day").agg(
-        F.min("invoice_date").alias("first_at"), F.max("invoice_date").alias("last_at"),
-        F.sum(to_units(F.col("revenue"))).alias("revenue_units"), F.sum("quantity").alias("units"),
-        F.count(F.lit(1)).alias("lines"), F.min("line_position").alias("first_position"))
+    return purchases.groupBy("customer_id", "invoice_id", "purchase_day").agg(*map(F.expr, (
+        "min(invoice_date) AS first_at", "max(invoice_date) AS last_at",
+        f"sum({to_units('revenue')}) AS revenue_units", "sum(quantity) AS units", "count(*) AS lines",
+        "min(line_position) AS first_position")))
 
 
 def as_of(rows: DataFrame, day: str, cutoffs: list[date], trailing_days: int | None = None) -> DataFrame:
     """Rows repeated for every cutoff they precede, optionally only the last days before it."""
-    day = F.col(day)
-    out = rows.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in sorted(cutoffs)])))
-    keep = day < F.col("cutoff")
-    if trailing_days is not None:
-        keep = keep & (day >= F.date_sub("cutoff", trailing_days))
-    return out.filter(keep)
+    listed = ", ".join(f"DATE '{c}'" for c in sorted(cutoffs))
+    out = rows.selectExpr("*", f"explode(array({listed})) AS cutoff").filter(f"{day} < cutoff")
+    return out if trailing_days is None else out.filter(f"{day} >= date_sub(cutoff, {trailing_days})")
 
 
 def cohort(purchases: DataFrame, cutoffs: list[date]) -> DataFrame:
@@ -73,21 +70,16 @@ def purchase_day_summary(purchases: DataFrame, cutoffs: list[date]) -> DataFrame
     # for all of them because every cutoff of a customer lies after it.
     firsts = purchases.groupBy("customer_id").agg(F.min("purchase_day").alias("first_day"))
     daily = daily.join(firsts, "customer_id")
-    repeat = F.col("purchase_day") > F.col("first_day")
-    out = as_of(daily, "purchase_day", cutoffs).groupBy("customer_id", "cutoff").agg(
-        F.min("first_day").alias("first_day"), F.max("purchase_day").alias("last_day"),
-        F.count(F.lit(1)).alias("occasions"),
-        F.sum(F.when(repeat, F.col("spend"))).cast("double").alias("_spend"),
-        F.count_if(repeat).alias("_repeat_days"),
-        F.count_if(repeat & (F.month("purchase_day") >= 10)).alias("q4_repeat_count"))
-    return out.select(
-        "customer_id", "cutoff", "first_day", "last_day", "occasions",
-        (F.col("occasions") - 1).alias("frequency"),
-        (F.datediff("last_day", "first_day") / MONTH_DAYS).alias("recency_months"),
-        (F.datediff("cutoff", "first_day") / MONTH_DAYS).alias("age_months"),
-        F.when(F.col("_repeat_days") > 0, F.col("_repeat_days")).alias("repeat_day_count"),
-        (F.col("_spend") / F.col("_repeat_days")).alias("repeat_mean_daily_spend"),
-        "q4_repeat_count")
+    repeat = "purchase_day > first_day"
+    out = as_of(daily, "purchase_day", cutoffs).groupBy("customer_id", "cutoff").agg(*map(F.expr, (
+        "min(first_day) AS first_day", "max(purchase_day) AS last_day", "count(*) AS occasions",
+        f"CAST(sum(CASE WHEN {repeat} THEN spend END) AS DOUBLE) AS _spend", f"count_if({repeat}) AS _repeat_days",
+        f"count_if({repeat} AND month(purchase_day) >= 10) AS q4_repeat_count")))
+    return out.selectExpr(
+        "customer_id", "cutoff", "first_day", "last_day", "occasions", "occasions - 1 AS frequency",
+        f"datediff(last_day, first_day) / {MONTH_DAYS}D AS recency_months",
+        f"datediff(cutoff, first_day) / {MONTH_DAYS}D AS age_months", "nullif(_repeat_days, 0) AS repeat_day_count",
+        "try_divide(_spend, _repeat_days) AS repeat_mean_daily_spend", "q4_repeat_count")
 
 
 def history_summary(purchases: DataFrame, cutoffs: list[date], home_country: str) -> DataFrame:

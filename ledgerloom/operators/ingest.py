@@ -73,24 +73,15 @@ def reconcile(lines: DataFrame, raw_columns: list[str] = RAW_COLUMNS, batch: str
 
 def standardise(lines: DataFrame) -> DataFrame:
     """Trim identifiers and parse values leniently: what cannot be parsed becomes NULL."""
-    return lines.withColumns({
-        "invoice_id": F.trim(F.col("invoice_id").cast("string")),
-        "stock_code": F.trim(F.col("stock_code").cast("string")),
-        "description": F.col("description").cast("string"),
-        "country": F.col("country").cast("string"),
-        "invoice_date": _lenient(lines, "invoice_date", "timestamp_ntz"),
-        "quantity": _lenient(lines, "quantity", "double"),
-        "unit_price": _lenient(lines, "unit_price", "double"),
-        "customer_id": _lenient(lines, "customer_id", "bigint"),
-    })
-
-
-def _lenient(lines: DataFrame, column: str, target: str) -> Column:
-    kind = lines.schema[column].dataType.typeName()
-    if target == "bigint" and kind == "string":
+    parsed = {
+        "invoice_id": "trim(CAST(invoice_id AS STRING))", "stock_code": "trim(CAST(stock_code AS STRING))",
+        "description": "CAST(description AS STRING)", "country": "CAST(country AS STRING)",
+        "invoice_date": "try_cast(invoice_date AS TIMESTAMP_NTZ)", "quantity": "try_cast(quantity AS DOUBLE)",
+        "unit_price": "try_cast(unit_price AS DOUBLE)",
         # Identifiers read as text may carry a decimal point ("17850.0").
-        return F.col(column).try_cast("double").try_cast("bigint")
-    return F.col(column).try_cast(target)
+        "customer_id": "try_cast(try_cast(customer_id AS DOUBLE) AS BIGINT)"
+        if lines.schema["customer_id"].dataType.typeName() == "string" else "try_cast(customer_id AS BIGINT)"}
+    return lines.selectExpr(*[f"{parsed[c]} AS {c}" if c in parsed else f"`{c}`" for c in lines.columns])
 
 
 def is_credit() -> Column:
@@ -105,31 +96,22 @@ def _positive_sale() -> Column:
     return F.coalesce((F.col("quantity") > 0) & (F.col("unit_price") > 0), F.lit(False)) & ~is_credit()
 
 
-def amount() -> Column:
-    return (F.col("quantity") * F.col("unit_price")).cast(MONEY)
-
-
-def line_position() -> Column:
-    """Source order of a line as one number: batch first, then row."""
-    return F.shiftleft(F.col("batch_order").cast("bigint"), 48) + F.col("source_row")
+# Source order of a line as one number: batch first, then row.
+LINE_POSITION = "shiftleft(CAST(batch_order AS BIGINT), 48) + source_row AS line_position"
 
 
 def purchase_lines(lines: DataFrame) -> DataFrame:
     """Sales of products to known customers."""
-    keep = (_positive_sale() & F.col("customer_id").isNotNull() & is_product()
-            & F.col("invoice_date").isNotNull())
-    return lines.filter(keep).select(
-        *LINE_COLUMNS, line_position().alias("line_position"), amount().alias("revenue"),
-        F.to_date("invoice_date").alias("purchase_day"))
+    return lines.filter(_positive_sale() & is_product()).filter(
+        "customer_id IS NOT NULL AND invoice_date IS NOT NULL").selectExpr(
+        *LINE_COLUMNS, LINE_POSITION, f"CAST(quantity * unit_price AS {MONEY}) AS revenue", "to_date(invoice_date) AS purchase_day")
 
 
 def credit_lines(lines: DataFrame) -> DataFrame:
     """Credits of known customers, of any stock code."""
-    keep = (is_credit() & (F.col("quantity") < 0) & F.col("customer_id").isNotNull()
-            & F.col("invoice_date").isNotNull())
-    return lines.filter(keep).select(
-        *LINE_COLUMNS, F.abs(amount()).alias("credit_amount_abs"),
-        F.to_date("invoice_date").alias("credit_day"))
+    return lines.filter(is_credit()).filter(
+        "quantity < 0 AND customer_id IS NOT NULL AND invoice_date IS NOT NULL").selectExpr(
+        *LINE_COLUMNS, f"abs(CAST(quantity * unit_price AS {MONEY})) AS credit_amount_abs", "to_date(invoice_date) AS credit_day")
 
 
 def purchase_invoices(purchases: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ the scored rows. Training rows should come from ``available_training``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import date
 
@@ -232,19 +233,22 @@ def tweedie_glm(rows: DataFrame, label: str, alpha: float, rounds: int = 6):
     """Log-link Tweedie regression at power 1.5 with the penalty on the deviance scale.
 
     Spark normalises the working weights of its least squares, so the equivalent regParam is
-    alpha / mean(sqrt(mu)); it is found by refitting until it settles.
+    alpha / mean(sqrt(mu)); it is found by refitting until it settles. The label is divided by
+    its mean, which only moves the intercept and keeps the first iterations near the solution.
+    Returns the model and the factor for its predictions.
     """
-    scale = float(rows.agg(F.sqrt(F.avg(label))).first()[0])
-    model = None
+    unit = float(rows.agg(F.avg(label)).first()[0])
+    scaled = rows.withColumn(label, F.col(label) / unit)
+    root, model = 1.0, None
     for _ in range(rounds):
         model = GeneralizedLinearRegression(
             featuresCol="features", labelCol=label, family="tweedie", variancePower=1.5, linkPower=0.0,
-            regParam=alpha / scale, maxIter=60, tol=1e-7).fit(rows)
-        settled = float(model.transform(rows).agg(F.avg(F.sqrt("prediction"))).first()[0])
-        if abs(settled - scale) < 1e-4 * scale:
+            regParam=alpha / (math.sqrt(unit) * root), maxIter=60, tol=1e-7).fit(scaled)
+        settled = float(model.transform(scaled).agg(F.avg(F.sqrt("prediction"))).first()[0])
+        if abs(settled - root) < 1e-4 * root:
             break
-        scale = settled
-    return model
+        root = settled
+    return model, unit
 
 
 def gamma_glm(rows: DataFrame, label: str, alpha: float, weight: str | None = None):
@@ -273,7 +277,7 @@ class RevenueGlm:
     strength: float = 0.3
 
     def fit(self, rows: DataFrame, label: str = "future_revenue_gbp") -> "RevenueGlm":
-        self.fitted = self.design.fit(rows)
+        self.fitted, self.unit = self.design.fit(rows), 1.0
         target = F.greatest(F.col(label).cast("double"), F.lit(0.0))
         train = self.fitted.transform(rows.select(
             *_inputs(rows), target.alias("_y"), F.col("future_invoice_count").cast("double").alias("_n"))).select(
@@ -281,7 +285,7 @@ class RevenueGlm:
         try:
             positive = train.filter("_y > 0")
             if self.kind == "tweedie":
-                self.amount = tweedie_glm(train, "_y", self.alpha)
+                self.amount, self.unit = tweedie_glm(train, "_y", self.alpha)
             elif self.kind == "hurdle":
                 self.rate = logistic(train, "_any", self.strength, 1500)
                 self.amount = gamma_glm(positive, "_y", self.alpha)
@@ -294,7 +298,7 @@ class RevenueGlm:
 
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
         scored = _score(self.amount, self.fitted.transform(rows), "_amount")
-        rate = F.lit(1.0)
+        rate = F.lit(self.unit)
         if self.kind == "hurdle":
             scored = self.rate.transform(scored)
             rate = vector_to_array("probability")[1]

@@ -16,6 +16,8 @@ from ledgerloom.scratch import materialise
 SKETCH_ACCURACY = 10000
 # Groups below this size keep all their values in the second pass.
 SMALL_GROUP = 5000
+# Largest number of rows whose values one aggregate may hold.
+GATHER_LIMIT = 200000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -92,9 +94,12 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str],
 
 
 def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float],
-                    groups: list[str] | None = None, few_groups: bool = False) -> DataFrame:
+                    groups: list[str] | None = None, few_groups: bool = False,
+                    gather_limit: int = GATHER_LIMIT) -> DataFrame:
     """Exact linearly interpolated quantiles: (groups…, variable, probability, quantile, n).
 
+    Up to ``gather_limit`` rows in total ``percentile`` does it in one pass. Beyond that:
+
     Pass one brackets every quantile with a mergeable sketch; pass two counts the rows below a
     bracket and keeps only the distinct values inside it (a few ten-thousandths of a big group).
     ``few_groups`` promises that the number of groups is fixed by the query, not by the data;
@@ -102,10 +107,12 @@ def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float]
     """
     groups = list(groups or [])
     keys = groups + ["variable"]
+    stored = materialise(df.select(*groups, *values), "values")
+    if stored.count() <= gather_limit:
+        return _gathered_quantiles(stored, values, probabilities, groups)
     pairs = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"))
                       for v in values])
-    long = (materialise(df.select(*groups, *values), "values")
-            .select(*groups, F.explode(pairs).alias("_p")).select(*groups, "_p.*")
+    long = (stored.select(*groups, F.explode(pairs).alias("_p")).select(*groups, "_p.*")
             .filter(F.col("value").isNotNull()))
     slack = 5 / SKETCH_ACCURACY
     marks = [max(0.0, p - slack) for p in probabilities] + [min(1.0, p + slack) for p in probabilities]
@@ -145,6 +152,19 @@ def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float]
         .select(*keys, "probability", (F.col("_a") + (F.col("_b") - F.col("_a")) * (spot - k)).alias("quantile"), "n"))
 
 
+def _gathered_quantiles(rows: DataFrame, values: list[str], probabilities: list[float],
+                        groups: list[str]) -> DataFrame:
+    points = F.array(*[F.lit(float(p)) for p in probabilities])
+    aggregates = [x for i, v in enumerate(values) for x in (
+        F.percentile(F.col(v).cast("double"), points).alias(f"_q{i}"), F.count(v).alias(f"_n{i}"))]
+    wide = rows.groupBy(*groups).agg(*aggregates) if groups else rows.agg(*aggregates)
+    cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(float(p)).alias("probability"),
+                               F.col(f"_q{i}")[j].alias("quantile"), F.col(f"_n{i}").alias("n"))
+                      for i, v in enumerate(values) for j, p in enumerate(probabilities)])
+    return (wide.select(*groups, F.explode(cells).alias("_c")).select(*groups, "_c.*")
+            .filter(F.col("n") > 0))
+
+
 def wide_quantiles(quantiles: DataFrame, groups: list[str], values: list[str],
                    probability: float, suffix: str = "") -> DataFrame:
     """One column per variable at one probability."""

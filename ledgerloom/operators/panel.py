@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.functions.columns import clip, days_between, finite_or_null, from_units
+from ledgerloom.functions.columns import days_between, finite_or_null, from_units, to_units
 from ledgerloom.operators.history import as_of, history_grain, last_country
 from ledgerloom.operators.ordering import exact_medians
 from ledgerloom.scratch import materialise
@@ -17,57 +17,46 @@ WINDOW_DAYS = WEEKS * 7
 GATHER_LIMIT = 10000
 
 
-def _since(day: Column, days: int) -> Column:
-    return day >= F.date_sub(F.col("cutoff"), days)
-
-
 def invoices_as_of(grain: DataFrame, cutoffs: list[date]) -> DataFrame:
     """Invoices as they stood before each cutoff.
 
     ``last_day`` is the day of the latest line before the cutoff, so an invoice has a line in
     ``[cutoff - N, cutoff)`` exactly if ``last_day >= cutoff - N``; spend sums the lines.
     """
-    spend = [F.sum(F.when(_since(F.col("purchase_day"), n), F.col("revenue_units"))).alias(f"spend_{n}")
+    spend = [f"sum(CASE WHEN purchase_day >= date_sub(cutoff, {n}) THEN revenue_units END) AS spend_{n}"
              for n in SPEND_WINDOWS]
-    return as_of(grain, "purchase_day", cutoffs).groupBy("customer_id", "cutoff", "invoice_id").agg(
-        F.min("first_at").alias("invoice_date"), F.max("last_at").alias("last_at"),
-        F.max("purchase_day").alias("last_day"),
-        F.sum("revenue_units").alias("revenue_units"), F.sum("units").alias("units"), F.sum("lines").alias("lines"),
-        F.min("first_position").alias("first_position"), *spend)
+    return as_of(grain, "purchase_day", cutoffs).groupBy("customer_id", "cutoff", "invoice_id").agg(*map(F.expr, (
+        "min(first_at) AS invoice_date", "max(last_at) AS last_at", "max(purchase_day) AS last_day",
+        "sum(revenue_units) AS revenue_units", "sum(units) AS units", "sum(lines) AS lines",
+        "min(first_position) AS first_position", *spend)))
 
 
 def order_features(invoices: DataFrame) -> DataFrame:
     """Recency, frequency, money, gaps and trailing windows per customer and cutoff (no median)."""
-    def mean(total: Column) -> Column:
-        return total / F.col("purchase_count")
-
-    sums = invoices.groupBy(*KEYS).agg(
-        F.min("invoice_date").alias("first_purchase"), F.max("invoice_date").alias("last_purchase"),
-        F.count(F.lit(1)).alias("purchase_count"),
-        from_units(F.sum("revenue_units")).alias("lifetime_revenue_gbp"),
-        from_units(F.max("revenue_units")).alias("max_order_value_gbp"),
-        F.sum("units").alias("_units"), F.sum("lines").alias("_lines"),
-        F.count_distinct(F.to_date("invoice_date")).alias("purchase_day_count"),
-        *[F.count_if(_since(F.col("last_day"), n)).cast("double").alias(f"orders_{n}d") for n in SPEND_WINDOWS],
-        *[from_units(F.coalesce(F.sum(f"spend_{n}"), F.lit(0))).alias(f"spend_{n}d_gbp") for n in SPEND_WINDOWS])
-    at = F.col("cutoff").cast("timestamp_ntz")
-    days = F.col("purchase_day_count")
-    span = F.datediff(F.to_date("last_purchase"), F.to_date("first_purchase"))
-    return (sums.withColumns({
-        "recency_days": days_between(at, F.col("last_purchase")),
-        "tenure_days": days_between(at, F.col("first_purchase")),
-        "avg_order_value_gbp": mean(F.col("lifetime_revenue_gbp")),
-        "avg_basket_units": mean(F.col("_units")),
-        "avg_basket_lines": mean(F.col("_lines")),
-        "repeat_purchase_day_count": F.greatest(days - 1, F.lit(0)),
+    orders = [f"CAST(count_if(last_day >= date_sub(cutoff, {n})) AS DOUBLE) AS orders_{n}d" for n in SPEND_WINDOWS]
+    spend = [f"{from_units(f'coalesce(sum(spend_{n}), 0)')} AS spend_{n}d_gbp" for n in SPEND_WINDOWS]
+    sums = invoices.groupBy(*KEYS).agg(*map(F.expr, (
+        "min(invoice_date) AS first_purchase", "max(invoice_date) AS last_purchase", "count(*) AS purchase_count",
+        f"{from_units('sum(revenue_units)')} AS lifetime_revenue_gbp",
+        f"{from_units('max(revenue_units)')} AS max_order_value_gbp", "sum(units) AS _units", "sum(lines) AS _lines",
+        "count(DISTINCT to_date(invoice_date)) AS purchase_day_count", *orders, *spend)))
+    midnight = "CAST(cutoff AS TIMESTAMP_NTZ)"
+    windows = [f"{kind}_{n}d{unit}" for kind, unit in (("orders", ""), ("spend", "_gbp")) for n in SPEND_WINDOWS]
+    timed = sums.selectExpr(
+        "*", f"{days_between(midnight, 'last_purchase')} AS recency_days",
+        f"{days_between(midnight, 'first_purchase')} AS tenure_days")
+    return timed.selectExpr("*", "greatest(tenure_days, 1D) AS history_days").selectExpr(
+        *KEYS, "first_purchase", "last_purchase", "purchase_count", "purchase_day_count", "lifetime_revenue_gbp",
+        "max_order_value_gbp", *windows, "recency_days", "tenure_days", "history_days",
+        "lifetime_revenue_gbp / purchase_count AS avg_order_value_gbp", "_units / purchase_count AS avg_basket_units",
+        "_lines / purchase_count AS avg_basket_lines",
+        "greatest(purchase_day_count - 1, 0) AS repeat_purchase_day_count",
         # The mean of successive gaps telescopes to the span of the days.
-        "mean_days_between_purchase_days": F.when(days > 1, span / (days - 1)),
-        "spend_recent90_over_prior90":
-            (F.col("spend_90d_gbp") + 1) / (F.col("spend_180d_gbp") - F.col("spend_90d_gbp") + 1),
-    }).withColumn("history_days", clip(F.col("tenure_days"), 1.0)).withColumns({
-        "purchase_days_per_30d": days / clip(F.col("history_days") / 30, 1.0),
-        "revenue_per_history_day_gbp": F.col("lifetime_revenue_gbp") / F.col("history_days"),
-    }).drop("_units", "_lines"))
+        "try_divide(datediff(to_date(last_purchase), to_date(first_purchase)), purchase_day_count - 1) "
+        "AS mean_days_between_purchase_days",
+        "(spend_90d_gbp + 1) / (spend_180d_gbp - spend_90d_gbp + 1) AS spend_recent90_over_prior90",
+        "purchase_day_count / greatest(history_days / 30, 1D) AS purchase_days_per_30d",
+        "lifetime_revenue_gbp / history_days AS revenue_per_history_day_gbp")
 
 
 def product_features(purchases: DataFrame, cutoffs: list[date]) -> DataFrame:
@@ -81,24 +70,21 @@ def credit_features(credits: DataFrame, cutoffs: list[date]) -> DataFrame:
     daily = credits.groupBy("customer_id", "invoice_id", "credit_day").agg(
         F.sum("credit_amount_abs").alias("amount"))
     per_invoice = as_of(daily, "credit_day", cutoffs).groupBy(*KEYS, "invoice_id").agg(
-        F.sum(F.when(_since(F.col("credit_day"), 365), F.col("amount"))).alias("amount"))
+        F.expr("sum(CASE WHEN credit_day >= date_sub(cutoff, 365) THEN amount END) AS amount"))
     return per_invoice.groupBy(*KEYS).agg(
-        F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias("credit_amount_365d_gbp"),
-        F.count(F.lit(1)).alias("credit_invoices"))
+        F.expr("CAST(coalesce(sum(amount), 0) AS DOUBLE) AS credit_amount_365d_gbp"),
+        F.expr("count(*) AS credit_invoices"))
 
 
 def weekly_bins(purchases: DataFrame, cutoffs: list[date]) -> DataFrame:
     """Activity in the 26 seven-day bins that end at the cutoff; only weeks with purchases."""
     daily = purchases.groupBy("customer_id", "invoice_id", "stock_code", "purchase_day").agg(
-        F.sum("revenue").alias("revenue"), F.sum("quantity").alias("units"))
-    offset = F.datediff("purchase_day", F.date_sub("cutoff", WINDOW_DAYS))
-    binned = as_of(daily, "purchase_day", cutoffs, WINDOW_DAYS).withColumn(
-        "week_index", F.floor(offset / 7).cast("int"))
-    return binned.groupBy(*KEYS, "week_index").agg(
-        F.count_distinct("invoice_id").alias("orders"),
-        F.greatest(F.sum("revenue").cast("double"), F.lit(0.0)).alias("revenue_gbp"),
-        F.greatest(F.sum("units"), F.lit(0.0)).alias("units"),
-        F.count_distinct("stock_code").alias("product_codes"))
+        F.expr(f"sum({to_units('revenue')}) AS revenue_units"), F.expr("sum(quantity) AS units"))
+    binned = as_of(daily, "purchase_day", cutoffs, WINDOW_DAYS).selectExpr(
+        "*", f"CAST(floor(datediff(purchase_day, date_sub(cutoff, {WINDOW_DAYS})) / 7) AS INT) AS week_index")
+    return binned.groupBy(*KEYS, "week_index").agg(*map(F.expr, (
+        "count(DISTINCT invoice_id) AS orders", f"greatest({from_units('sum(revenue_units)')}, 0D) AS revenue_gbp",
+        "greatest(sum(units), 0D) AS units", "count(DISTINCT stock_code) AS product_codes")))
 
 
 def dense_weeks(bins: DataFrame, first_days: DataFrame) -> DataFrame:
@@ -107,22 +93,16 @@ def dense_weeks(bins: DataFrame, first_days: DataFrame) -> DataFrame:
     ``first_days`` has (customer_id, cutoff, first_purchase). At most 26 entries are gathered.
     """
     active = bins.groupBy(*KEYS).agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "week_index", F.struct("orders", "revenue_gbp", "units", "product_codes")))).alias("_weeks"),
-        F.count(F.lit(1)).alias("_active"))
-    offset = F.datediff(F.to_date("first_purchase"), F.date_sub("cutoff", WINDOW_DAYS))
-    start = clip(F.floor(offset / 7), 0, WEEKS - 1)
-
-    def week(i: Column) -> Column:
-        found = F.element_at(F.col("_weeks"), i)
-        values = [F.coalesce(found[c].cast("float"), F.lit(0.0).cast("float")).alias(c) for c in WEEK_CHANNELS[:4]]
-        flags = [found.isNotNull().cast("float").alias(WEEK_CHANNELS[4]),
-                 (i >= F.col("_start")).cast("float").alias(WEEK_CHANNELS[5])]
-        return F.struct(*values, *flags)
-
-    return (first_days.select(*KEYS, start.alias("_start")).join(active, KEYS, "left").select(
-        *KEYS, F.transform(F.sequence(F.lit(0), F.lit(WEEKS - 1)), week).alias("weeks"),
-        (WEEKS - F.coalesce("_active", F.lit(0))).alias("zero_purchase_weeks_26w")))
+        F.expr("map_from_entries(collect_list(struct(week_index, struct(orders, revenue_gbp, units, product_codes)))) AS _weeks"),
+        F.expr("count(*) AS _active"))
+    start = (f"greatest(0, least({WEEKS - 1}, floor(datediff(to_date(first_purchase), "
+             f"date_sub(cutoff, {WINDOW_DAYS})) / 7))) AS _start")
+    values = ", ".join(f"'{c}', coalesce(CAST(_weeks[i].{c} AS FLOAT), 0F)" for c in WEEK_CHANNELS[:4])
+    week = (f"named_struct({values}, '{WEEK_CHANNELS[4]}', CAST(_weeks[i] IS NOT NULL AS FLOAT), "
+            f"'{WEEK_CHANNELS[5]}', CAST(i >= _start AS FLOAT))")
+    return first_days.selectExpr(*KEYS, start).join(active, KEYS, "left").selectExpr(
+        *KEYS, f"transform(sequence(0, {WEEKS - 1}), i -> {week}) AS weeks",
+        f"{WEEKS} - coalesce(_active, 0) AS zero_purchase_weeks_26w")
 
 
 def median_order_values(invoices: DataFrame) -> DataFrame:
@@ -131,7 +111,7 @@ def median_order_values(invoices: DataFrame) -> DataFrame:
     ``median`` gathers a group's values, which is fine for ordinary customers. Customers with
     very many invoices are left out of it and go through the distributed quantiles.
     """
-    values = invoices.select(*KEYS, from_units(F.col("revenue_units")).alias("median_order_value_gbp"))
+    values = invoices.selectExpr(*KEYS, f"{from_units('revenue_units')} AS median_order_value_gbp")
     hot = values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GATHER_LIMIT).select(*KEYS)
     usual = F.median("median_order_value_gbp").alias("median_order_value_gbp")
     if hot.isEmpty():
@@ -154,10 +134,10 @@ def build_panel(purchases: DataFrame, credits: DataFrame, cutoffs: list[date], h
     panel = (orders.join(median_order_values(invoices), KEYS, "left").join(last_country(purchases, cutoffs), KEYS, "left")
              .join(product_features(purchases, cutoffs), KEYS)
              .join(credit_features(credits, cutoffs), KEYS, "left").join(weeks, KEYS))
-    panel = panel.withColumns({
-        "credit_amount_365d_gbp": F.coalesce("credit_amount_365d_gbp", F.lit(0.0)),
-        "return_invoice_rate": F.coalesce("credit_invoices", F.lit(0)) / F.greatest("purchase_count", F.lit(1)),
-        "horizon_days": F.lit(horizon_days),
-    })
-    numeric = [finite_or_null(F.col(c).cast("double")).alias(c) for c in NUMERIC_FEATURES]
-    return panel.select(*KEYS, "country", "first_purchase", "last_purchase", "horizon_days", *numeric, "weeks")
+    panel = panel.selectExpr(
+        *[c for c in panel.columns if c not in ("credit_amount_365d_gbp", "credit_invoices")],
+        "coalesce(credit_amount_365d_gbp, 0D) AS credit_amount_365d_gbp",
+        "coalesce(credit_invoices, 0) / greatest(purchase_count, 1) AS return_invoice_rate")
+    numeric = [f"CAST({finite_or_null(c)} AS DOUBLE) AS {c}" for c in NUMERIC_FEATURES]
+    return panel.selectExpr(*KEYS, "country", "first_purchase", "last_purchase", f"{horizon_days} AS horizon_days",
+                            *numeric, "weeks")

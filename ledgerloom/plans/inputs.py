@@ -59,7 +59,7 @@ def labelled_panel(spark: SparkSession, folder: str) -> DataFrame:
         sold = purchases(spark, folder)
         start, end = targets.source_span(sold)
         grain = materialise(history.history_grain(sold), "grain")
-        base = panel.build_panel(sold, credits(spark, folder), CUTOFFS, grain=grain)
+        base = materialise(panel.build_panel(sold, credits(spark, folder), CUTOFFS, grain=grain), "snapshots")
         wide = enrich.enriched_features(base, grain, CUTOFFS, start, NINETY_DAYS)
         labels = targets.build_targets(sold, base.select(*KEYS), CUTOFFS, end, [NINETY_DAYS])
         _panels[key] = materialise(targets.label_panel(wide, labels), "panel")
@@ -120,6 +120,6 @@ def rule_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles at a fixed precision, negative zero removed."""
-    return df.select(*[
-        (F.round(F.col(f"`{f.name}`"), places) + F.lit(0.0)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    return df.selectExpr(*[
+        f"round(`{f.name}`, {places}) + 0D AS `{f.name}`" if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        else f"`{f.name}`" for f in df.schema.fields])

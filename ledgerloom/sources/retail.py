@@ -18,27 +18,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """One raw line per lineitem row: returns are credits, line seven is postage."""
-    items = _table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_returnflag", "l_shipdate")
-    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    customers = _table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    nations = _table(spark, folder, "nation").select("n_nationkey", "n_name")
-    returned = F.col("l_returnflag") == "R"
+    items = _table(spark, folder, "lineitem")
+    orders, customers = _table(spark, folder, "orders"), _table(spark, folder, "customer")
+    nations = _table(spark, folder, "nation")
     # The nation table is the fixed list of 25 nations; the other joins are left to the optimizer.
     buyers = (orders.join(customers, orders.o_custkey == customers.c_custkey)
-              .join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")))
-    return items.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat(F.when(returned, "C").otherwise(""), F.col("l_orderkey").cast("string")).alias("invoice_id"),
-        F.when(F.col("l_linenumber") == 7, "POST").otherwise(
-            F.lpad(F.col("l_partkey").cast("string"), 5, "0")).alias("stock_code"),
-        F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("description"),
-        F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"),
-        F.col("l_shipdate").alias("invoice_date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.when(F.col("o_custkey") % ANONYMOUS_EVERY != 0, F.col("o_custkey")).alias("customer_id"),
-        F.col("n_name").alias("country"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("source_row"))
+              .join(F.broadcast(nations), customers.c_nationkey == nations.n_nationkey))
+    return items.join(buyers, items.l_orderkey == orders.o_orderkey).selectExpr(
+        "concat(CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END, CAST(l_orderkey AS STRING)) AS invoice_id",
+        "CASE WHEN l_linenumber = 7 THEN 'POST' ELSE lpad(CAST(l_partkey AS STRING), 5, '0') END AS stock_code",
+        "concat('Part ', CAST(l_partkey AS STRING)) AS description",
+        "CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity",
+        "l_shipdate AS invoice_date", "l_extendedprice / l_quantity AS unit_price",
+        f"CASE WHEN o_custkey % {ANONYMOUS_EVERY} <> 0 THEN o_custkey END AS customer_id",
+        "n_name AS country", "l_orderkey * 8 + l_linenumber AS source_row")
 
 
 def raw_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,11 +47,11 @@ def raw_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 def single_copy(spark: SparkSession, folder: str) -> DataFrame:
     """The lines once, as reconciliation leaves them (batch A wins the overlap)."""
-    in_first = F.col("invoice_date") < F.lit(BATCH_A_END).cast("timestamp_ntz")
-    return _lines(spark, folder).withColumns({
-        "source_sheet": F.when(in_first, "A").otherwise("B"),
-        "source_sheet_role": F.when(in_first, "legacy").otherwise("current"),
-        "batch_order": F.when(in_first, 0).otherwise(1)})
+    in_first = f"invoice_date < TIMESTAMP_NTZ '{BATCH_A_END} 00:00:00'"
+    return _lines(spark, folder).selectExpr(
+        "*", f"CASE WHEN {in_first} THEN 'A' ELSE 'B' END AS source_sheet",
+        f"CASE WHEN {in_first} THEN 'legacy' ELSE 'current' END AS source_sheet_role",
+        f"CASE WHEN {in_first} THEN 0 ELSE 1 END AS batch_order")
 
 
 def event_purchases(spark: SparkSession, folder: str) -> DataFrame:
