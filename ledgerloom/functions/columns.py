@@ -80,16 +80,6 @@ def autumn_exposure(start: Column, end: Column) -> Column:
     return autumn_days_before(end) - autumn_days_before(start)
 
 
-def expanded_lgamma(x: Column) -> Column:
-    """log Γ(x) for x > 0: shift by seven, then the Stirling series (error below 1e-13)."""
-    w = x + 7
-    shifted = F.lit(0.0)
-    for i in range(7):
-        shifted = shifted + F.log(x + i)
-    series = 1 / (12 * w) - 1 / (360 * F.pow(w, 3)) + 1 / (1260 * F.pow(w, 5)) - 1 / (1680 * F.pow(w, 7))
-    return (w - 0.5) * F.log(w) - w + 0.5 * math.log(2 * math.pi) + series - shifted
-
-
 # Coefficients of Wichura's algorithm AS 241 (PPND16) for the normal quantile.
 _CENTRAL_NUM = [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
                 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ledgerloom.operators.ordering import ranked, same_keys
+from ledgerloom.operators.ordering import join_marks, ranked
 from ledgerloom.scratch import materialise
 from ledgerloom.settings import LINE_COLUMNS, MONEY, PRODUCT_CODE, RAW_COLUMNS
 
@@ -60,9 +60,7 @@ def reconcile(lines: DataFrame, raw_columns: list[str] = RAW_COLUMNS, batch: str
         .filter(F.col("_quota") < F.col("_copies")).drop("_copies"), "lossy")
 
     keys = raw_columns + [batch, batch_order]
-    marks = lossy.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_quota")
-    matched = reduce(lambda a, b: a & b, [compared[k].eqNullSafe(marks[f"_r_{k}"]) for k in keys])
-    judged = compared.join(marks, matched, "left").drop(*[f"_r_{k}" for k in keys])
+    judged = join_marks(compared, lossy, keys, row, "left")
     kept = untouched.unionByName(judged.filter(F.col("_quota").isNull()).drop("_quota"))
     if not lossy.filter(F.col("_quota") > 0).isEmpty():
         # A batch supplies some of its copies: take its first rows.

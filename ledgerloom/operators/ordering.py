@@ -18,11 +18,29 @@ SKETCH_ACCURACY = 10000
 SMALL_GROUP = 5000
 # Largest number of rows whose values one aggregate may hold.
 GATHER_LIMIT = 200000
+# Largest table that is broadcast, in rows of keys and a few numbers.
+BROADCAST_ROWS = 100000
+SALTS = 16
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of all key columns."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_marks(rows: DataFrame, marks: DataFrame, keys: list[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Null-safe join of a fact table with a table that has one row per key.
+
+    ``marks`` has to be stored: its size is checked. Few marks are broadcast, so the rows are not
+    moved at all; many marks are joined by shuffle with every key spread over ``SALTS``
+    partitions, so that a key holding a third of the rows does not end up in one task.
+    """
+    values = [c for c in marks.columns if c not in keys]
+    right = marks.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *values)
+    pairs = [(k, f"_r_{k}") for k in keys]
+    if marks.count() <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+        right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs.append(("_salt", "_r_salt"))
+    condition = reduce(lambda a, b: a & b, [rows[left].eqNullSafe(right[name]) for left, name in pairs])
+    return rows.join(right, condition, how).drop("_salt", *[name for _, name in pairs])
 
 
 def _lay_out(df: DataFrame, order: list[Column], groups: list[str]) -> DataFrame:
@@ -94,7 +112,7 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str],
 
 
 def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float],
-                    groups: list[str] | None = None, few_groups: bool = False,
+                    groups: list[str] | None = None,
                     gather_limit: int = GATHER_LIMIT) -> DataFrame:
     """Exact linearly interpolated quantiles: (groups…, variable, probability, quantile, n).
 
@@ -102,8 +120,6 @@ def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float]
 
     Pass one brackets every quantile with a mergeable sketch; pass two counts the rows below a
     bracket and keeps only the distinct values inside it (a few ten-thousandths of a big group).
-    ``few_groups`` promises that the number of groups is fixed by the query, not by the data;
-    only then is the bracket table broadcast.
     """
     groups = list(groups or [])
     keys = groups + ["variable"]
@@ -129,9 +145,7 @@ def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float]
             F.when(F.col("_small") | F.lit(p <= 0), F.col("_min")).otherwise(F.col("_marks")[i]).alias("low"),
             F.when(F.col("_small") | F.lit(p >= 1), F.col("_max")).otherwise(F.col("_marks")[m + i]).alias("high")))
     brackets = brackets.select(*keys, "n", F.array(*structs).alias("_brackets"))
-    right = brackets.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "n", "_brackets")
-    condition = reduce(lambda a, b: a & b, [long[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
-    joined = long.join(F.broadcast(right) if few_groups or not groups else right, condition)
+    joined = join_marks(long, materialise(brackets, "brackets"), keys, "value")
     inside = F.transform(F.filter("_brackets", lambda b: F.col("value") <= b["high"]), lambda b: F.struct(
         b["probability"].alias("probability"),
         # NULL stands for "below the bracket": all such rows collapse before the shuffle.
@@ -174,7 +188,7 @@ def wide_quantiles(quantiles: DataFrame, groups: list[str], values: list[str],
 
 
 def exact_medians(df: DataFrame, values: list[str], groups: list[str] | None = None,
-                  suffix: str = "", few_groups: bool = False) -> DataFrame:
+                  suffix: str = "") -> DataFrame:
     """Wide table of exact medians per group."""
     groups = list(groups or [])
-    return wide_quantiles(exact_quantiles(df, values, [0.5], groups, few_groups), groups, values, 0.5, suffix)
+    return wide_quantiles(exact_quantiles(df, values, [0.5], groups), groups, values, 0.5, suffix)

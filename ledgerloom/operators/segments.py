@@ -303,7 +303,7 @@ def mixture_table(spark, mixtures: list[DiagonalMixture], n: int) -> DataFrame:
 
 def segment_profiles(labelled: DataFrame, features: list[str] = SEGMENT_FEATURES, label: str = "segment") -> DataFrame:
     """Size, share and feature medians per segment."""
-    medians = exact_medians(labelled, features, [label], "_median", few_groups=True)
+    medians = exact_medians(labelled, features, [label], "_median")
     return shares(labelled.select(label), label).join(medians, label)
 
 
@@ -312,7 +312,7 @@ def profile_index(labelled: DataFrame, features: list[str] = SEGMENT_FEATURES, l
     stored = materialise(labelled.select(label, *features), "profiles")
     population = exact_medians(stored, features).first()  # one row
     usable = [c for c in features if population[c] is not None and population[c] > 0]
-    medians = exact_medians(stored, usable, [label], few_groups=True)
+    medians = exact_medians(stored, usable, [label])
     return medians.select(label, *[(F.col(c) / F.lit(float(population[c]))).alias(c) for c in usable])
 
 
@@ -327,7 +327,7 @@ def holdout_outcomes(assignments: DataFrame, labels: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"), F.avg("inactive").alias("inactivity_rate"),
         F.avg("future_revenue_gbp").alias("mean_future_revenue_gbp"),
         F.sum("future_revenue_gbp").alias("total_future_revenue_gbp"))
-    medians = exact_medians(long, ["future_revenue_gbp"], keys, few_groups=True).withColumnRenamed(
+    medians = exact_medians(long, ["future_revenue_gbp"], keys).withColumnRenamed(
         "future_revenue_gbp", "median_future_revenue_gbp")
     return sums.join(medians, keys)
 

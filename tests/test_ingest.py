@@ -55,6 +55,15 @@ def test_hot_copies_are_kept_exactly(spark):
     assert Counter(r["source_sheet"] for r in kept.select("source_sheet").collect()) == brute(rows)
 
 
+def test_many_losing_groups_take_the_salted_join(spark, monkeypatch):
+    from ledgerloom.operators import ordering
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 0)
+    rows = [(b, i, {}) for b in "AB" for i in range(60)] + [("B", 99, {})]
+    rows += [(b, 200 + i, {"customer_id": None if i % 2 else i}) for b in "AB" for i in range(40)]
+    kept = ingest.reconcile(lines(spark, rows))
+    assert Counter(r["source_sheet"] for r in kept.select("source_sheet").collect()) == brute(rows)
+
+
 def test_purchase_and_credit_rules(spark):
     rows = [("A", 1, {"invoice_id": " c123 ", "quantity": -1.0, "stock_code": "M"}), ("A", 2, {"stock_code": "12345\n x"}),
             ("A", 3, {"stock_code": "12345ab"}), ("A", 4, {"stock_code": None}), ("A", 5, {"invoice_id": "C9", "quantity": 1.0}),
