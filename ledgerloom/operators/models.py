@@ -38,7 +38,7 @@ def logistic(rows: DataFrame, label: str, strength: float, max_iter: int = 600,
         raise ValueError("no training rows")
     estimator = LogisticRegression(
         featuresCol="features", labelCol=label, regParam=1.0 / (strength * n), elasticNetParam=0.0,
-        standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-8)
+        standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-7)
     return (estimator.setWeightCol(weight) if weight else estimator).fit(rows)
 
 

@@ -62,7 +62,9 @@ def labelled_panel(spark: SparkSession, folder: str) -> DataFrame:
         base = materialise(panel.build_panel(sold, credits(spark, folder), CUTOFFS, grain=grain), "snapshots")
         wide = enrich.enriched_features(base, grain, CUTOFFS, start, NINETY_DAYS)
         labels = targets.build_targets(sold, base.select(*KEYS), CUTOFFS, end, [NINETY_DAYS])
-        _panels[key] = materialise(targets.label_panel(wide, labels), "panel")
+        # One file per core: the iterative fits that read the panel then use all of them.
+        cores = spark.sparkContext.defaultParallelism
+        _panels[key] = materialise(targets.label_panel(wide, labels).repartition(cores, *KEYS), "panel")
     return _panels[key]
 
 
