@@ -132,3 +132,25 @@ def test_mixture_finds_two_groups(spark):
     assert sorted(r["count"] for r in assigned) == pytest.approx([200, 300], abs=10)
     labelled = points.withColumn("segment", (F.col("customer_id") >= 300).cast("int"))
     assert segments.sampled_silhouette(labelled, 200) > 0.7
+
+
+@pytest.mark.parametrize("make,predict", [
+    (lambda r: models.LogisticModel(plain_design(["a", "b"]), 0.25).fit(r), "p"),
+    (lambda r: models.RevenueGlm(additive_design(["a"], []), "hurdle", 0.3).fit(r), "predicted"),
+])
+def test_saved_models_score_the_same(spark, rows, tmp_path, make, predict):
+    from ledgerloom.operators import metrics
+    from ledgerloom.sources.store import load_model, save_model
+    model = make(rows)
+    save_model(spark, model, str(tmp_path / "m"))
+    again = load_model(spark, str(tmp_path / "m"))
+    audit = metrics.replay_difference(model.predict(rows), again.predict(rows), predict).first()
+    assert audit["unmatched_keys"] == 0 and audit["max_absolute_difference"] == 0
+
+
+def test_saved_parameters(spark, tmp_path):
+    from ledgerloom.operators.behaviour import ParetoNbd
+    from ledgerloom.sources.store import load_model, save_model
+    save_model(spark, ParetoNbd(True, theta=np.array([1.0, 2.0])), str(tmp_path / "p"))
+    again = load_model(spark, str(tmp_path / "p"))
+    assert again.seasonal and list(again.theta) == [1.0, 2.0] and again.nodes == 24
