@@ -31,5 +31,6 @@ def bounded_sample(rows: DataFrame, stratum: str, key: str, most: int) -> DataFr
     """
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     share = counts.withColumn("_share", F.lit(float(most)) / F.count(F.lit(1)).over(W.partitionBy(F.lit(0))) / F.col("_n"))
-    kept = rows.join(share.select(F.col(stratum).alias("_stratum"), "_share"), F.col(stratum) == F.col("_stratum"))
+    share = F.broadcast(share.select(F.col(stratum).alias("_stratum"), "_share"))  # one row per class or language
+    kept = rows.join(share, F.col(stratum) == F.col("_stratum"))
     return kept.where(unit_hash(key, 17) < F.col("_share")).drop("_stratum", "_share")
