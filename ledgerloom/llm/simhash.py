@@ -16,10 +16,15 @@ Nulls and odd rows: a null or white-space text has no words and fingerprint zero
 any other; fewer words than a shingle make one shingle; rows that share a doc_id are separate
 documents with one id; a null doc_id is kept and takes the component of its fingerprint's others,
 or null; an empty table gives an empty result; further columns are ignored.
+
+:func:`without_near_copies` filters by similarity instead of fingerprints: it collapses equal word
+sequences, takes as candidates what fingerprints of the words put together under any of several
+hash functions, and verifies the Jaccard similarity of word shingles before a document goes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from itertools import combinations
 
@@ -61,27 +66,38 @@ def text_fingerprint(text: bytes, words: int = 3) -> int:
     return _majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles)))
 
 
-def word_fingerprints(text: bytes, seeds: tuple[int, ...]) -> list[int]:
-    """Fingerprints over the words, each weighing the root of its count; one per seed."""
+def word_fingerprints(words: list[bytes], views: int) -> list[int]:
+    """Fingerprints over the distinct words, each weighing the root of its count, under so many hash functions.
+
+    The three highest bits hold the view, so fingerprints of different views are far apart.
+    """
     import xxhash
 
     counts: dict[bytes, int] = {}
-    for word in text.lower().split():
+    for word in words:
         counts[word] = counts.get(word, 0) + 1
-    if not counts:
-        return [0] * len(seeds)
     weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), np.uint64, len(counts))
     half, out = weights.sum() / 2, []
-    for seed in seeds:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
+    for view in range(views):
+        mixed = scrambled(hashes, view)
         total = np.zeros(64, np.float32)
-        for low in range(0, len(hashes), 4096):
-            bits = np.unpackbits(hashes[low:low + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total += weights[low:low + 4096] @ bits
-        out.append(int(np.packbits(total > half, bitorder="little").view(np.uint64)[0]))
+        for low in range(0, len(mixed), 4096):
+            total += weights[low:low + 4096] @ np.unpackbits(mixed[low:low + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = int(np.packbits(total > half, bitorder="little").view(np.uint64)[0])
+        out.append(own & (1 << 61) - 1 | view << 61)
     return out
 
 
+def scrambled(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        x = x + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed long."""
     def compute(batches):
@@ -187,3 +203,145 @@ def near_duplicates(fps: DataFrame) -> DataFrame:
     least = per_fp.groupBy("component").agg(F.min("least").alias("component_id"))
     named = per_fp.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies by similarity
+
+VIEWS, SHINGLE, SIMILARITY = 6, 5, 0.8
+# Documents of one candidate group that are compared in one block.
+BLOCK = 256
+
+
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a word sequence's shingles (one shingle if it is shorter)."""
+    import xxhash
+
+    grams = [b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
+
+
+def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Index pairs whose Jaccard similarity is at least ``least``; two empty sets are equal.
+
+    Hashes that only one set has are counted but not compared; the others are laid out as columns
+    of a matrix, a bounded number at a time.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), sizes), often[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[row[a:b], column[a:b] - low] = 1
+        common += held @ held.T
+    union = sizes[:, None] + sizes[None, :] - common
+    near = np.triu((common >= least * union - 1e-6) & ((union > 0) | (sizes[:, None] == sizes[None, :])), 1)
+    return list(zip(*np.nonzero(near)))
+
+
+def spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Those pairs that connect something new, in order."""
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def candidate_groups(docs: DataFrame, views: int = VIEWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, keeper) of equal word sequences, and (doc_id, group, size) of their keepers that may be similar."""
+    def compute(batches):
+        for batch in batches:
+            words = [(t.as_py() or b"").lower().split() for t in batch.column("text").cast(pa.binary())]
+            digests = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
+            fps = np.array([word_fingerprints(w, views) for w in words], np.uint64).reshape(len(words), views).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(list(fps), pa.list_(pa.int64()))],
+                                             names=["doc_id", "text_hash", "digest", "fps"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = materialise(rows.mapInArrow(compute, "doc_id long, text_hash long, digest binary, fps array<long>"), "copies-prints")
+    keepers = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("keeper")), "copies-keepers")
+    copies = rows.select("doc_id", "text_hash", "digest").join(keepers, "digest").select("doc_id", "text_hash", "keeper")
+    distinct = rows.join(keepers, "digest").where("doc_id = keeper").select("doc_id", F.explode(F.array_distinct("fps")).alias("fp")).distinct()
+    distinct = materialise(distinct, "copies-distinct")
+    at = components(hamming_links(distinct.select("fp").distinct()))
+    placed = distinct.join(at, F.col("fp") == F.col("node"), "left").select("doc_id", F.coalesce("component", "fp").alias("spot"))
+    least = placed.groupBy("spot").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = components(placed.join(least, "spot").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    groups = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return copies, materialise(groups.join(sizes, "group"), "copies-groups")
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """(a, b): links of similar documents that connect all that such links connect inside each group.
+
+    A group is cut into blocks and every two blocks meet in one task, so a large group is neither
+    gathered nor expanded into pairs of rows: a document is sent once per block of its group, and a
+    task returns fewer links than it has documents.
+    """
+    def compare(batches):
+        for frame in _runs(batches, ["group", "one", "two"]):
+            ids = frame["doc_id"]
+            sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+            links = spanning(similar_pairs(sets, least), len(ids)) if len(ids) > 1 else []
+            yield pa.RecordBatch.from_pydict({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
+
+    def shingled(batches):
+        for batch in batches:
+            found = [shingle_hashes((t.as_py() or b"").lower().split(), size).tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("group", "size", "doc_id")], pa.array(found, pa.binary())],
+                                             names=["group", "size", "doc_id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups, "doc_id").select("group", "size", "doc_id", "text")
+    rows = texts.mapInArrow(shingled, "group long, size long, doc_id long, shingles binary")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("group", F.least("_own", "_other").alias("one"), F.greatest("_own", "_other").alias("two"), "doc_id", "shingles")
+    return rows.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "doc_id").mapInArrow(compare, "a long, b long")
+
+
+def _runs(batches, keys: list[str]):
+    """The rows of equal keys in sorted batches, as a dict of lists."""
+    held, at = None, None
+    for batch in batches:
+        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        for key, *values in zip(zip(*(columns[k] for k in keys)), *columns.values()):
+            if key != at:
+                if held:
+                    yield held
+                held, at = {name: [] for name in columns}, key
+            for name, value in zip(columns, values):
+                held[name].append(value)
+    if held:
+        yield held
+
+
+def without_near_copies(docs: DataFrame, views: int = VIEWS, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """One document of each group of copies and near copies, that with the smallest doc_id, all columns kept.
+
+    Near copies are documents whose distinct ``size``-word shingles have a Jaccard similarity of
+    ``least`` or more. Candidates are documents whose words have fingerprints within three bits
+    under one of ``views`` hash functions. Rows without a doc_id stay; rows that share a doc_id are
+    one document, of which the row with the smallest text hash stays.
+    """
+    copies, groups = candidate_groups(docs, views)
+    links = verified_links(docs, groups, least, size)
+    merged = components(links).where("node <> component").select(F.col("node").alias("keeper"))
+    kept = copies.where("doc_id = keeper").join(merged, "keeper", "left_anti").groupBy("doc_id").agg(F.min("text_hash").alias("_hash"))
+    kept = kept.select(F.col("doc_id").alias("_id"), "_hash")
+    named = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.union(docs.where("doc_id is null"))
