@@ -7,10 +7,12 @@ model and the costs of the channel. The restored words, not the written ones, ar
 
 * The language model has n-grams of up to ``ORDER`` characters, hashed into ``LM_WIDTH`` counts and
   added up over every document; shorter contexts stand in for unseen ones.
-* The score is a logistic regression on the restored words and their beginnings, trained by
+* The score is a logistic regression on the restored words and their beginnings. Its weights are
+  not negative, so harmless words around an insult cannot make up for it. It is trained by
   follow-the-regularised-leader with an L1 penalty on about ``most`` labelled documents, an equal
-  share of each class found by the hash of their ids (``most`` is the documented bound). Held-out
-  documents never train. The classes' true shares come back as an offset.
+  share of each class found by the hash of their ids (``most`` is the documented bound). A fifth of
+  them, weighted to the classes' true shares, fits the scale and offset that make the sums
+  probabilities. Held-out documents never train.
 
 Nulls and odd rows: a null or empty text has no words and the score of one; a null label is no
 label; several labels of one document count as their largest; rows that share a doc_id are scored
@@ -29,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.language_id import follow_leader, letters, ngram_columns
+from ledgerloom.llm.language_id import letters, ngram_columns
 from ledgerloom.llm.quality import labelled
-from ledgerloom.llm.tables import bounded_sample, is_held_out
+from ledgerloom.llm.tables import bounded_sample, is_held_out, unit_hash
 
 ORDER, LM_BITS = 5, 19
 LM_WIDTH = 1 << LM_BITS
@@ -46,6 +48,8 @@ LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = set(" .-_*~'`´^/\\,:;•·")
 EDGES = ".,;:!?\"'()[]{}<>*#&%|-_~`/\\=+…«»„“”’"
 REPEATED = re.compile(r"(.)\1\1")
+# Three signs or more at an end are decoration, not letters.
+DECORATION = re.compile(r"^[\W_]{3,}|[\W_]{3,}$")
 COST_LOOK_ALIKE, COST_DROP, COST_SPACE = 0.7, 0.3, 0.6
 
 
@@ -84,32 +88,41 @@ class LanguageModel:
     """log P(character | up to four characters before), from hashed counts."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.known: dict[tuple[str, str], float] = {}
+        self.counts = counts.tolist()
+        self.known: dict[str, dict[str, float]] = {}
         self.total = None
 
-    def _column(self, gram: str) -> int:
-        return int(ngram_columns(np.array([ord(c) for c in gram], np.uint32), len(gram), LM_BITS)[-1])
+    @staticmethod
+    def column(gram: str) -> int:
+        """The column that :func:`ngram_columns` gives one n-gram."""
+        rolling = 0
+        for c in gram:
+            rolling = (rolling * 0x01000193 + ord(c) * 0x9E3779B1) & 0xFFFFFFFF
+        mixed = ((rolling ^ rolling >> 15) * 0x85EBCA6B + len(gram) * 0x632BE5AB) & 0xFFFFFFFF
+        return mixed >> 32 - LM_BITS
 
     def log_p(self, before: str, character: str) -> float:
-        key = (before, character)
-        if key not in self.known:
-            if len(self.known) > 2_000_000:
+        following = self.known.get(before)
+        if following is None:
+            if len(self.known) > 300_000:
                 self.known.clear()
-            self.known[key] = self._compute(before, character)
-        return self.known[key]
+            following = self.known[before] = {}
+        found = following.get(character)
+        if found is None:
+            found = following[character] = self._compute(before, character)
+        return found
 
     def _compute(self, before: str, character: str) -> float:
         if before:
-            base = self.counts[self._column(before)]
-            both = self.counts[self._column(before + character)]
+            base = self.counts[self.column(before)]
+            both = self.counts[self.column(before + character)]
             # Below three sightings a hashed count may be a collision.
             if both > 2 and base >= both:
                 return math.log(both / base)
             return BACK_OFF + self.log_p(before[1:], character)
         if self.total is None:
-            self.total = float(self.counts[self._column(" ")]) * 6 + 100.0
-        return math.log((self.counts[self._column(character)] + 0.5) / self.total)
+            self.total = float(self.counts[self.column(" ")]) * 6 + 100.0
+        return math.log((self.counts[self.column(character)] + 0.5) / self.total)
 
 
 # ---------------------------------------------------------------- decoding
@@ -168,13 +181,15 @@ class Reader:
 
     def restored(self, word: str) -> list[str]:
         """The words that a written word without spaces means."""
-        core = word if word.isalpha() else word.strip(EDGES)
+        if word.isalpha() and not REPEATED.search(word):
+            return [word]
+        core = DECORATION.sub("", word).strip(EDGES)
         if core.isalpha():
             return restore(core, self.model).split() if REPEATED.search(core) else [core]
         if not any(c.isalpha() for c in core):
             return []
         if all(c.isalpha() or c in LOOK_ALIKES or c in SEPARATORS for c in core):
-            return restore(word.rstrip(".,;:?\"')").lstrip("\"'("), self.model).split()
+            return restore(DECORATION.sub("", word).rstrip(".,;:?\"')").lstrip("\"'("), self.model).split()
         return "".join(c if c.isalpha() else " " for c in core).split()
 
     @staticmethod
@@ -209,8 +224,8 @@ class Reader:
 
 
 def word_features(word: str) -> list[int]:
-    """The word itself and its beginnings of four to six letters, hashed."""
-    names = [f"={word}"] + [f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k]
+    """The word itself and its beginnings of four to seven letters, hashed."""
+    names = [f"={word}"] + [f"^{word[:k]}" for k in (4, 5, 6, 7) if len(word) >= k]
     return [zlib.crc32(x.encode()) >> (32 - FEATURE_BITS) for x in names]
 
 
@@ -232,6 +247,50 @@ class Toxicity:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def positive_regression(rows: list[np.ndarray], y: np.ndarray, width: int, l1: float, epochs: int = 8, alpha: float = 1.0,
+                        beta: float = 1.0, l2: float = 0.02, shown: float = 0.35) -> tuple[np.ndarray, float]:
+    """Weights, none negative, and the bias of a logistic regression on sets of columns.
+
+    Each pass shows a random ``shown`` of the columns of a row of class 1, so that one insult has to
+    suffice where a document of the sample has many, and all columns of a row of class 0.
+    """
+    z, n, bias_z, bias_n = np.zeros(width), np.zeros(width), 0.0, 0.0
+
+    def weights(at):
+        return np.maximum(0.0, -(z[at] + l1)) / ((beta + np.sqrt(n[at])) / alpha + l2)
+
+    def bias():
+        return -bias_z / ((beta + math.sqrt(bias_n)) / alpha)
+
+    order = np.random.default_rng(10)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            at = rows[i][order.random(len(rows[i])) < shown] if y[i] else rows[i]
+            w, b = weights(at), bias()
+            g = 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, w.sum() + b)))) - y[i]
+            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
+            z[at] += g - step * w
+            n[at] += g * g
+            bias_z += g - (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / alpha * b
+            bias_n += g * g
+    return weights(np.arange(width)), bias()
+
+
+def scale_and_offset(sums: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
+    """The (scale, offset) of sums that minimise the weighted logistic loss, by Newton's method; the ridge pulls the scale to 1."""
+    beta = np.array([1.0, -1.0])
+    x = np.c_[sums, np.ones(len(sums))]
+    pull, target = np.array([ridge, ridge / 100]), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (weight * (p - y)) + pull * (beta - target)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pull), gradient)
+        beta = beta - step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return max(0.1, float(beta[0])), float(beta[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = 10_000) -> Toxicity:
     """The language model of all documents and the regression on a class-balanced labelled sample."""
     counts = character_counts(docs)
@@ -246,7 +305,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    sample = rows.select("doc_id", "label", "text").mapInArrow(to_features, "doc_id long, label int, features binary").toPandas()
+    sample = rows.select("doc_id", "label", "text").mapInArrow(to_features, "doc_id long, label int, features binary")
+    sample = sample.withColumn("checks", unit_hash("doc_id", 29) < 0.2).toPandas()
     sample = sample.sort_values(["doc_id", "features"], kind="stable")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     y = sample["label"].to_numpy(int)
@@ -255,10 +315,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
         return Toxicity(counts, weights, -40.0)
     columns = [np.frombuffer(x, "<u4").astype(np.int64) for x in sample["features"]]
     seen = np.bincount(np.concatenate(columns), minlength=FEATURES) if columns else np.zeros(FEATURES)
-    rows = [(c[seen[c] > 1], np.ones(int((seen[c] > 1).sum()))) for c in columns]
-    w, b = follow_leader(rows, y, 2, FEATURES, epochs=3, alpha=0.3, l1=1.5, l2=0.05)
-    offset = math.log(shares[1] / shares[0]) - math.log(y.sum() / (len(y) - y.sum()))
-    return Toxicity(counts, (w[:, 1] - w[:, 0]).astype(np.float32), float(b[1] - b[0] + offset))
+    columns = [c[seen[c] > 1] for c in columns]
+    checks = sample["checks"].to_numpy(bool)
+    fits = np.flatnonzero(~checks) if len(set(y[checks])) == len(set(y[~checks])) == 2 else np.arange(len(y))
+    checks = np.setdiff1d(np.arange(len(y)), fits) if len(fits) < len(y) else fits
+    w, _ = positive_regression([columns[i] for i in fits], y[fits], FEATURES, l1=min(6.0, max(1.0, 0.012 * y[fits].sum())))
+    true = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))[checks]
+    scale, offset = scale_and_offset(np.array([w[columns[i]].sum() for i in checks]), y[checks], true / true.mean())
+    return Toxicity(counts, (w * scale).astype(np.float32), offset)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
