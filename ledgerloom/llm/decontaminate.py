@@ -108,5 +108,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified overlap, all columns kept."""
-    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak_doc")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_leak_doc")), "left_anti")

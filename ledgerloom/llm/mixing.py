@@ -26,6 +26,7 @@ from ledgerloom.llm.tables import WORD
 from ledgerloom.scratch import materialise
 
 GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
+NO_ID = -(1 << 63)
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3) -> DataFrame:
@@ -182,9 +183,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     begun = parts.where("from_word = 0").groupBy("row_id").agg(F.countDistinct("epoch").alias("_begun"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.coalesce("_begun", F.lit(0)))
     counts = (laid.join(begun, "row_id", "left")
-              .groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("source_key").alias("_key"), F.col("text_hash").alias("_hash"))
-              .agg(F.sum(copies).cast("int").alias("_copies")).where("_copies > 0"))
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_key": source_key("source"), "_hash": F.xxhash64("text")})
-    return (rows.dropDuplicates(["_id", "_key", "_hash"]).join(counts, ["_id", "_key", "_hash"])
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+              .groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_mix_id"), F.col("source_key").alias("_mix_key"), F.col("text_hash").alias("_mix_hash"))
+              .agg(F.sum(copies).cast("int").alias("_mix_copies")).where("_mix_copies > 0"))
+    rows = docs.withColumns({"_mix_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_mix_key": source_key("source"), "_mix_hash": F.xxhash64("text")})
+    return (rows.dropDuplicates(["_mix_id", "_mix_key", "_mix_hash"]).join(counts, ["_mix_id", "_mix_key", "_mix_hash"])
+            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
             .select(*docs.columns))

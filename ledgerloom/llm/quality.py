@@ -80,7 +80,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
     """Fit on a class-balanced sample of about ``most`` labelled documents; the base score is set back to the classes' shares."""
     known = labelled(labels, column)
     chosen = bounded_sample(known, "label", "label_id", most)  # ids and labels only: its size is bounded by ``most``
-    rows = _with_statistics(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text"), ["label"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = _with_statistics(texts.select("label", "text"), ["label"])
     found = rows.toPandas()
     x = np.array(found["statistics"].tolist(), float).reshape(len(found), len(STATISTICS))
     y = found["label"].to_numpy(float)
@@ -92,24 +93,30 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
     return model
 
 
-def score(docs: DataFrame, model: boosted_trees.FlatTrees, keep: list[str], threshold: float) -> DataFrame:
-    """The columns ``keep`` of every document with its score and predicted class."""
-    kinds = dict(docs.dtypes)
+def scored(batch: pa.RecordBatch, model: boosted_trees.FlatTrees) -> np.ndarray:
+    texts = batch.column("text").cast(pa.binary())
+    x = np.array([statistics(t.as_py() or b"") for t in texts], float).reshape(len(texts), len(STATISTICS))
+    return model.scores(x)
+
 
+def accepted(docs: DataFrame, model: boosted_trees.FlatTrees, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, all columns as they are."""
     def compute(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            x = np.array([statistics(t.as_py() or b"") for t in texts], float).reshape(len(texts), len(STATISTICS))
-            found = model.scores(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found), pa.array((found >= threshold).astype(np.int32))],
-                                             names=[*keep, "score", "predicted"])
+            yield batch.filter(pa.array(scored(batch, model) >= threshold))
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(
-        compute, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double, predicted int")
+    return docs.mapInArrow(compute, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = train(docs, labels)
+
+    def compute(batches):
+        for batch in batches:
+            found = scored(batch, model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
+                                             names=["doc_id", "held_out", "score", "predicted"])
+
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", is_held_out())
-    return score(keyed, model, ["doc_id", "held_out"], threshold)
+    return keyed.select("doc_id", "held_out", "text").mapInArrow(compute, "doc_id long, held_out boolean, score double, predicted int")

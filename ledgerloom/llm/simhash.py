@@ -341,7 +341,7 @@ def without_near_copies(docs: DataFrame, views: int = VIEWS, least: float = SIMI
     copies, groups = candidate_groups(docs, views)
     links = verified_links(docs, groups, least, size)
     merged = components(links).where("node <> component").select(F.col("node").alias("keeper"))
-    kept = copies.where("doc_id = keeper").join(merged, "keeper", "left_anti").groupBy("doc_id").agg(F.min("text_hash").alias("_hash"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "_hash")
-    named = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = copies.where("doc_id = keeper").join(merged, "keeper", "left_anti").groupBy("doc_id").agg(F.min("text_hash").alias("_kept_hash"))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), "_kept_hash")
+    named = docs.join(kept, (F.col("doc_id") == F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_hash"))).dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.union(docs.where("doc_id is null"))

@@ -10,9 +10,9 @@ model and the costs of the channel. The restored words, not the written ones, ar
 * The score is a logistic regression on the restored words and their beginnings. Its weights are
   not negative, so harmless words around an insult cannot make up for it. It is trained by
   follow-the-regularised-leader with an L1 penalty on about ``most`` labelled documents, an equal
-  share of each class found by the hash of their ids (``most`` is the documented bound). A fifth of
-  them, weighted to the classes' true shares, fits the scale and offset that make the sums
-  probabilities. Held-out documents never train.
+  share of each class found by the hash of their ids (``most`` is the documented bound). Sums that
+  other folds' weights give them, weighted to the classes' true shares, fit the scale and offset
+  that make sums probabilities. Held-out documents never train.
 
 Nulls and odd rows: a null or empty text has no words and the score of one; a null label is no
 label; several labels of one document count as their largest; rows that share a doc_id are scored
@@ -41,6 +41,7 @@ FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
 BACK_OFF = math.log(0.4)
 BEAM = 24
+FOLDS = 4
 MEMO_WORDS = 300_000
 # What a sign may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -247,12 +248,13 @@ class Toxicity:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def positive_regression(rows: list[np.ndarray], y: np.ndarray, width: int, l1: float, epochs: int = 8, alpha: float = 1.0,
-                        beta: float = 1.0, l2: float = 0.02, shown: float = 0.35) -> tuple[np.ndarray, float]:
+def positive_regression(rows: list[np.ndarray], y: np.ndarray, width: int, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0,
+                        l1: float = 6.0, l2: float = 0.02, shown: float = 0.35) -> tuple[np.ndarray, float]:
     """Weights, none negative, and the bias of a logistic regression on sets of columns.
 
     Each pass shows a random ``shown`` of the columns of a row of class 1, so that one insult has to
-    suffice where a document of the sample has many, and all columns of a row of class 0.
+    suffice where a document of the sample has many, and all columns of a row of class 0. The L1
+    penalty is more than what a column gathers that only three rows have.
     """
     z, n, bias_z, bias_n = np.zeros(width), np.zeros(width), 0.0, 0.0
 
@@ -306,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     sample = rows.select("doc_id", "label", "text").mapInArrow(to_features, "doc_id long, label int, features binary")
-    sample = sample.withColumn("checks", unit_hash("doc_id", 29) < 0.2).toPandas()
+    sample = sample.withColumn("fold", F.floor(unit_hash("doc_id", 29) * FOLDS).cast("int")).toPandas()
     sample = sample.sort_values(["doc_id", "features"], kind="stable")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     y = sample["label"].to_numpy(int)
@@ -316,12 +318,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
     columns = [np.frombuffer(x, "<u4").astype(np.int64) for x in sample["features"]]
     seen = np.bincount(np.concatenate(columns), minlength=FEATURES) if columns else np.zeros(FEATURES)
     columns = [c[seen[c] > 1] for c in columns]
-    checks = sample["checks"].to_numpy(bool)
-    fits = np.flatnonzero(~checks) if len(set(y[checks])) == len(set(y[~checks])) == 2 else np.arange(len(y))
-    checks = np.setdiff1d(np.arange(len(y)), fits) if len(fits) < len(y) else fits
-    w, _ = positive_regression([columns[i] for i in fits], y[fits], FEATURES, l1=min(6.0, max(1.0, 0.012 * y[fits].sum())))
-    true = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))[checks]
-    scale, offset = scale_and_offset(np.array([w[columns[i]].sum() for i in checks]), y[checks], true / true.mean())
+    folds = sample["fold"].to_numpy(int)
+    sums = np.zeros(len(y))
+    for fold in range(FOLDS):
+        others = np.flatnonzero(folds != fold)
+        w, _ = positive_regression([columns[i] for i in others], y[others], FEATURES)
+        for i in np.flatnonzero(folds == fold):
+            sums[i] = w[columns[i]].sum()
+    true = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
+    scale, offset = scale_and_offset(sums, y, true / true.mean())
+    w, _ = positive_regression(columns, y, FEATURES)
     return Toxicity(counts, (w * scale).astype(np.float32), offset)
 
 
