@@ -13,11 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerloom.scratch import materialise
 
-SKETCH_ACCURACY = 10000
-# Groups below this size keep all their values in the second pass.
-SMALL_GROUP = 5000
-# Largest number of rows whose values one aggregate may hold.
-GATHER_LIMIT = 200000
 # Largest table that is broadcast, in rows of keys and a few numbers.
 BROADCAST_ROWS = 100000
 SALTS = 16
@@ -112,71 +107,27 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str],
 
 
 def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float],
-                    groups: list[str] | None = None,
-                    gather_limit: int = GATHER_LIMIT) -> DataFrame:
+                    groups: list[str] | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: (groups…, variable, probability, quantile, n).
 
-    Up to ``gather_limit`` rows in total ``percentile`` does it in one pass. Beyond that:
-
-    Pass one brackets every quantile with a mergeable sketch; pass two counts the rows below a
-    bracket and keeps only the distinct values inside it (a few ten-thousandths of a big group).
+    The values are ranked on range partitions and the two order statistics around each probability
+    picked by their rank, at any size: no group is gathered, sampled or treated apart.
     """
     groups = list(groups or [])
     keys = groups + ["variable"]
-    stored = materialise(df.select(*groups, *values), "values")
-    if stored.count() <= gather_limit:
-        return _gathered_quantiles(stored, values, probabilities, groups)
-    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"))
-                      for v in values])
-    long = (stored.select(*groups, F.explode(pairs).alias("_p")).select(*groups, "_p.*")
-            .filter(F.col("value").isNotNull()))
-    slack = 5 / SKETCH_ACCURACY
-    marks = [max(0.0, p - slack) for p in probabilities] + [min(1.0, p + slack) for p in probabilities]
-    m = len(probabilities)
-    brackets = (long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
-        F.percentile_approx("value", F.array(*[F.lit(x) for x in marks]),
-                            F.lit(SKETCH_ACCURACY)).alias("_marks"))
-        .withColumn("_small", F.col("n") < SMALL_GROUP))
-    structs = []
-    for i, p in enumerate(probabilities):
-        structs.append(F.struct(
-            F.lit(p).alias("probability"),
-            F.when(F.col("_small") | F.lit(p <= 0), F.col("_min")).otherwise(F.col("_marks")[i]).alias("low"),
-            F.when(F.col("_small") | F.lit(p >= 1), F.col("_max")).otherwise(F.col("_marks")[m + i]).alias("high")))
-    brackets = brackets.select(*keys, "n", F.array(*structs).alias("_brackets"))
-    joined = join_marks(long, materialise(brackets, "brackets"), keys, "value")
-    inside = F.transform(F.filter("_brackets", lambda b: F.col("value") <= b["high"]), lambda b: F.struct(
-        b["probability"].alias("probability"),
-        # NULL stands for "below the bracket": all such rows collapse before the shuffle.
-        F.when(F.col("value") >= b["low"], F.col("value")).alias("value")))
-    counted = (joined.select(*keys, "n", F.explode(inside).alias("_b")).select(*keys, "n", "_b.*")
-               .groupBy(*keys, "n", "probability", "value").agg(F.count(F.lit(1)).alias("_c")))
-    spot = F.col("probability") * (F.col("n") - 1)
-    k = F.floor(spot)
-    w = W.partitionBy(*keys, "probability").orderBy(F.col("value").asc_nulls_first())
-    placed = counted.withColumn("_cum", F.sum("_c").over(w)).withColumn("_k", k)
-    start = F.col("_cum") - F.col("_c")
-
-    def at(position):
-        return F.max(F.when((start <= position) & (position < F.col("_cum")), F.col("value")))
-
-    return (placed.groupBy(*keys, "n", "probability").agg(
-        at(F.col("_k")).alias("_a"), at(F.least(F.col("_k") + 1, F.col("n") - 1)).alias("_b"))
-        .select(*keys, "probability", (F.col("_a") + (F.col("_b") - F.col("_a")) * (spot - k)).alias("quantile"), "n"))
-
-
-def _gathered_quantiles(rows: DataFrame, values: list[str], probabilities: list[float],
-                        groups: list[str]) -> DataFrame:
-    points = F.array(*[F.lit(float(p)) for p in probabilities])
-    aggregates = [x for i, v in enumerate(values) for x in (
-        F.percentile(F.col(v).cast("double"), points).alias(f"_q{i}"), F.count(v).alias(f"_n{i}"))]
-    wide = rows.groupBy(*groups).agg(*aggregates) if groups else rows.agg(*aggregates)
-    cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(float(p)).alias("probability"),
-                               F.col(f"_q{i}")[j].alias("quantile"), F.col(f"_n{i}").alias("n"))
-                      for i, v in enumerate(values) for j, p in enumerate(probabilities)])
-    return (wide.select(*groups, F.explode(cells).alias("_c")).select(*groups, "_c.*")
-            .filter(F.col("n") > 0))
+    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in values])
+    long = df.select(*groups, F.explode(pairs).alias("_p")).select(*groups, "_p.*").filter(F.col("value").isNotNull())
+    placed = ranked(long, [F.col("value").asc()], keys, "_rank", "n")
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("probability"), (F.lit(float(p)) * (F.col("n") - 1)).alias("spot")) for p in probabilities])
+    # A value matters to the probabilities whose spot is less than one rank away; all others leave here.
+    near = F.filter(asked, lambda q: F.abs(q["spot"] - (F.col("_rank") - 1)) < 1)
+    hits = placed.select(*keys, "n", "_rank", "value", F.explode(near).alias("_q")).select(*keys, "n", "_rank", "value", "_q.*")
+    weight = 1 - F.abs(F.col("spot") - (F.col("_rank") - 1))
+    low = F.max(F.when(F.col("_rank") - 1 <= F.col("spot"), F.col("value")))
+    high = F.max(F.col("value"))
+    share = F.max(F.when(F.col("_rank") - 1 > F.col("spot"), weight).otherwise(0.0))
+    return (hits.groupBy(*keys, "n", "probability").agg(low.alias("_a"), high.alias("_b"), share.alias("_w"))
+            .select(*keys, "probability", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("quantile"), "n"))
 
 
 def wide_quantiles(quantiles: DataFrame, groups: list[str], values: list[str],

@@ -13,8 +13,6 @@ from ledgerloom.scratch import materialise
 from ledgerloom.settings import KEYS, NUMERIC_FEATURES, SPEND_WINDOWS, WEEK_CHANNELS, WEEKS
 
 WINDOW_DAYS = WEEKS * 7
-# Largest number of values of one customer that a task may gather.
-GATHER_LIMIT = 10000
 
 
 def invoices_as_of(grain: DataFrame, cutoffs: list[date]) -> DataFrame:
@@ -106,18 +104,9 @@ def dense_weeks(bins: DataFrame, first_days: DataFrame) -> DataFrame:
 
 
 def median_order_values(invoices: DataFrame) -> DataFrame:
-    """Exact median order value. ``invoices`` is read several times, so it should be stored.
-
-    ``median`` gathers a group's values, which is fine for ordinary customers. Customers with
-    very many invoices are left out of it and go through the distributed quantiles.
-    """
+    """Exact median order value, by ranks that gather no customer's invoices."""
     values = invoices.selectExpr(*KEYS, f"{from_units('revenue_units')} AS median_order_value_gbp")
-    hot = values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GATHER_LIMIT).select(*KEYS)
-    usual = F.median("median_order_value_gbp").alias("median_order_value_gbp")
-    if hot.isEmpty():
-        return values.groupBy(*KEYS).agg(usual)
-    rest = values.join(hot, KEYS, "left_anti").groupBy(*KEYS).agg(usual)
-    return rest.unionByName(exact_medians(values.join(hot, KEYS, "left_semi"), ["median_order_value_gbp"], KEYS))
+    return exact_medians(values, ["median_order_value_gbp"], KEYS)
 
 
 def build_panel(purchases: DataFrame, credits: DataFrame, cutoffs: list[date], horizon_days: int = 90,

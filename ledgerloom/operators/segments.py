@@ -48,7 +48,7 @@ class SegmentSpace:
             projected).drop("_pc")
 
 
-def best_kmeans(points: DataFrame, k: int, seed: int, restarts: int = 3, max_iter: int = 500):
+def best_kmeans(points: DataFrame, k: int, seed: int, restarts: int = 20, max_iter: int = 500):
     """Restart with the lowest training cost."""
     fits = [KMeans(featuresCol="z", predictionCol="segment", k=k, seed=seed * 1000 + i, maxIter=max_iter, tol=1e-4)
             .fit(points) for i in range(restarts)]
@@ -101,41 +101,17 @@ def davies_bouldin(points: DataFrame, coordinates: list[str], label: str) -> Dat
     return table.select((F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / F.size("cs")).alias("davies_bouldin"))
 
 
-def sampled_silhouette(points: DataFrame, size: int = 3500, seed: int = SEED, label: str = "segment") -> float:
-    """Euclidean silhouette on a fixed-size sample.
+def silhouette(points: DataFrame, label: str = "segment") -> float:
+    """Mean silhouette of all rows, with squared Euclidean distances.
 
-    The sample has at most ``size`` rows whatever the cohort, so it is shipped to the tasks; the
-    sampled rows are still scored by Spark.
+    With those, a row's mean distance to a cluster follows from the cluster's size, sum and squared
+    norm, so two passes over the rows suffice and no pairs are formed.
     """
-    picked = (points.select(*KEYS, F.col(label).cast("int").alias("_label"), vector_to_array("z").alias("_z"))
-              .orderBy(F.xxhash64(F.lit(seed), *KEYS), *KEYS).limit(size))
-    stored = materialise(picked, "sample")
-    sample = stored.collect()
-    base = np.array([r["_z"] for r in sample])
-    labels = np.array([r["_label"] for r in sample])
-    kinds = np.unique(labels)
-    if len(kinds) < 2:
-        return float("nan")
-
-    def score(batches):
-        for rows in batches:
-            z = np.array(rows["_z"].tolist())
-            own = rows["_label"].to_numpy()
-            distance = np.sqrt(np.maximum(((z[:, None, :] - base[None, :, :]) ** 2).sum(axis=2), 0))
-            sums = np.stack([distance[:, labels == k].sum(axis=1) for k in kinds], axis=1)
-            sizes = np.array([(labels == k).sum() for k in kinds])
-            mine = kinds[None, :] == own[:, None]
-            inside = (sums * mine).sum(axis=1) / np.maximum((sizes * mine).sum(axis=1) - 1, 1)
-            outside = np.where(mine, np.inf, sums / sizes).min(axis=1)
-            alone = (sizes * mine).sum(axis=1) == 1
-            s = np.where(alone, 0.0, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300))
-            yield pd.DataFrame(dict(s=s))
-
-    return float(stored.repartition(8).mapInPandas(score, "s double").agg(F.avg("s")).first()[0])
+    return float(ClusteringEvaluator(featuresCol="z", predictionCol=label).evaluate(points))
 
 
 def kmeans_candidates(train: DataFrame, sizes: range | list[int] = range(2, 9), seeds: list[int] | None = None,
-                      spaces: tuple[bool, ...] = (True, False), restarts: int = 3) -> tuple[DataFrame, dict]:
+                      spaces: tuple[bool, ...] = (True, False), restarts: int = 20) -> tuple[DataFrame, dict]:
     """Grid over projections, cluster counts and seeds; returns the table and the fitted models."""
     spark = train.sparkSession
     seeds = seeds or [SEED, SEED + 1, SEED + 2]
@@ -156,11 +132,11 @@ def kmeans_candidates(train: DataFrame, sizes: range | list[int] = range(2, 9),
                 share = float(shares(one).agg(F.min("customer_share")).first()[0])
                 smallest.append(share)
                 if share >= MIN_SHARE:
-                    silhouettes.append(sampled_silhouette(one))
+                    silhouettes.append(silhouette(one))
                     flat = one.withColumn("_a", vector_to_array("z")).select(
                         "segment", *[F.col("_a")[j].alias(c) for j, c in enumerate(coordinates)])
                     scatters.append(float(davies_bouldin(flat, coordinates, "segment").first()[0]))
-            squared = ClusteringEvaluator(featuresCol="z", predictionCol="s0").evaluate(labelled)
+            squared = silhouette(labelled, "s0")
             stability = [float(adjusted_rand(labelled, "s0", f"s{i}").first()[0]) for i in range(1, len(seeds))]
             labelled.unpersist()
             name = "kmeans_pca" if use_pca else "kmeans_no_pca"

@@ -10,13 +10,13 @@ from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import SparkSession
 
-from ledgerloom.operators import behaviour, models, segments
+from ledgerloom.operators import behaviour, boosting, models, segments
 from ledgerloom.operators.design import Design, FittedDesign
 
 KINDS = {c.__name__: c for c in (
     models.Prevalence, models.LogisticModel, models.TreeClassifier, models.PurchaseHazard, models.Platt,
     models.WeeklyNetwork, models.RevenueGlm, models.TreeRegressor, models.LogNormalHurdle,
-    behaviour.BetaGeoNbd, behaviour.GammaGamma, behaviour.ParetoNbd, segments.DiagonalMixture, segments.SegmentSpace)}
+    behaviour.BetaGeoNbd, behaviour.GammaGamma, behaviour.ParetoNbd, boosting.LogLinkBoosting, boosting.BoostedHurdle, segments.DiagonalMixture, segments.SegmentSpace)}
 
 
 def _plain(value):
@@ -27,6 +27,8 @@ def _plain(value):
                            "design": dataclasses.asdict(value.design)}}
     if isinstance(value, Design):
         return {"design": dataclasses.asdict(value)}
+    if isinstance(value, list) and value and all(isinstance(v, dict) for v in value):
+        return {"tables": [[[k, float(x)] for k, x in sorted(v.items())] for v in value]}  # leaf values per tree
     return value.item() if isinstance(value, np.generic) else value
 
 
@@ -37,6 +39,8 @@ def _design(fields: dict) -> Design:
 def _restored(value):
     if isinstance(value, dict) and set(value) == {"array"}:
         return np.array(value["array"])
+    if isinstance(value, dict) and set(value) == {"tables"}:
+        return [{int(k): x for k, x in table} for table in value["tables"]]
     if isinstance(value, dict) and set(value) == {"design"}:
         return _design(value["design"])
     if isinstance(value, dict) and set(value) == {"fitted"}:
@@ -47,12 +51,17 @@ def _restored(value):
 
 
 def save_model(spark: SparkSession, model, path: str) -> None:
-    """Write a fitted model of any kind in ``KINDS`` under ``path``."""
+    """Write a fitted model of any kind in ``KINDS`` under ``path``, with the models that it holds."""
     plain, parts = {}, []
     for name, value in vars(model).items():
-        if isinstance(value, Model):
-            value.write().overwrite().save(f"{path}/{name}")
-            parts.append(name)
+        held = value if isinstance(value, list) and value and all(isinstance(v, Model) for v in value) else [value]
+        if type(value).__name__ in KINDS:
+            save_model(spark, value, f"{path}/{name}")
+            parts.append(f"{name}:kind")
+        elif all(isinstance(v, Model) for v in held):
+            for i, part in enumerate(held):
+                part.write().overwrite().save(f"{path}/{name}/{i}")
+            parts.append(f"{name}:{len(held) if held is value else 'one'}")
         else:
             plain[name] = _plain(value)
     row = (type(model).__name__, json.dumps(plain), parts)
@@ -65,6 +74,8 @@ def load_model(spark: SparkSession, path: str):
     model = object.__new__(KINDS[row["kind"]])
     for name, value in json.loads(row["parameters"]).items():
         setattr(model, name, _restored(value))
-    for name in row["parts"]:
-        setattr(model, name, DefaultParamsReader.loadParamsInstance(f"{path}/{name}", spark))
+    for part in row["parts"]:
+        name, how = part.rsplit(":", 1)
+        read = lambda i: DefaultParamsReader.loadParamsInstance(f"{path}/{name}/{i}", spark)  # noqa: B023, E731
+        setattr(model, name, load_model(spark, f"{path}/{name}") if how == "kind" else read(0) if how == "one" else [read(i) for i in range(int(how))])
     return model

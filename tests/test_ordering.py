@@ -28,11 +28,10 @@ def test_running_totals(skewed):
     assert (pdf["cum_total"] == pdf.groupby("g", dropna=False)["c"].transform("sum")).all()
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 6])
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_exact_quantiles(skewed, groups, limit):
+def test_exact_quantiles(skewed, groups):
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    found = exact_quantiles(skewed, ["v", "id"], probabilities, groups, gather_limit=limit).toPandas()
+    found = exact_quantiles(skewed, ["v", "id"], probabilities, groups).toPandas()
     pdf = skewed.toPandas()
     pdf["g"] = pdf["g"].fillna(-1) if groups else 0
     if groups:
@@ -47,7 +46,6 @@ def test_exact_quantiles(skewed, groups, limit):
 
 def test_small_groups_interpolate(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 5.0), (3, 1.0), (3, 2.0), (3, 9.0), (4, None)], "g int, v double")
-    for limit in (0, 100):
-        rows = exact_quantiles(df, ["v"], [0.25, 0.5], ["g"], gather_limit=limit).collect()
-        assert {(r["g"], r["probability"]): r["quantile"] for r in rows} == {
-            (1, 0.25): 1.25, (1, 0.5): 1.5, (2, 0.25): 5.0, (2, 0.5): 5.0, (3, 0.25): 1.5, (3, 0.5): 2.0}
+    rows = exact_quantiles(df, ["v"], [0.25, 0.5], ["g"]).collect()
+    assert {(r["g"], r["probability"]): r["quantile"] for r in rows} == {
+        (1, 0.25): 1.25, (1, 0.5): 1.5, (2, 0.25): 5.0, (2, 0.5): 5.0, (3, 0.25): 1.5, (3, 0.5): 2.0}

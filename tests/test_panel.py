@@ -67,13 +67,12 @@ def test_later_lines_change_no_feature(spark, lines):
     assert first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
 
 
-def test_median_of_a_customer_with_many_invoices(spark, lines, monkeypatch):
+def test_median_of_a_customer_with_many_invoices(spark, lines):
     invoices = spark.range(9000).select(
         F.when(F.col("id") < 8000, 1).otherwise(2 + F.col("id") % 50).cast("bigint").alias("customer_id"),
         F.lit(CUTOFFS[0]).alias("cutoff"), F.pmod(F.xxhash64("id"), F.lit(100000)).alias("revenue_units"))
     want = {r["customer_id"]: r["m"] for r in invoices.groupBy("customer_id").agg(
         (F.median("revenue_units") / 10000).alias("m")).collect()}
-    monkeypatch.setattr(panel, "GATHER_LIMIT", 100)
     got = {r["customer_id"]: r["median_order_value_gbp"] for r in panel.median_order_values(invoices).collect()}
     assert got == pytest.approx(want)
 
