@@ -42,16 +42,16 @@ from ledgerloom.scratch import materialise
 class Settings:
     """Sizes of the index; all are bounds per node, query or task."""
 
-    degree: int = 24         # neighbours that a node keeps
-    both_ways: int = 40      # neighbours of a node counting those that point at it
-    starts: int = 6          # rounds of random cells
-    cell: int = 512          # vectors that are compared with one another in a cell
-    rounds: int = 6          # rounds of NN-descent at most
-    settled: float = 0.02    # share of changed list entries at which it ends
-    offers: int = 8          # best partners that a node hears of per common neighbour
+    degree: int = 32         # neighbours that a node keeps
+    both_ways: int = 64      # neighbours of a node counting those that point at it
+    starts: int = 12         # rounds of random cells
+    cell: int = 2048         # vectors that are compared with one another in a cell
+    rounds: int = 4          # rounds of NN-descent at most
+    settled: float = 0.05    # share of changed list entries at which it ends
+    offers: int = 6          # best partners that a node hears of per common neighbour
     common: int = 64         # nodes from which every query may start
-    beam: int = 96           # best nodes that a query keeps
-    expand: int = 12         # nodes that a query visits per round
+    beam: int = 128          # best nodes that a query keeps
+    expand: int = 40         # nodes that a query visits per round
     walks: int = 12          # rounds of the search at most
     seed: int = 11
 
