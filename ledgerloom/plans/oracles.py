@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.operators.dashboards import FEATURE_TITLES
 from ledgerloom.plans import inputs as I
 from ledgerloom.settings import (NINETY_DAYS, POLICIES, REVIEW_GROUPS, SEGMENT_FEATURES, SIX_MONTHS, Horizon, add_months)
 
@@ -571,12 +572,8 @@ oracle("adjusted_rand", f"SELECT {r('(i - x * y / t) / ((x + y) / 2 - x * y / t)
 oracle("segment_profile", "SELECT segment, count(*) AS customers, " + r("count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM segs)")
        + " AS customer_share, " + ", ".join(f"{r(f'median({c})')} AS {c}_median" for c in SEGMENT_FEATURES) + " FROM segs GROUP BY segment")
 oracle("profile_index", f"SELECT segment, {rs(*SEGMENT_FEATURES)} FROM index_rows")
-_TITLES = {"recency_days": "Recency (days)", "purchase_day_count": "Purchase days", "purchase_count": "Repeat purchase occasions",
-           "lifetime_revenue_gbp": "Historical revenue (£)", "avg_order_value_gbp": "Average order value (£)",
-           "avg_basket_units": "Average basket units", "product_diversity": "Product diversity",
-           "spend_365d_gbp": "Spend in prior 365 days (£)"}
 oracle("profile_index_by_feature", " UNION ALL ".join(
-    f"SELECT '{_TITLES.get(c, c)}' AS feature, " + ", ".join(
+    f"SELECT '{FEATURE_TITLES.get(c, c)}' AS feature, " + ", ".join(
         f"{r(f'max({c}) FILTER (segment = {s})')} AS segment_{s}" for s in range(4)) + " FROM index_rows" for c in SEGMENT_FEATURES))
 oracle("davies_bouldin", f"""SELECT {r('avg(worst)')} AS davies_bouldin FROM (
 SELECT a.segment, max((a.s + b.s) / sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) AS worst
