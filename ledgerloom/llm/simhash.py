@@ -6,8 +6,8 @@ agree on at least three whole blocks, so they share one of the twenty keys made
 linked forms components. Only distinct fingerprints are compared; copies join by equality.
 
 Keys that many fingerprints share (a large group of near copies) are not expanded into all pairs,
-and lose no link all the same. Such a key links its members to its smallest and its largest one
-where they are close enough. Where members of several components are left under a key, it is
+and lose no link all the same. Such a key links its members to its smallest one where they are
+close enough. Where members of several components are left under a key, it is
 refined: the bits that it leaves open are cut into eight parts, of which at least five agree, which
 makes 56 finer keys; these are refined once more down to single bits, where at most eight
 fingerprints can share a key. So the rows per fingerprint are bounded at every level.
@@ -172,8 +172,7 @@ def hamming_links(fps: DataFrame) -> DataFrame:
         if crowded.isEmpty():
             break
         rows = materialise(keyed.join(crowded, ["open", "key"]), "simhash-crowded")
-        found += [rows.where((F.col("fp") != F.col(end)) & _near("fp", end)).select(F.least("fp", end).alias("a"), F.greatest("fp", end).alias("b"))
-                  for end in ("lo", "hi")]
+        found.append(rows.where((F.col("fp") != F.col("lo")) & _near("fp", "lo")).select(F.col("lo").alias("a"), F.col("fp").alias("b")))
         links = materialise(reduce(DataFrame.union, found).distinct(), "simhash-links")
         found = [links]
         at = components(links)
