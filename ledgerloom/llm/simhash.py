@@ -18,8 +18,9 @@ documents with one id; a null doc_id is kept and takes the component of its fing
 or null; an empty table gives an empty result; further columns are ignored.
 
 :func:`without_near_copies` filters by similarity instead of fingerprints: it collapses equal word
-sequences, takes as candidates what fingerprints of the words put together under any of several
-hash functions, and verifies the Jaccard similarity of word shingles before a document goes.
+sequences, takes as candidates all documents that share one of their rarest word shingles (an exact
+set-similarity join by prefixes, which misses no pair), and verifies the Jaccard similarity before
+a document goes.
 """
 
 from __future__ import annotations
@@ -66,38 +67,6 @@ def text_fingerprint(text: bytes, words: int = 3) -> int:
     return _majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles)))
 
 
-def word_fingerprints(words: list[bytes], views: int) -> list[int]:
-    """Fingerprints over the distinct words, each weighing the root of its count, under so many hash functions.
-
-    The three highest bits hold the view, so fingerprints of different views are far apart.
-    """
-    import xxhash
-
-    counts: dict[bytes, int] = {}
-    for word in words:
-        counts[word] = counts.get(word, 0) + 1
-    weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), np.uint64, len(counts))
-    half, out = weights.sum() / 2, []
-    for view in range(views):
-        mixed = scrambled(hashes, view)
-        total = np.zeros(64, np.float32)
-        for low in range(0, len(mixed), 4096):
-            total += weights[low:low + 4096] @ np.unpackbits(mixed[low:low + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = int(np.packbits(total > half, bitorder="little").view(np.uint64)[0])
-        out.append(own & (1 << 61) - 1 | view << 61)
-    return out
-
-
-def scrambled(x: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of 64-bit hashes."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed long."""
     def compute(batches):
@@ -206,9 +175,14 @@ def near_duplicates(fps: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- near copies by similarity
 
-VIEWS, SHINGLE, SIMILARITY = 6, 5, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
 # Documents of one candidate group that are compared in one block.
 BLOCK = 256
+# Shingles are counted in one of 2^k documents, k at most 4, so that about so many are counted or more;
+# so many of the most frequent ones are told apart by their counts.
+COUNTED, FREQUENT = 25_000, 1_000_000
+# Shared shingles (24 bytes each) that may be broadcast: about 50 MB.
+BROADCAST_SHINGLES = 2_000_000
 
 
 def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -260,26 +234,103 @@ def spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_groups(docs: DataFrame, views: int = VIEWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, keeper) of equal word sequences, and (doc_id, group, size) of their keepers that may be similar."""
-    def compute(batches):
+def slices(batches, rows: int = 256):
+    """The batches in pieces of a bounded number of rows."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most frequent shingles in a sample of the documents.
+
+    They only say in which order shingles are taken, so the sample decides about the number of
+    candidates and not about which similar documents are found.
+    """
+    def shingled(batches):
+        for batch in slices(batches):
+            found = [shingle_hashes((t.as_py() or b"").lower().split(), size) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["shingle"])
+
+    def packed(batches):
         for batch in batches:
-            words = [(t.as_py() or b"").lower().split() for t in batch.column("text").cast(pa.binary())]
-            digests = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
-            fps = np.array([word_fingerprints(w, views) for w in words], np.uint64).reshape(len(words), views).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(list(fps), pa.list_(pa.int64()))],
-                                             names=["doc_id", "text_hash", "digest", "fps"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = materialise(rows.mapInArrow(compute, "doc_id long, text_hash long, digest binary, fps array<long>"), "copies-prints")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in ("shingle", "n")],
+                                             names=["shingle", "n"])
+
+    k = min(4, max(0, int(np.log2(max(1, docs.count() / COUNTED)))))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << k)) == 0).select("text")
+    counts = sample.mapInArrow(shingled, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialise(counts, "copies-counts")
+    least, total = 2, 0
+    for row in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("shingles")).orderBy(F.desc("n")).collect():
+        total += row.shingles
+        if total > FREQUENT:
+            least = row.n + 1
+            break
+    chunks = counts.where(F.col("n") >= least).mapInArrow(packed, "shingle binary, n binary").collect()
+    hashes, often = (np.concatenate([np.frombuffer(c[i], np.int64) for c in chunks] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], often[order]
+
+
+def rarest(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """So many of a set's rarest shingles that any set of similarity ``least`` has one of them among its own.
+
+    Of n shingles a similar set shares at least ``least`` n, so the first n - ceil(least n) + 1 in an
+    order that holds for all sets (here count, then hash) meet those of the other set.
+    """
+    if not len(shingles):
+        return shingles
+    hashes, often = frequent
+    count = np.zeros(len(shingles), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        count = np.where(hashes[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, count))][:len(shingles) - int(np.ceil(least * len(shingles) - 1e-6)) + 1]
+
+
+def candidate_groups(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, keeper) of equal word sequences, and (doc_id, group, size) of their keepers that may be similar.
+
+    Similar documents are in one group, without exception: both hold a shingle that is among the
+    rarest of both. Where up to ``PAIRED`` documents hold it, pairs are linked whose numbers of
+    shingles and places in the order leave ``least`` possible; where more do, each is linked to the
+    first one of about its number of shingles, in ranges that overlap.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    frequent = frequent_shingles(docs, size)
+
+    def compute(batches):
+        for batch in slices(batches):
+            digests, counts, first = [], [], []
+            for text in batch.column("text").cast(pa.binary()):  # one text's words at a time
+                words = (text.as_py() or b"").lower().split()
+                found = shingle_hashes(words, size)
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                counts.append(len(found))
+                first.append(rarest(found, frequent, least).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()),
+                                              pa.array(counts, pa.int32()), pa.array(first, pa.list_(pa.int64()))],
+                                             names=["doc_id", "text_hash", "digest", "n", "rarest"])
+
+    rows = materialise(docs.mapInArrow(compute, "doc_id long, text_hash long, digest binary, n int, rarest array<long>"), "copies-shingles")
     keepers = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("keeper")), "copies-keepers")
     copies = rows.select("doc_id", "text_hash", "digest").join(keepers, "digest").select("doc_id", "text_hash", "keeper")
-    distinct = rows.join(keepers, "digest").where("doc_id = keeper").select("doc_id", F.explode(F.array_distinct("fps")).alias("fp")).distinct()
-    distinct = materialise(distinct, "copies-distinct")
-    at = components(hamming_links(distinct.select("fp").distinct()))
-    placed = distinct.join(at, F.col("fp") == F.col("node"), "left").select("doc_id", F.coalesce("component", "fp").alias("spot"))
-    least = placed.groupBy("spot").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = components(placed.join(least, "spot").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    kept = rows.join(keepers, "digest").where("doc_id = keeper").select("doc_id", "n", "rarest")
+    held = materialise(kept, "copies-distinct").select("doc_id", "n", F.posexplode("rarest").alias("place", "shingle"))
+    per_shingle = materialise(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "copies-shared")
+    few = per_shingle.count() <= BROADCAST_SHINGLES
+    shared = materialise(held.join(F.broadcast(per_shingle) if few else per_shingle, "shingle"), "copies-holders")
+    paired = shared.where(F.col("holders") <= PAIRED).drop("holders")
+    other = paired.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "place")])
+    most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    near = most + 1e-6 >= least / (1 + least) * (F.col("n") + F.col("n2"))
+    links = paired.join(other, "shingle").where((F.col("doc_id") < F.col("doc_id2")) & near).select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 / least)))  # similar sets are in the same one or in neighbours
+    crowded = shared.where(F.col("holders") > PAIRED).select("shingle", "doc_id", F.explode(F.array(band, band + 1)).alias("band"))
+    first = crowded.groupBy("shingle", "band").agg(F.min("doc_id").alias("least"))
+    stars = crowded.join(first, ["shingle", "band"]).where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    groups = components(links.union(stars).distinct())
     groups = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return copies, materialise(groups.join(sizes, "group"), "copies-groups")
@@ -329,15 +380,14 @@ def _runs(batches, keys: list[str]):
         yield held
 
 
-def without_near_copies(docs: DataFrame, views: int = VIEWS, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+def without_near_copies(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """One document of each group of copies and near copies, that with the smallest doc_id, all columns kept.
 
     Near copies are documents whose distinct ``size``-word shingles have a Jaccard similarity of
-    ``least`` or more. Candidates are documents whose words have fingerprints within three bits
-    under one of ``views`` hash functions. Rows without a doc_id stay; rows that share a doc_id are
-    one document, of which the row with the smallest text hash stays.
+    ``least`` or more; every such pair is compared. Rows without a doc_id stay; rows that share a
+    doc_id are one document, of which the row with the smallest text hash stays.
     """
-    copies, groups = candidate_groups(docs, views)
+    copies, groups = candidate_groups(docs, least, size)
     links = verified_links(docs, groups, least, size)
     merged = components(links).where("node <> component").select(F.col("node").alias("keeper"))
     kept = copies.where("doc_id = keeper").join(merged, "keeper", "left_anti").groupBy("doc_id").agg(F.min("text_hash").alias("_kept_hash"))

@@ -132,3 +132,27 @@ def test_near_copies_go_and_others_stay(spark, documents):
     assert found.columns == table.columns
     assert sorted((r.doc_id for r in found.collect()), key=str) == sorted([*set(want.values()), None], key=str)
     assert simhash.without_near_copies(documents([])).count() == 0
+
+
+def test_appended_and_replaced_blocks_are_found(spark, documents, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", 3)  # the larger groups take the way of crowded shingles
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    licence, rows = [word() for _ in range(12)], []
+    for i in range(60):
+        base = [word() for _ in range(rng.randint(60, 250))] + (licence if i % 2 else [])
+        rows.append((100 * i, " ".join(base)))
+        for k in range(1, 7):
+            new = [word() for _ in range(round(len(base) * rng.uniform(0.05, 0.22)))]
+            at = rng.randint(0, len(base) - len(new))
+            changed = base + new if k % 2 else base[:at] + new[:len(new) // 2] + base[at + len(new) // 2:]
+            rows.append((100 * i + k, " ".join(changed)))
+    texts = dict(rows)
+    want = {}
+    for i in range(60):
+        mine = [d for d in texts if d // 100 == i]
+        want |= plain_components(mine, lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    near = [jaccard(texts[100 * i], texts[100 * i + k]) for i in range(60) for k in range(1, 7)]
+    assert sum(0.8 <= x < 0.9 for x in near) > 100 and sum(x < 0.8 for x in near) > 10
+    found = {r.doc_id for r in simhash.without_near_copies(documents(rows)).collect()}
+    assert found == set(want.values())
