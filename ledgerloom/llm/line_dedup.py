@@ -1,14 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed after trimming white space; a line of at least ``link_words`` words that occurs
-in several documents links the later ones to others. A line is the rarer the fewer documents hold
-it: a line in at most ``rare`` documents links each of them to every earlier one, a more frequent
-line links each to the first holder and to the holder before it, so the number of pairs grows with
-the number of lines and no line is passed over. Each pair is aligned by patience diff on line
-hashes: lines that are unique in both and in the same order are anchors, gaps between anchors are
-aligned the same way, and matches grow from both ends of a gap. Aligned common blocks of at least
-``block_words`` words are deleted from the later document (the larger doc_id). A document's result
-is the union over its pairs; the first document to hold a block keeps it.
+Lines are hashed after trimming white space. Documents are linked by the hashes of their shortest
+line runs that reach ``block_words`` words, from each line onwards and from each line back: two
+documents have a common block of so many words only if they share such a run, and the runs of a
+block cover all its lines. A run in at most ``rare`` documents links each of them to every earlier
+one, a more frequent run links each to the first holder, which has the whole run, and to a holder
+before it, so the number of pairs grows with the number of lines and no run is passed over. Each
+pair is aligned by patience diff on line hashes: lines that are unique in both and in the same
+order are anchors, gaps between anchors are aligned the same way, and matches grow from both ends
+of a gap. Aligned common
+blocks of at least ``block_words`` words are deleted from the later document (the larger doc_id). A document's result is the union over its pairs; the first document to
+hold a block keeps it.
 
 Only line hashes and word counts travel with the pairs, not texts.
 
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ledgerloom.scratch import materialise
 
 RARE = 8
-LINK_WORDS, BLOCK_WORDS = 5, 10
+MULTIPLIER = 0x9E3779B97F4A7C15
+BLOCK_WORDS = 10
 
 
 def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -113,16 +116,40 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
         "doc_id", F.flatten("_all.hashes").alias("hashes"), F.flatten("_all.words").alias("words"))
 
 
-def candidate_pairs(lines: DataFrame, rare: int = RARE, link_words: int = LINK_WORDS) -> DataFrame:
-    """(earlier, later): documents that share a line, as the module says; at most ``rare`` - 1 or two per line and document.
+def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """The distinct hashes of the shortest runs of at least so many words from each line onwards and from each line back.
+
+    Runs begin and end with lines that have words; a run of one line has the line's own hash.
+    """
+    n = len(hashes)
+    before = np.concatenate([[0], np.cumsum(words)])
+    with np.errstate(over="ignore"):
+        power, inverse = (np.cumprod(np.array([1] + [x] * n, np.uint64)) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power[:n])])
+        at = np.flatnonzero(words > 0)
+        end = np.searchsorted(before, before[at] + least)  # the first end that reaches the words
+        low, high = at[end <= n], end[end <= n]
+        start = np.searchsorted(before, before[at + 1] - least, "right") - 1  # the last start that does
+        low, high = np.concatenate([low, start[start >= 0]]), np.concatenate([high, at[start >= 0] + 1])
+        return np.unique((total[high] - total[low]) * inverse[low]).view(np.int64)
+
+
+def candidate_pairs(lines: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(earlier, later): documents that share a line run, as the module says; at most ``rare`` - 1 or two per run and document.
 
     The holder before is found in the order of doc_id among holders that agree on a hash of their
-    id, in slices of about ``rare`` documents, so that a line in a third of all documents is not
+    id, in slices of about ``rare`` documents, so that a run in a third of all documents is not
     sorted in one task.
     """
-    zipped = F.arrays_zip(F.col("hashes").alias("hash"), F.col("words").alias("words"))
-    held = (lines.select("doc_id", F.explode(zipped).alias("_l")).where((F.col("_l.hash") != 0) & (F.col("_l.words") >= link_words))
-            .select(F.col("_l.hash").alias("hash"), "doc_id").distinct())
+    def runs(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = [run_hashes(np.array(h.as_py(), np.int64), np.array(w.as_py(), np.int64), block_words) for h, w in zip(part.column("hashes"), part.column("words"))]
+                ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(ids, pa.int64())], names=["hash", "doc_id"])
+
+    held = lines.select("doc_id", "hashes", "words").mapInArrow(runs, "hash long, doc_id long")
     per_line = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("n > 1")
     per_line = materialise(per_line, "line-holders")
     two = per_line.where("n = 2").select(F.col("first").alias("earlier"), F.col("last").alias("later"))
@@ -138,10 +165,10 @@ def candidate_pairs(lines: DataFrame, rare: int = RARE, link_words: int = LINK_W
     return two.union(star).union(pairs).union(chain).distinct()
 
 
-def deletions(docs: DataFrame, rare: int = RARE, link_words: int = LINK_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, deleted): the sorted line numbers (from 0) that go, of documents that lose any."""
     lines = materialise(hashed_lines(docs), "line-hashes")
-    pairs = materialise(candidate_pairs(lines, rare, link_words), "line-pairs")
+    pairs = materialise(candidate_pairs(lines, rare, block_words), "line-pairs")
 
     def align(batches):
         for batch in batches:

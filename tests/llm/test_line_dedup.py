@@ -57,3 +57,23 @@ def test_odd_rows(spark, documents):
     assert found[1] == found[2] == (1, 0) and found[3] == (3, 0) and found[4] == (1, 0) and found[5][0] == 2 and found[5][1] >= 1
     assert found[7] == (5000, 0) and found[6][1] >= 1 and set(found) == set(range(1, 8))
     assert lines.line_dedup(documents([])).count() == 0
+
+
+def test_passages_of_hot_lines_with_different_first_holders(spark, documents):
+    one, two = " ".join(f"p{j}" for j in range(7)), " ".join(f"q{j}" for j in range(7))
+    short = "\n".join(f"s{k} t{k} u{k}" for k in range(4))  # twelve words in lines of three
+    rows = [(1, f"{one}\na1"), (2, f"{two}\na2"), *((i, f"own {i}\n{one}\n{two}\nend {i}") for i in range(3, 120)),
+            *((i, f"own {i}\n{short}\nend {i}") for i in range(200, 260))]
+    found = {r.doc_id: r.n_deleted for r in lines.line_dedup(documents(rows)).collect()}
+    assert found == {1: 0, 2: 0, 3: 0, 200: 0} | {i: 2 for i in range(4, 120)} | {i: 4 for i in range(201, 260)}
+
+
+def test_runs_cover_every_line_of_a_block():
+    import numpy as np
+    rng = random.Random(2)
+    for _ in range(300):
+        words = [rng.choice([0, 1, 3, 6, 12]) for _ in range(rng.randint(1, 8))]
+        hashes = [rng.getrandbits(62) + 1 if w else 0 for w in words]
+        runs = lambda h, w: set(lines.run_hashes(np.array(h, np.int64), np.array(w, np.int64), 10).tolist())
+        other = runs([5, *hashes, 6], [4, *words, 4])
+        assert runs(hashes, words) <= other and bool(runs(hashes, words)) == (sum(words) >= 10)
