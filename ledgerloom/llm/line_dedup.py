@@ -8,8 +8,9 @@ one, a more frequent run links each to the first holder, which has the whole run
 before it, so the number of pairs grows with the number of lines and no run is passed over. Each
 pair is aligned by patience diff on line hashes: lines that are unique in both and in the same
 order are anchors, gaps between anchors are aligned the same way, and matches grow from both ends
-of a gap. Aligned common
-blocks of at least ``block_words`` words are deleted from the later document (the larger doc_id). A document's result is the union over its pairs; the first document to
+of a gap. A gap without such lines is aligned at its longest common run (in words). Aligned common
+blocks of at least ``block_words`` words are deleted from the later document (the larger doc_id),
+wherever it repeats them. A document's result is the union over its pairs; the first document to
 hold a block keeps it.
 
 Only line hashes and word counts travel with the pairs, not texts.
@@ -24,6 +25,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,16 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 BLOCK_WORDS = 10
 
 
-def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience_matches(a: list[int], b: list[int], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
     """Index pairs of equal items of two sequences, increasing in both.
 
     Common ends are matched first; inside, items unique on both sides are anchors (a longest
     increasing subsequence of them), and the gaps between anchors are treated alike, on an explicit
-    stack so that long documents need no deep recursion.
+    stack so that long documents need no deep recursion. A range without anchors is matched at its
+    heaviest common run, if that has ``least`` of ``words`` (of the second sequence; one each if not
+    given), and beside it: lighter runs in it are in no block, as common ends are matched before.
     """
+    weights = [0, *accumulate(words or [1] * len(b))]
     out, stack = [], [(0, len(a), 0, len(b))]
     while stack:
         a0, a1, b0, b1 = stack.pop()
@@ -56,7 +61,10 @@ def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         anchors = _anchors(a, b, a0, a1, b0, b1)
         if not anchors:
-            continue
+            x, y, n = _heaviest_run(a, b, weights, a0, a1, b0, b1)
+            if n == 0 or weights[y + n] - weights[y] < least:
+                continue
+            anchors = [(x + k, y + k) for k in range(n)]
         left_a, left_b = a0, b0
         for x, y in anchors:
             out.append((x, y))
@@ -92,6 +100,79 @@ def _anchors(a, b, a0, a1, b0, b1) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _heaviest_run(a, b, weights, a0, a1, b0, b1) -> tuple[int, int, int]:
+    """Where the common run of both ranges with most weight begins in each, and its length (0 if there is none)."""
+    if set(a[a0:a1]).isdisjoint(x for x in b[b0:b1] if x != 0):
+        return a0, b0, 0
+    steps, link, length, last, at = [{}], [-1], [0], [a0], 0  # the suffix automaton of the first range
+    for i in range(a0, a1):
+        new, p = len(steps), at
+        steps.append({})
+        link.append(0)
+        length.append(length[at] + 1)
+        last.append(i)
+        while p >= 0 and a[i] not in steps[p]:
+            steps[p][a[i]] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][a[i]]
+            if length[q] != length[p] + 1:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                last.append(last[q])
+                while p >= 0 and steps[p].get(a[i]) == q:
+                    steps[p][a[i]] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        at = new
+    best, state, n = (0, a0, b0, 0), 0, 0
+    for j in range(b0, b1):
+        while state and b[j] not in steps[state]:
+            state = link[state]
+            n = length[state]
+        if b[j] in steps[state]:
+            state, n = steps[state][b[j]], n + 1
+            weight = weights[j + 1] - weights[j + 1 - n]
+            if weight > best[0]:
+                best = (weight, last[state] - n + 1, j + 1 - n, n)
+    return best[1:]
+
+
+def repeated(items: list[int], gone: list[int]) -> list[int]:
+    """The indexes of a sequence in any stretch that equals one of the runs of consecutive indexes in ``gone``."""
+    often: dict[int, int] = {}
+    for x in items:
+        often[x] = often.get(x, 0) + 1
+    out, runs = set(gone), {}
+    for k, i in enumerate(gone):
+        if k == 0 or gone[k - 1] != i - 1:
+            low = i
+        if k + 1 == len(gone) or gone[k + 1] != i + 1:
+            runs[tuple(items[low:i + 1])] = None
+    for run in runs:
+        if min(often[x] for x in run) == 1:
+            continue  # stands here only
+        border, k = [0] * len(run), 0
+        for i in range(1, len(run)):
+            while k and run[i] != run[k]:
+                k = border[k - 1]
+            k += run[i] == run[k]
+            border[i] = k
+        k = covered = 0
+        for i, x in enumerate(items):
+            while k and x != run[k]:
+                k = border[k - 1]
+            k += x == run[k]
+            if k == len(run):
+                out.update(range(max(covered, i + 1 - k), i + 1))
+                covered, k = i + 1, border[k - 1]
+    return sorted(out)
+
+
 def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list[int]:
     """The second indexes of matches in blocks (runs in both sequences) of at least so many words."""
     out, run = [], []
@@ -105,6 +186,20 @@ def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
+def marked(first: list[int], second: list[int], words: list[int], least: int) -> list[int]:
+    """The lines of the second document that go: aligned blocks, and what repeats one of them."""
+    gone, run = set(), []
+    matches = patience_matches(first, second, words, least)
+    for match in [*matches, None]:
+        if match is None or (run and match != (run[-1][0] + 1, run[-1][1] + 1)):
+            block = blocks(run, words, least)
+            gone.update(repeated(second, block) if block else [])
+            run = []
+        if match is not None:
+            run.append(match)
+    return sorted(gone)
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, hashes, words): per document its lines' hashes (0 for blank ones) and word counts."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -176,7 +271,7 @@ def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS)
             columns = [batch.column(c) for c in ("first_hashes", "hashes", "words")]
             for i in range(batch.num_rows):
                 first, second, words = (c[i].as_py() for c in columns)
-                out.append(blocks(patience_matches(first, second), words, block_words))
+                out.append(marked(first, second, words, block_words))
             yield pa.RecordBatch.from_arrays([batch.column("later"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
     first = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("first_hashes"))

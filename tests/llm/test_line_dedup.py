@@ -77,3 +77,19 @@ def test_runs_cover_every_line_of_a_block():
         runs = lambda h, w: set(lines.run_hashes(np.array(h, np.int64), np.array(w, np.int64), 10).tolist())
         other = runs([5, *hashes, 6], [4, *words, 4])
         assert runs(hashes, words) <= other and bool(runs(hashes, words)) == (sum(words) >= 10)
+
+
+def test_repeated_passages_go_on_either_side(spark, documents):
+    x, y, u, v, w, p, q = range(1, 8)
+    once, twice = [x, p, q, y], [u, p, q, v, p, q, w]
+    assert lines.marked(once, twice, [6] * 7, 10) == [1, 2, 4, 5] and lines.marked(twice, once, [6] * 4, 10) == [1, 2]
+    assert lines.marked([p] * 3, [p] * 500, [6] * 500, 10) == list(range(500))
+    rng = random.Random(4)
+    for _ in range(300):  # few different lines: the heaviest common run is found
+        a, b = [rng.randint(1, 4) for _ in range(rng.randint(1, 12))], [rng.randint(1, 4) for _ in range(rng.randint(1, 12))]
+        most = max(k for k in range(13) if any(a[i:i + k] == b[j:j + k] and len(a[i:i + k]) == k for i in range(len(a) + 1) for j in range(len(b) + 1)))
+        i, j, n = lines._heaviest_run(a, b, list(range(len(b) + 1)), 0, len(a), 0, len(b))
+        assert n == most and a[i:i + n] == b[j:j + n]
+    line = {k: " ".join(f"{k}w{j}" for j in range(6)) for k in "xypquvw"}
+    rows = [(1, "\n".join(line[k] for k in "xpqy")), (2, "\n".join(line[k] for k in "upqvpqw"))]
+    assert {r.doc_id: r.n_deleted for r in lines.line_dedup(documents(rows)).collect()} == {1: 0, 2: 4}
