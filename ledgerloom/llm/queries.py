@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, neighbours, quality, simhash, token_store, toxicity
+from ledgerloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, neighbours, quality, simhash, token_counts, token_store, toxicity
 from ledgerloom.llm.tables import table
 
 END_ID, BYTE_BPE_IDS = 2, 50_257
+TOKEN_LIMIT = 1024
 
 
 def byte_bpe() -> str:
@@ -60,5 +61,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), byte_bpe(), TOKEN_LIMIT)
+
+
 QUERIES = {f.__name__: f for f in (op1_neighbours, op2_simhash, op3_chat_format, op4_quality, op5_decontaminate, op6_token_store,
-                                   op7_line_dedup, op8_language_id, op9_source_mix, op10_toxicity)}
+                                   op7_line_dedup, op8_language_id, op9_source_mix, op10_toxicity, op11_token_counts)}
