@@ -23,8 +23,6 @@ so a task that runs again or twice leaves the same file.
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,10 +34,9 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ledgerloom.llm.pieces import MEMO_PIECES, IdEncoder, byte_slices
 from ledgerloom.scratch import materialise, shared_root
 
-# Pieces of text that a worker keeps encoded; beyond it the memo starts anew.
-MEMO_PIECES = 600_000
 NULL_KEY = -(1 << 63)
 ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("tokens", "<u8"), ("start", "<u8")])
 KEYS_PER_BUCKET = 50_000
@@ -50,42 +47,19 @@ READ_BYTES = 8 << 20
 # ---------------------------------------------------------------- encoding
 
 class Encoder:
-    """Encodes whole texts piece by piece and remembers the pieces.
-
-    The byte-level pre-tokeniser always begins a new piece at a space that is followed by
-    something other than white space, so the pieces of a text cut there give the text's ids.
-    """
-
-    CUT = re.compile(r" (?=\S)")
+    """Encodes whole texts and ends each with the end id."""
 
     def __init__(self, path: str, wide: bool, end_id: int):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u4" if wide else "<u2"
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}  # by the piece without the space before it
-
-    def _learn(self, memo: dict[str, bytes], needed: set[str], before: str) -> dict[str, bytes]:
-        missing = needed.difference(memo)
-        if len(memo) + len(missing) > MEMO_PIECES:
-            memo, missing = {}, needed
-        missing = list(missing)
-        for low in range(0, len(missing), 10_000):
-            part = missing[low:low + 10_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([before + x for x in part], add_special_tokens=False)):
-                memo[piece] = np.array(found.ids, self.kind).tobytes()
-        return memo
+        self.end_id, self.encode = end_id, IdEncoder(path, wide, MEMO_PIECES)
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after the other, how many each text has)."""
+        return self.encode(texts, self.end_id)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.CUT.split(text or "") for text in texts]
-        firsts = [pieces.pop(0) for pieces in split]
-        self.first = self._learn(self.first, set(firsts), "")
-        self.later = self._learn(self.later, set().union(*split), " ")
-        later = self.later.__getitem__
-        return [self.first[first] + b"".join(map(later, pieces)) + self.end for first, pieces in zip(firsts, split)]
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip(ends - counts, ends)]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -192,22 +166,21 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: i
 
     def encode_and_write(batches):
         encode = encoder(tokenizer_path, wide, end_id)
-        shard, width = TaskContext.get().partitionId(), 4 if wide else 2
+        shard = TaskContext.get().partitionId()
         listed = []
 
         def payload():
             offset = row = 0
             for batch in batches:
                 ids, texts = batch.column("doc_id"), batch.column("text")
-                for low in range(0, len(ids), 256):
-                    encoded = encode(texts.slice(low, 256).to_pylist())
-                    lengths = np.array([len(x) // width for x in encoded], np.int64)
+                for low, high in byte_slices(texts):
+                    encoded, lengths = encode.flat(texts.slice(low, high - low))
                     starts = offset + np.cumsum(lengths) - lengths
                     listed.append(pa.RecordBatch.from_arrays(
-                        [ids.slice(low, 256), pa.array(np.full(len(lengths), shard, np.int64)), pa.array(row + np.arange(len(lengths))),
+                        [ids.slice(low, high - low), pa.array(np.full(len(lengths), shard, np.int64)), pa.array(row + np.arange(len(lengths))),
                          pa.array(starts), pa.array(lengths)], names=["doc_id", "shard", "row", "offset", "tokens"]))
                     offset, row = offset + int(lengths.sum()), row + len(lengths)
-                    yield b"".join(encoded)
+                    yield encoded.tobytes()
 
         first = next(rest := payload(), None)
         if first is not None:
@@ -284,21 +257,22 @@ def read_documents(keys: DataFrame, store: Store, digest_only: bool = False) ->
 
     def read(batches):
         files, folder = _open(store.root)
-        shard, source, held, held_at = None, None, b"", 0
+        shard, source, held, held_at = None, None, np.zeros(0, "<u4"), 0
         for batch in batches:
             frame = batch.to_pandas()
             crc, ids = np.empty(len(frame), np.int64), []
-            for i, (s, offset, tokens) in enumerate(zip(frame["shard"], frame["offset"] * width, frame["tokens"] * width)):
+            for i, (s, offset, tokens) in enumerate(zip(frame["shard"], frame["offset"], frame["tokens"])):
                 if s != shard:
                     if source:
                         source.close()
-                    shard, source, held, held_at = s, files.open_input_file(f"{folder}/ids-{s:06d}.bin"), b"", 0
+                    shard, source, held, held_at = s, files.open_input_file(f"{folder}/ids-{s:06d}.bin"), np.zeros(0, "<u4"), 0
                 if offset < held_at or offset + tokens > held_at + len(held):
-                    held, held_at = source.read_at(max(tokens, READ_BYTES), offset), offset
-                found = np.frombuffer(held, kind, tokens // width, offset - held_at).astype("<u4")
-                crc[i] = zlib.crc32(found.tobytes())
+                    read_bytes = source.read_at(max(tokens * width, READ_BYTES), offset * width)
+                    held, held_at = np.frombuffer(read_bytes, kind).astype("<u4"), offset
+                found = held[offset - held_at:offset - held_at + tokens]
+                crc[i] = zlib.crc32(found)
                 if not digest_only:
-                    ids.append(found)
+                    ids.append(found.copy())
             known = frame["doc_id"].to_numpy()
             columns = {"doc_id": pa.array(known, mask=known == NULL_KEY), "copy": pa.array(frame["copy"]), "start": pa.array(frame["start"]),
                        "n_tokens": pa.array(frame["tokens"]), "ids_crc32": pa.array(crc)}
