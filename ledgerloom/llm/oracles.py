@@ -67,3 +67,71 @@ FROM a WHERE score >= least(12, ceil(CAST(0.55 AS DOUBLE) * n)) GROUP BY doc_id,
 """
 
 ORACLES = {"op5_decontaminate": _LEAKS, "op3_chat_format": _CHAT, "op9_source_mix": _MIX}
+
+
+def _repair() -> str:
+    """The edits by a recursive query from the last row to the first, one text per node: cost in nine digits, then initials."""
+    def edge(node: str, cost: str, letter: str, item: str | None) -> str:
+        weight = f"lpad(CAST(CAST(left({node}.k, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({node}.k, 10)"
+        return f"{{'k': {weight}, 'r': " + (f"list_prepend({item}, {node}.r)}}" if item else f"{node}.r}}")
+
+    def least(*choices: str) -> str:
+        return f"list_min([{', '.join(choices)}])"
+
+    def row(node: str, letter: str, role: str) -> str:
+        cost = {"K": "0", "R": "1"}[letter]
+        return f"CASE WHEN fault NOT IN (1, 2) THEN {edge(node, f'{cost} + CASE WHEN fault = 3 THEN 5 ELSE 0 END', letter, f'''{role} || ':' || text''')} END"
+
+    def choices(at: str, due: str, node: str, letter: str) -> str:
+        return least(edge(f"w.{at}", "2", "D", None), row(f"w.{node}", "R", f"'{due}'"),
+                     f"CASE WHEN initial = '{letter}' THEN {row(f'w.{node}', 'K', 'role')} END",
+                     *([f"CASE WHEN initial = 's' THEN {row('w.s', 'K', 'role')} END"] if at == "e" else []))
+
+    user, answer = "'user:'", "'assistant:'"
+    return rf"""
+WITH RECURSIVE codes AS (
+  SELECT list(v ORDER BY i) AS c FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))),
+spots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') AS key,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+           string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]))) % 20 AS spot
+  FROM conversations, codes),
+d AS (
+  SELECT key, turn, CASE WHEN spot = 4 THEN 'user' ELSE role END AS role,
+         CASE spot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM spots WHERE spot <> 0
+  UNION ALL SELECT key, turn, role, text FROM spots WHERE spot = 3),
+p AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (
+  SELECT *, lag(initial) OVER (PARTITION BY key ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+              WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+  FROM p),
+ends AS (SELECT key, max(i) + 1 AS i FROM f GROUP BY key),
+w AS (
+  SELECT key, i, {{'k': '000000000', 'r': CAST([] AS VARCHAR[])}} AS e, {{'k': '000000010II', 'r': [{user}, {answer}]}} AS s,
+         {{'k': '000000005I', 'r': [{answer}]}} AS u, {{'k': '000000000', 'r': CAST([] AS VARCHAR[])}} AS a FROM ends
+  UNION ALL
+  SELECT key, i, {least("e", edge("u2", "5", "I", user))}, {least("s", edge("u2", "5", "I", user))}, u2, {least("a", edge("u", "5", "I", user))}
+  FROM (SELECT *, {least("u", edge("a", "5", "I", answer))} AS u2
+        FROM (SELECT f.key, f.i, {choices("e", "user", "u", "u")} AS e, {choices("s", "user", "u", "u")} AS s,
+                     {choices("u", "assistant", "a", "a")} AS u, {choices("a", "user", "u", "u")} AS a
+              FROM w JOIN f ON f.key = w.key AND f.i = w.i - 1))),
+counts AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY key)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(w.e.k, 9) AS BIGINT), 0) AS cost,
+       coalesce(substr(w.e.k, 10), '') AS audit, sha256(coalesce(array_to_string(w.e.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM spots) o LEFT JOIN counts USING (key) LEFT JOIN w ON w.key = o.key AND w.i = 1
+"""
+
+
+ORACLES["op13_conversation_repair"] = _repair()
