@@ -16,16 +16,10 @@ Nulls and odd rows: a null or white-space text has no words and fingerprint zero
 any other; fewer words than a shingle make one shingle; rows that share a doc_id are separate
 documents with one id; a null doc_id is kept and takes the component of its fingerprint's others,
 or null; an empty table gives an empty result; further columns are ignored.
-
-:func:`without_near_copies` filters by similarity instead of fingerprints: it collapses equal word
-sequences, takes as candidates all documents that share one of their rarest word shingles (an exact
-set-similarity join by prefixes, which misses no pair), and verifies the Jaccard similarity before
-a document goes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 from itertools import combinations
 
@@ -68,14 +62,15 @@ def text_fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint of every whole text as a signed long."""
     def compute(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             found = np.fromiter((text_fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(compute, "doc_id long, text_hash long, fp long")
 
 
 # ---------------------------------------------------------------- keys
@@ -159,238 +154,34 @@ def hamming_links(fps: DataFrame) -> DataFrame:
     return materialise(reduce(DataFrame.union, found).distinct(), "simhash-links")
 
 
-def near_duplicates(fps: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of the documents in ``fps`` (doc_id, fp).
-
-    component_id is the smallest doc_id that can be reached over links of at most three bits.
-    """
+def with_groups(fps: DataFrame) -> DataFrame:
+    """The rows of ``fps`` (doc_id, fp) with component_id, the smallest doc_id that can be reached over links of at most three bits."""
     fps = materialise(fps, "simhash-documents")
     per_fp = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     at = components(hamming_links(per_fp.select("fp")))
     per_fp = per_fp.join(at, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
     least = per_fp.groupBy("component").agg(F.min("least").alias("component_id"))
     named = per_fp.join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# ---------------------------------------------------------------- near copies by similarity
-
-SHINGLE, SIMILARITY = 5, 0.8
-# Documents of one candidate group that are compared in one block.
-BLOCK = 256
-# Shingles are counted in one of 2^k documents, k at most 4, so that about so many are counted or more;
-# so many of the most frequent ones are told apart by their counts.
-COUNTED, FREQUENT = 25_000, 1_000_000
-# Shared shingles (24 bytes each) that may be broadcast: about 50 MB.
-BROADCAST_SHINGLES = 2_000_000
-
-
-def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a word sequence's shingles (one shingle if it is shorter)."""
-    import xxhash
-
-    grams = [b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
-
+    return fps.join(named, "fp")
 
-def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Index pairs whose Jaccard similarity is at least ``least``; two empty sets are equal.
 
-    Hashes that only one set has are counted but not compared; the others are laid out as columns
-    of a matrix, a bounded number at a time.
-    """
-    sizes = np.array([len(x) for x in sets])
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, shared = np.repeat(np.arange(len(sets)), sizes), often[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [low, low + 4096])
-        held = np.zeros((len(sets), 4096), np.float32)
-        held[row[a:b], column[a:b] - low] = 1
-        common += held @ held.T
-    union = sizes[:, None] + sizes[None, :] - common
-    near = np.triu((common >= least * union - 1e-6) & ((union > 0) | (sizes[:, None] == sizes[None, :])), 1)
-    return list(zip(*np.nonzero(near)))
-
-
-def spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Those pairs that connect something new, in order."""
-    root, out = list(range(n)), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
-def slices(batches, rows: int = 256):
-    """The batches in pieces of a bounded number of rows."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
-
-
-def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the most frequent shingles in a sample of the documents.
-
-    They only say in which order shingles are taken, so the sample decides about the number of
-    candidates and not about which similar documents are found.
-    """
-    def shingled(batches):
-        for batch in slices(batches):
-            found = [shingle_hashes((t.as_py() or b"").lower().split(), size) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["shingle"])
+def near_duplicates(fps: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of the documents in ``fps`` (doc_id, fp)."""
+    return with_groups(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    def packed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in ("shingle", "n")],
-                                             names=["shingle", "n"])
-
-    k = min(4, max(0, int(np.log2(max(1, docs.count() / COUNTED)))))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << k)) == 0).select("text")
-    counts = sample.mapInArrow(shingled, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = materialise(counts, "copies-counts")
-    least, total = 2, 0
-    for row in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("shingles")).orderBy(F.desc("n")).collect():
-        total += row.shingles
-        if total > FREQUENT:
-            least = row.n + 1
-            break
-    chunks = counts.where(F.col("n") >= least).mapInArrow(packed, "shingle binary, n binary").collect()
-    hashes, often = (np.concatenate([np.frombuffer(c[i], np.int64) for c in chunks] or [np.zeros(0, np.int64)]) for i in (0, 1))
-    order = np.argsort(hashes.view(np.uint64))
-    return hashes.view(np.uint64)[order], often[order]
 
+# ---------------------------------------------------------------- one document of each group
 
-def rarest(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """So many of a set's rarest shingles that any set of similarity ``least`` has one of them among its own.
+def without_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id, all columns kept.
 
-    Of n shingles a similar set shares at least ``least`` n, so the first n - ceil(least n) + 1 in an
-    order that holds for all sets (here count, then hash) meet those of the other set.
-    """
-    if not len(shingles):
-        return shingles
-    hashes, often = frequent
-    count = np.zeros(len(shingles), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-        count = np.where(hashes[at] == shingles, often[at], 0)
-    return shingles[np.lexsort((shingles, count))][:len(shingles) - int(np.ceil(least * len(shingles) - 1e-6)) + 1]
-
-
-def candidate_groups(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, keeper) of equal word sequences, and (doc_id, group, size) of their keepers that may be similar.
-
-    Similar documents are in one group, without exception: both hold a shingle that is among the
-    rarest of both. Where up to ``PAIRED`` documents hold it, pairs are linked whose numbers of
-    shingles and places in the order leave ``least`` possible; where more do, each is linked to the
-    first one of about its number of shingles, in ranges that overlap.
-    """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    frequent = frequent_shingles(docs, size)
-
-    def compute(batches):
-        for batch in slices(batches):
-            digests, counts, first = [], [], []
-            for text in batch.column("text").cast(pa.binary()):  # one text's words at a time
-                words = (text.as_py() or b"").lower().split()
-                found = shingle_hashes(words, size)
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                counts.append(len(found))
-                first.append(rarest(found, frequent, least).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()),
-                                              pa.array(counts, pa.int32()), pa.array(first, pa.list_(pa.int64()))],
-                                             names=["doc_id", "text_hash", "digest", "n", "rarest"])
-
-    rows = materialise(docs.mapInArrow(compute, "doc_id long, text_hash long, digest binary, n int, rarest array<long>"), "copies-shingles")
-    keepers = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("keeper")), "copies-keepers")
-    copies = rows.select("doc_id", "text_hash", "digest").join(keepers, "digest").select("doc_id", "text_hash", "keeper")
-    kept = rows.join(keepers, "digest").where("doc_id = keeper").select("doc_id", "n", "rarest")
-    held = materialise(kept, "copies-distinct").select("doc_id", "n", F.posexplode("rarest").alias("place", "shingle"))
-    per_shingle = materialise(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "copies-shared")
-    few = per_shingle.count() <= BROADCAST_SHINGLES
-    shared = materialise(held.join(F.broadcast(per_shingle) if few else per_shingle, "shingle"), "copies-holders")
-    paired = shared.where(F.col("holders") <= PAIRED).drop("holders")
-    other = paired.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "place")])
-    most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    near = most + 1e-6 >= least / (1 + least) * (F.col("n") + F.col("n2"))
-    links = paired.join(other, "shingle").where((F.col("doc_id") < F.col("doc_id2")) & near).select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 / least)))  # similar sets are in the same one or in neighbours
-    crowded = shared.where(F.col("holders") > PAIRED).select("shingle", "doc_id", F.explode(F.array(band, band + 1)).alias("band"))
-    first = crowded.groupBy("shingle", "band").agg(F.min("doc_id").alias("least"))
-    stars = crowded.join(first, ["shingle", "band"]).where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    groups = components(links.union(stars).distinct())
-    groups = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return copies, materialise(groups.join(sizes, "group"), "copies-groups")
-
-
-def verified_links(docs: DataFrame, groups: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """(a, b): links of similar documents that connect all that such links connect inside each group.
-
-    A group is cut into blocks and every two blocks meet in one task, so a large group is neither
-    gathered nor expanded into pairs of rows: a document is sent once per block of its group, and a
-    task returns fewer links than it has documents.
-    """
-    def compare(batches):
-        for frame in _runs(batches, ["group", "one", "two"]):
-            ids = frame["doc_id"]
-            sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-            links = spanning(similar_pairs(sets, least), len(ids)) if len(ids) > 1 else []
-            yield pa.RecordBatch.from_pydict({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
-
-    def shingled(batches):
-        for batch in batches:
-            found = [shingle_hashes((t.as_py() or b"").lower().split(), size).tobytes() for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("group", "size", "doc_id")], pa.array(found, pa.binary())],
-                                             names=["group", "size", "doc_id", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups, "doc_id").select("group", "size", "doc_id", "text")
-    rows = texts.mapInArrow(shingled, "group long, size long, doc_id long, shingles binary")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("group", F.least("_own", "_other").alias("one"), F.greatest("_own", "_other").alias("two"), "doc_id", "shingles")
-    return rows.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "doc_id").mapInArrow(compare, "a long, b long")
-
-
-def _runs(batches, keys: list[str]):
-    """The rows of equal keys in sorted batches, as a dict of lists."""
-    held, at = None, None
-    for batch in batches:
-        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-        for key, *values in zip(zip(*(columns[k] for k in keys)), *columns.values()):
-            if key != at:
-                if held:
-                    yield held
-                held, at = {name: [] for name in columns}, key
-            for name, value in zip(columns, values):
-                held[name].append(value)
-    if held:
-        yield held
-
-
-def without_near_copies(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """One document of each group of copies and near copies, that with the smallest doc_id, all columns kept.
-
-    Near copies are documents whose distinct ``size``-word shingles have a Jaccard similarity of
-    ``least`` or more; every such pair is compared. Rows without a doc_id stay; rows that share a
-    doc_id are one document, of which the row with the smallest text hash stays.
+    Rows without a doc_id stay. Of rows that share the id that stays one row stays, of those that
+    lead their group that with the smallest text hash.
     """
-    copies, groups = candidate_groups(docs, least, size)
-    links = verified_links(docs, groups, least, size)
-    merged = components(links).where("node <> component").select(F.col("node").alias("keeper"))
-    kept = copies.where("doc_id = keeper").join(merged, "keeper", "left_anti").groupBy("doc_id").agg(F.min("text_hash").alias("_kept_hash"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), "_kept_hash")
-    named = docs.join(kept, (F.col("doc_id") == F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_hash"))).dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where("doc_id is null"))
+    heads = with_groups(fingerprints(docs.where("doc_id is not null"), words)).where("doc_id = component_id")
+    heads = heads.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    heads = heads.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("text_hash", "n")).alias("_head"))
+    kept = docs.join(heads, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_head.text_hash")))
+    once = kept.where("_head.n = 1").select(*docs.columns)
+    repeated = kept.where("_head.n > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return once.union(repeated).union(docs.where("doc_id is null"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerloom.llm import quality, queries
+from ledgerloom.llm import quality, queries, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,22 +35,19 @@ def test_quality(spark, stages):
 
 
 def test_near_copies(stages):
-    def grams(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
-    sets = {r["doc_id"]: grams(r["text"]) for r in stages[1]}
-    root = {d: d for d in sets}
+    prints = {r["doc_id"]: simhash.text_fingerprint((r["text"] or "").encode()) for r in stages[1]}
+    root = {d: d for d in prints}
 
     def find(d):
         while root[d] != d:
             d = root[d]
         return d
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    assert {r["doc_id"] for r in stages[2]} == {find(d) for d in sets}
+    assert {r["doc_id"] for r in stages[2]} == {find(d) for d in prints}
 
 
 def test_decontamination(spark, stages):
