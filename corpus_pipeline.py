@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8)."""
-    return simhash.without_near_copies(docs)
+    """One document of each group of near duplicates: three-word shingles, three bits."""
+    return simhash.without_near_copies(docs, words=3)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
