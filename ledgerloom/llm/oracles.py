@@ -68,6 +68,29 @@ FROM a WHERE score >= least(12, ceil(CAST(0.55 AS DOUBLE) * n)) GROUP BY doc_id,
 
 ORACLES = {"op5_decontaminate": _LEAKS, "op3_chat_format": _CHAT, "op9_source_mix": _MIX}
 
+_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, min({'l': CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT),
+                      'v': list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))}) AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.r.l = c.r.l AS same, CAST(list_inner_product(a.r.v, c.r.v) AS BIGINT) AS score
+  FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+ORACLES["op12_hard_negatives"] = _NEGATIVES
+
 
 def _repair() -> str:
     """The edits by a recursive query from the last row to the first, one text per node: cost in nine digits, then initials."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat_format, conversation_repair, decontaminate, language_id, line_dedup, mixing, neighbours, quality, simhash, token_counts, token_store, toxicity
+from ledgerloom.llm import chat_format, conversation_repair, decontaminate, hard_negatives, language_id, line_dedup, mixing, neighbours, quality, simhash, token_counts, token_store, toxicity
 from ledgerloom.llm.tables import table
 
 END_ID, BYTE_BPE_IDS = 2, 50_257
@@ -65,9 +65,15 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), byte_bpe(), TOKEN_LIMIT)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"), noisy)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_neighbours, op2_simhash, op3_chat_format, op4_quality, op5_decontaminate, op6_token_store,
-                                   op7_line_dedup, op8_language_id, op9_source_mix, op10_toxicity, op11_token_counts, op13_conversation_repair)}
+                                   op7_line_dedup, op8_language_id, op9_source_mix, op10_toxicity, op11_token_counts, op12_hard_negatives, op13_conversation_repair)}
