@@ -3,28 +3,32 @@
 The byte-level pre-tokeniser never joins the last character of a run of white space to what stands
 before it if something visible follows, so a text may be cut before such a space or line feed: the
 pieces give the ids of the whole text. (Special strings are taken out before, so the run in front of
-one ends a text of its own and is not cut.) A batch of texts is split in Arrow and its pieces are dictionary-encoded, so Python sees each distinct piece of
-a batch once, and the tokeniser each piece once as long as the memo holds it. What a text has is
-gathered by numpy from the pieces.
+one ends a text of its own and is not cut.) A batch of texts is split in Arrow, its pieces are dictionary-encoded and looked up in a memo by a hash join, so
+Python and the tokeniser see only distinct pieces that are new. What a text has is gathered by numpy
+from the pieces.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pieces that a worker remembers (some 200 bytes each); pieces of more characters are not remembered.
+# Pieces that a worker remembers; beyond it the memo starts anew with the pieces of the last batch.
 MEMO_PIECES = 1_000_000
-MEMO_CHARS = 64
+# Bytes of text that are split at once, and pieces whose ids are gathered at once.
+BATCH_BYTES = 16 << 20
+PLACES = 500_000
 STOPS = ".,;:!?"
-# Bytes of text that are split at once.
-BATCH_BYTES = 2 << 20
+# Letters of alphabets that all engines agree on.
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u052f]"
+# A single word of them is one piece of the pre-tokeniser, whole.
+WORD = re.compile(f" ?{LETTER}+")
 # What some engine takes for white space, besides the ASCII kinds.
 WHITE = r"\x0b\x1c-\x1f\x85"
 
@@ -39,6 +43,13 @@ class Cuts:
         self.unsafe = rf"^(?:\n\n|\n?(?:$|[\t\f\r{WHITE}\pZ]{taken}))"
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -69,7 +80,10 @@ def cut_long(text: str, most: int, cuts: Cuts) -> list[str]:
 
 
 def split_pieces(texts: pa.Array, cuts: Cuts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct pieces, which of them each place holds, first place of each text)."""
+    """(distinct pieces, which of them each place holds, first place of each text).
+
+    A token never spans a letter and a stop behind it, so a word and the stops behind it are two places.
+    """
     texts = pc.fill_null(texts.cast(pa.string()), "")
     lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
@@ -93,67 +107,72 @@ def split_pieces(texts: pa.Array, cuts: Cuts) -> tuple[pa.Array, np.ndarray, np.
     at[first] = len(coded.dictionary) + begins.indices.to_numpy()
     spaced = pc.binary_join_element_wise(pa.array([""] * len(coded.dictionary), pa.string()), coded.dictionary, " ")
     later = pc.if_else(pc.starts_with(coded.dictionary, "\n"), coded.dictionary, spaced)
-    return pa.concat_arrays([later, begins.dictionary]), at, first
+    return _without_stops(pa.concat_arrays([later, begins.dictionary]), at, first)
+
+
+def _without_stops(pieces: pa.Array, at: np.ndarray, first: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    heads = pc.utf8_rtrim(pieces, STOPS)
+    two = pc.and_(pc.match_substring_regex(heads, f"{LETTER}$"), pc.not_equal(heads, pieces))
+    tails = pc.struct_field(pc.extract_regex(pieces.filter(two), f"(?P<stops>[{STOPS}]+)$"), "stops")
+    coded = pa.concat_arrays([pc.if_else(two, heads, pieces), tails]).dictionary_encode()
+    codes, two = coded.indices.to_numpy().astype(np.int64), two.to_numpy(zero_copy_only=False)
+    tail = np.zeros(len(pieces), np.int64)
+    tail[two] = codes[len(pieces):]
+    both = two[at]
+    ends = np.cumsum(1 + both)
+    places = np.repeat(codes[at], 1 + both)
+    places[ends[both] - 1] = tail[at[both]]
+    return coded.dictionary, places, np.r_[0, ends][first]
 
 
 class Pieces:
-    """Remembers a value per piece, made from the piece's ids; the values of parts add up by ``+``.
+    """The ids of pieces, remembered between batches.
 
-    The memo has two halves: when the newer one is full it becomes the older one, and what is used
-    again moves back. So the frequent pieces stay, however many different ones pass.
+    The memo is an Arrow array of pieces with their ids one after the other, so a batch is looked up by one
+    hash join and Python sees only pieces that are new. A single word goes to the vocabulary's model at once,
+    anything else through the whole tokeniser.
     """
 
-    def __init__(self, path: str, values: Callable[[list], list], memo_pieces: int = MEMO_PIECES):
-        self.tokenizer, self.values, self.half = load_tokenizer(path), values, max(1, memo_pieces // 2)
-        self.newer, self.older = {}, {}
+    def __init__(self, path: str, kind: str, memo_pieces: int = MEMO_PIECES):
+        self.tokenizer, self.kind, self.most = load_tokenizer(path), np.dtype(kind), memo_pieces
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.cuts = Cuts([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
-
-    def __call__(self, pieces: list[str]) -> list:
-        """The value of every piece.
-
-        A token never spans a letter and a stop behind it, so a word before stops is looked up without them.
-        """
-        out, missing = self._held(pieces)
-        bare = [(i, p, h) for i, p, h in ((i, pieces[i], pieces[i].rstrip(STOPS)) for i in missing) if h and len(h) < len(p) and h[-1].isalpha()]
-        if bare:
-            parts = list(dict.fromkeys(x for _, p, h in bare for x in (h, p[len(h):])))
-            value = dict(zip(parts, self._whole(parts)))
-            for i, p, h in bare:
-                out[i] = value[h] + value[p[len(h):]]
-            missing = [i for i in missing if out[i] is None]
-        return self._encoded(pieces, out, missing)
-
-    def _held(self, pieces: list[str]) -> tuple[list, list[int]]:
-        """What the memo holds, and the places where it holds nothing."""
-        newer = self.newer.get
-        out = [newer(p) for p in pieces]
-        missing = [i for i, x in enumerate(out) if x is None]
-        if self.older and missing:
-            older = self.older.get
-            for i in missing:
-                out[i] = found = older(pieces[i])
-                if found is not None:
-                    self._keep(pieces[i], found)
-            missing = [i for i in missing if out[i] is None]
-        return out, missing
-
-    def _whole(self, pieces: list[str]) -> list:
-        return self._encoded(pieces, *self._held(pieces))
-
-    def _encoded(self, pieces: list[str], out: list, missing: list[int]) -> list:
-        for low in range(0, len(missing), 10_000):
-            at = missing[low:low + 10_000]
-            part = [pieces[i] for i in at]
-            for i, piece, value in zip(at, part, self.values(self.tokenizer.encode_batch_fast(part, add_special_tokens=False))):
-                out[i] = value
-                if len(piece) <= MEMO_CHARS:
-                    self._keep(piece, value)
+        self.known, self.sizes, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def __call__(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of many pieces, begin of each given piece's ids in them, their number)."""
+        found = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(found))
+        sizes, flat = self._encoded(new.to_pylist())
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        all_sizes, all_ids = np.r_[self.sizes, sizes], np.r_[self.flat, flat]
+        starts = np.cumsum(all_sizes) - all_sizes
+        out = all_ids, starts[at], all_sizes[at]
+        if len(self.known) + len(new) <= self.most:
+            self.known, self.sizes, self.flat = pa.concat_arrays([self.known, new]), all_sizes, all_ids
+        elif len(pieces) <= self.most:  # begin anew with what this batch holds
+            self.known, self.sizes, self.flat = pieces, out[2], gathered(*out)
         return out
 
-    def _keep(self, piece: str, value) -> None:
-        if len(self.newer) >= self.half:
-            self.newer, self.older = {}, self.newer
-        self.newer[piece] = value
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids)."""
+        sizes, parts = np.zeros(len(pieces), np.int64), []
+        for low in range(0, len(pieces), 10_000):
+            part = pieces[low:low + 10_000]
+            word = [WORD.fullmatch(p) is not None for p in part]
+            others = iter(self.tokenizer.encode_batch_fast([p for p, w in zip(part, word) if not w], add_special_tokens=False))
+            ids = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))] if w else next(others).ids
+                   for p, w in zip(part, word)]
+            sizes[low:low + len(part)] = [len(x) for x in ids]
+            parts.append(np.fromiter(chain.from_iterable(ids), self.kind))
+        return sizes, np.concatenate(parts) if parts else np.zeros(0, self.kind)
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these begins and lengths, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class IdEncoder:
@@ -161,38 +180,26 @@ class IdEncoder:
 
     def __init__(self, path: str, wide: bool, memo_pieces: int = MEMO_PIECES):
         self.kind = np.dtype("<u4" if wide else "<u2")
-        self.pieces = Pieces(path, self._bytes, memo_pieces)
-
-    def _bytes(self, found: list) -> list[bytes]:
-        ids = [x.ids for x in found]
-        ends = (np.cumsum([len(x) for x in ids]) * self.kind.itemsize).tolist()
-        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+        self.pieces = Pieces(path, self.kind.str, memo_pieces)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; number of ids per text with that one)."""
         distinct, at, first = split_pieces(texts, self.pieces.cuts)
-        held = self.pieces(distinct.to_pylist())
-        flat = np.frombuffer(b"".join(held), self.kind)
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.kind.itemsize
-        starts = np.cumsum(sizes) - sizes
-        per_place = sizes[at]
-        counts = np.add.reduceat(per_place, first) + 1
-        # One more id per text: all places move by the texts that end before them.
-        per_place_all = np.insert(per_place, np.r_[first[1:], len(at)], 1)
-        begin = np.insert(starts[at], np.r_[first[1:], len(at)], len(flat))
-        ends = np.cumsum(per_place_all)
-        source = np.repeat(begin - (ends - per_place_all), per_place_all) + np.arange(ends[-1])
-        return np.append(flat, np.array([end_id], self.kind))[source], counts
+        flat, starts, sizes = self.pieces(distinct)
+        # The end id is one more piece, in a place behind each text.
+        flat, starts, sizes = np.append(flat, np.array([end_id], self.kind)), np.append(starts, len(flat)), np.append(sizes, 1)
+        places = np.insert(at, np.r_[first[1:], len(at)], len(distinct))
+        counts = np.add.reduceat(sizes[at], first) + 1
+        parts = [gathered(flat, starts[p], sizes[p]) for p in (places[low:low + PLACES] for low in range(0, len(places), PLACES))]
+        return np.concatenate(parts), counts
 
 
 class Counter:
     """Numbers of ids of whole texts."""
 
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
-        self.pieces = Pieces(path, lambda found: [len(x) for x in found], memo_pieces)
+        self.pieces = Pieces(path, "<u4", memo_pieces)
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         distinct, at, first = split_pieces(texts, self.pieces.cuts)
-        held = np.array(self.pieces(distinct.to_pylist()), np.int64)
-        return np.add.reduceat(held[at], first)
+        return np.add.reduceat(self.pieces(distinct)[2][at], first)
