@@ -1,37 +1,21 @@
-"""Boosted trees for losses Spark ML does not offer: Tweedie, gamma and Poisson on the log scale."""
+"""Boosted trees for revenue: Tweedie, gamma and Poisson on the log scale, and a hurdle of two."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.functions.columns import sigmoid
 from ledgerloom.operators.design import Design
-from ledgerloom.operators.models import TEMPORARY, _inputs
-from ledgerloom.scratch import materialise
-from ledgerloom.settings import SEED
-
-
-def _derivatives(loss: str) -> tuple[Column, Column]:
-    """Gradient and curvature of the unit loss in the log score ``_f``."""
-    y, f = F.col("_y"), F.col("_f")
-    if loss == "tweedie":
-        down, up = y * F.exp(-f / 2), F.exp(f / 2)
-        return up - down, (up + down) / 2
-    if loss == "gamma":
-        ratio = y * F.exp(-f)
-        return 1 - ratio, ratio
-    if loss == "poisson":
-        return F.exp(f) - y, F.exp(f)
-    raise ValueError(f"unknown loss {loss}")
+from ledgerloom.operators.histogram_trees import HistogramTrees
+from ledgerloom.operators.models import _inputs
+from ledgerloom.settings import KEYS, SEED
 
 
 @dataclass
 class LogLinkBoosting:
-    """Newton boosting: each tree fits -g/h with weight h, leaf values are -Σg / (Σh + penalty)."""
+    """Newton boosting on the log scale: leaf values are -Σg / (Σh + penalty)."""
 
     design: Design
     loss: str = "tweedie"
@@ -41,54 +25,22 @@ class LogLinkBoosting:
     penalty: float = 10.0
     min_rows: int = 20
     row_share: float = 0.82
-    column_share: str = "all"
-    store_every: int = 10
+    column_share: float = 1.0
     seed: int = SEED
 
     def fit(self, rows: DataFrame, label: str = "future_revenue_gbp") -> "LogLinkBoosting":
         self.fitted = self.design.fit(rows)
-        train = self.fitted.transform(rows.select(
-            "customer_id", "cutoff", *[c for c in _inputs(rows) if c not in ("customer_id", "cutoff")],
-            F.col(label).cast("double").alias("_y"))).select("customer_id", "cutoff", "features", "_y")
+        inputs = [c for c in _inputs(rows) if c not in KEYS]
+        train = self.fitted.transform(rows.select(*KEYS, *inputs, F.col(label).cast("double").alias("_y")))
         if self.loss == "gamma":
             train = train.filter("_y > 0")
-        train = materialise(train, "boosting")
-        self.start = float(train.agg(F.log(F.avg("_y"))).first()[0])
-        self.trees, self.leaves = [], []
-        scored = train.withColumn("_f", F.lit(self.start))
-        for r in range(self.rounds):
-            g, h = _derivatives(self.loss)
-            work = scored.withColumn("_g", g).withColumn("_h", h).withColumn("_target", -F.col("_g") / F.col("_h"))
-            # A hash of the key picks the rows of a round: reruns see the same sample.
-            pick = F.pmod(F.xxhash64(F.lit(self.seed + r), "customer_id", "cutoff"), F.lit(10000)) < int(self.row_share * 10000)
-            sample = work.filter(pick).persist()
-            try:
-                tree = DecisionTreeRegressor(
-                    featuresCol="features", labelCol="_target", weightCol="_h", maxDepth=self.depth,
-                    minInstancesPerNode=self.min_rows, seed=self.seed + r, leafCol="_leaf").fit(sample)
-                sums = (tree.transform(sample).groupBy("_leaf").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"))
-                        .collect())  # at most 2 ** depth rows
-            finally:
-                sample.unpersist()
-            values = {int(s["_leaf"]): -s["g"] / (s["h"] + self.penalty) * self.step for s in sums}
-            self.trees.append(tree)
-            self.leaves.append(values)
-            scored = self._add(scored, tree, values)
-            if (r + 1) % self.store_every == 0 and r + 1 < self.rounds:
-                scored = materialise(scored, "boosting")  # cut the lineage of past rounds
+        self.trees = HistogramTrees(self.loss, self.rounds, self.depth, self.step, self.penalty, self.min_rows,
+                                    row_share=self.row_share, column_share=self.column_share, seed=self.seed)
+        self.trees.fit(train, "_y", F.struct(*KEYS))
         return self
 
-    @staticmethod
-    def _add(rows: DataFrame, tree, values: dict[int, float]) -> DataFrame:
-        amounts = F.create_map(*[F.lit(x) for leaf, v in sorted(values.items()) for x in (float(leaf), float(v))])
-        return (tree.transform(rows)
-                .withColumn("_f", F.col("_f") + F.coalesce(F.try_element_at(amounts, F.col("_leaf")), F.lit(0.0)))
-                .drop("_leaf", "prediction"))
-
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
-        scored = self.fitted.transform(rows).withColumn("_f", F.lit(self.start))
-        for tree, values in zip(self.trees, self.leaves):
-            scored = self._add(scored, tree, values)
+        scored = self.trees.margin(self.fitted.transform(rows), "_f")
         return scored.withColumn(output, F.exp("_f")).drop("_f", "features")
 
 
@@ -106,19 +58,14 @@ class BoostedHurdle:
 
     def fit(self, rows: DataFrame, label: str = "future_revenue_gbp") -> "BoostedHurdle":
         self.fitted = self.design.fit(rows)
-        train = self.fitted.transform(rows.select(
-            *_inputs(rows), (F.col(label) > 0).cast("double").alias("_any"))).select("features", "_any").persist()
-        try:
-            self.propensity = GBTClassifier(
-                featuresCol="features", labelCol="_any", maxIter=self.trees, maxDepth=self.depth, stepSize=self.step,
-                minInstancesPerNode=self.min_rows, seed=self.seed).fit(train)
-        finally:
-            train.unpersist()
+        inputs = [c for c in _inputs(rows) if c not in KEYS]
+        train = self.fitted.transform(rows.select(*KEYS, *inputs, (F.col(label) > 0).cast("double").alias("_any")))
+        self.propensity = HistogramTrees("logistic", self.trees, self.depth, self.step, self.penalty, self.min_rows, seed=self.seed)
+        self.propensity.fit(train, "_any", F.struct(*KEYS))
         self.amount = LogLinkBoosting(self.design, "gamma", self.trees, self.depth, self.step, self.penalty,
                                       self.min_rows, row_share=1.0, seed=self.seed).fit(rows, label)
         return self
 
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
-        scored = self.propensity.transform(self.fitted.transform(self.amount.predict(rows, "_amount")))
-        return scored.withColumn(output, vector_to_array("probability")[1] * F.col("_amount")).drop(
-            "_amount", *[c for c in TEMPORARY if c != output])
+        scored = self.propensity.margin(self.fitted.transform(self.amount.predict(rows, "_amount")), "_f")
+        return scored.withColumn(output, sigmoid(F.col("_f")) * F.col("_amount")).drop("_amount", "_f", "features")

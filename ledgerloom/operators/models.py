@@ -10,19 +10,19 @@ import math
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.columns import clip, logit, mixture_quantile, normal_quantile, sigmoid
 from ledgerloom.operators.design import Design, FittedDesign, scaled_sequence, sequence_scaling
+from ledgerloom.operators.histogram_trees import HistogramTrees
 from ledgerloom.operators.ordering import exact_medians
 from ledgerloom.operators.targets import person_periods
 from ledgerloom.scratch import materialise
-from ledgerloom.settings import HAZARD_PERIODS, SEED, WEEK_CHANNELS
+from ledgerloom.settings import HAZARD_PERIODS, KEYS, SEED, WEEK_CHANNELS
 
 TEMPORARY = ["features", "rawPrediction", "probability", "prediction"]
 
@@ -92,29 +92,31 @@ class TreeClassifier:
     step: float = 0.04
     columns_per_split: str = "0.8"
     row_share: float = 1.0
+    penalty: float = 8.0        # of boosted leaves
+    min_weight: float = 0.0     # curvature that a boosted leaf needs
     seed: int = SEED
 
-    def estimator(self, label: str):
-        if self.kind == "forest":
-            return RandomForestClassifier(
-                featuresCol="features", labelCol=label, numTrees=self.trees, maxDepth=self.depth,
-                minInstancesPerNode=self.min_rows, featureSubsetStrategy=self.columns_per_split, seed=self.seed)
-        return GBTClassifier(
-            featuresCol="features", labelCol=label, maxIter=self.trees, maxDepth=self.depth, stepSize=self.step,
-            minInstancesPerNode=self.min_rows, subsamplingRate=self.row_share,
-            featureSubsetStrategy=self.columns_per_split, seed=self.seed)
-
     def fit(self, rows: DataFrame, label: str = "inactive") -> "TreeClassifier":
         self.fitted = self.design.fit(rows)
-        train = self.fitted.transform(rows.select(*_inputs(rows), F.col(label).cast("double").alias(label))).persist()
+        inputs = [c for c in _inputs(rows) if c not in KEYS]
+        train = self.fitted.transform(rows.select(*KEYS, *inputs, F.col(label).cast("double").alias(label))).persist()
         try:
-            self.model = self.estimator(label).fit(train)
+            if self.kind == "forest":
+                self.model = RandomForestClassifier(
+                    featuresCol="features", labelCol=label, numTrees=self.trees, maxDepth=self.depth,
+                    minInstancesPerNode=self.min_rows, featureSubsetStrategy=self.columns_per_split, seed=self.seed).fit(train)
+            else:
+                self.model = HistogramTrees("logistic", self.trees, self.depth, self.step, self.penalty, self.min_rows, self.min_weight,
+                                            self.row_share, float(self.columns_per_split), seed=self.seed).fit(train, label, F.struct(*KEYS))
         finally:
             train.unpersist()
         return self
 
     def predict(self, rows: DataFrame, output: str = "p") -> DataFrame:
-        return positive_probability(self.model.transform(self.fitted.transform(rows)), output)
+        wide = self.fitted.transform(rows)
+        if self.kind == "forest":
+            return positive_probability(self.model.transform(wide), output)
+        return self.model.margin(wide, "_f").withColumn(output, sigmoid(F.col("_f"))).drop("_f", "features")
 
 
 @dataclass
@@ -319,26 +321,28 @@ class TreeRegressor:
     depth: int = 10
     min_rows: int = 18
     step: float = 0.045
+    penalty: float = 10.0       # of boosted leaves
     seed: int = SEED
 
     def fit(self, rows: DataFrame, label: str = "future_revenue_gbp") -> "TreeRegressor":
         self.fitted = self.design.fit(rows)
-        train = self.fitted.transform(rows.select(*_inputs(rows), F.col(label).cast("double").alias("_y"))).select(
-            "features", "_y").persist()
-        shared = dict(featuresCol="features", labelCol="_y", maxDepth=self.depth, minInstancesPerNode=self.min_rows,
-                      seed=self.seed)
+        inputs = [c for c in _inputs(rows) if c not in KEYS]
+        train = self.fitted.transform(rows.select(*KEYS, *inputs, F.col(label).cast("double").alias("_y"))).persist()
         try:
             if self.kind == "forest":
-                self.model = RandomForestRegressor(numTrees=self.trees, featureSubsetStrategy="0.8", **shared).fit(train)
+                self.model = RandomForestRegressor(featuresCol="features", labelCol="_y", maxDepth=self.depth, minInstancesPerNode=self.min_rows,
+                                                   seed=self.seed, numTrees=self.trees, featureSubsetStrategy="0.8").fit(train)
             else:
-                self.model = GBTRegressor(maxIter=self.trees, stepSize=self.step, lossType=self.kind, **shared).fit(train)
+                self.model = HistogramTrees(self.kind, self.trees, self.depth, self.step, self.penalty, self.min_rows, seed=self.seed).fit(
+                    train, "_y", F.struct(*KEYS))
         finally:
             train.unpersist()
         return self
 
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
-        return _score(self.model, self.fitted.transform(rows), "_y").withColumn(
-            output, F.greatest("_y", F.lit(0.0))).drop("_y", "features")
+        wide = self.fitted.transform(rows)
+        scored = _score(self.model, wide, "_y") if self.kind == "forest" else self.model.margin(wide, "_y")
+        return scored.withColumn(output, F.greatest("_y", F.lit(0.0))).drop("_y", "features")
 
 
 @dataclass
@@ -350,32 +354,35 @@ class LogNormalHurdle:
     depth: int = 3
     min_rows: int = 25
     step: float = 0.05
+    penalty: float = 1.0
     money_scale: float = 1000.0
     seed: int = SEED
 
     def fit(self, rows: DataFrame, label: str = "future_revenue_gbp") -> "LogNormalHurdle":
         self.fitted = self.design.fit(rows)
-        y = F.col(label).cast("double")
+        y, key = F.col(label).cast("double"), F.struct(*KEYS)
+        inputs = [c for c in _inputs(rows) if c not in KEYS]
         train = self.fitted.transform(rows.select(
-            *_inputs(rows), (y > 0).cast("double").alias("_any"),
-            F.when(y > 0, F.log(y / self.money_scale)).alias("_log"))).select("features", "_any", "_log").persist()
-        trees = dict(featuresCol="features", maxIter=self.trees, maxDepth=self.depth, stepSize=self.step,
-                     minInstancesPerNode=self.min_rows, seed=self.seed)
+            *KEYS, *inputs, (y > 0).cast("double").alias("_any"),
+            F.when(y > 0, F.log(y / self.money_scale)).alias("_log"))).select(*KEYS, "features", "_any", "_log").persist()
+
+        def trees(loss: str) -> HistogramTrees:
+            return HistogramTrees(loss, self.trees, self.depth, self.step, self.penalty, self.min_rows, seed=self.seed)
+
         try:
-            self.propensity = GBTClassifier(labelCol="_any", **trees).fit(train)
+            self.propensity = trees("logistic").fit(train, "_any", key)
             positive = train.filter("_any = 1")
-            self.location = GBTRegressor(labelCol="_log", **trees).fit(positive)
-            residual = (_score(self.location, positive, "_mu")
-                        .withColumn("_r2", F.pow(F.col("_log") - F.col("_mu"), 2)).select("features", "_r2"))
-            self.spread = GBTRegressor(labelCol="_r2", **trees).fit(residual)
+            self.location = trees("squared").fit(positive, "_log", key)
+            residual = self.location.margin(positive, "_mu").withColumn("_r2", F.pow(F.col("_log") - F.col("_mu"), 2))
+            self.spread = trees("squared").fit(residual, "_r2", key)
         finally:
             train.unpersist()
         return self
 
     def predict(self, rows: DataFrame, output: str = "predicted", level: float = 0.90) -> DataFrame:
         """Mean with ``lower`` and ``upper``; the arithmetic mean, not the exponent of the log mean."""
-        scored = _score(self.spread, _score(self.location, self.fitted.transform(rows), "_mu"), "_var")
-        scored = self.propensity.transform(scored).withColumn("_p", vector_to_array("probability")[1])
+        scored = self.spread.margin(self.location.margin(self.propensity.margin(self.fitted.transform(rows), "_p"), "_mu"), "_var")
+        scored = scored.withColumn("_p", sigmoid(F.col("_p")))
         variance = clip(F.col("_var"), 1e-4, 4.9)
         mu, sigma = F.col("_mu"), F.sqrt(variance)
         tail = (1 - level) / 2
