@@ -6,18 +6,18 @@ the scored rows. Training rows should come from ``available_training``.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.columns import clip, logit, mixture_quantile, normal_quantile, sigmoid
 from ledgerloom.operators.design import Design, FittedDesign, scaled_sequence, sequence_scaling
+from ledgerloom.operators.glm import LinearScore, Problem, fit_glms
 from ledgerloom.operators.histogram_trees import HistogramTrees
 from ledgerloom.operators.ordering import exact_medians
 from ledgerloom.operators.targets import person_periods
@@ -31,15 +31,9 @@ def positive_probability(df: DataFrame, output: str, column: str = "probability"
     return df.withColumn(output, vector_to_array(column)[1]).drop(*[c for c in TEMPORARY if c != output])
 
 
-def logistic(rows: DataFrame, label: str, strength: float, max_iter: int = 600, weight: str | None = None):
-    """L2 logistic regression with inverse penalty ``strength``: regParam is 1 / (strength * n)."""
-    n = rows.count() if weight is None else rows.agg(F.sum(weight)).first()[0]
-    if not n:
-        raise ValueError("no training rows")
-    estimator = LogisticRegression(
-        featuresCol="features", labelCol=label, regParam=1.0 / (strength * n), elasticNetParam=0.0,
-        standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-7)
-    return (estimator.setWeightCol(weight) if weight else estimator).fit(rows)
+def logistic(rows: DataFrame, label: str, strength: float) -> LinearScore:
+    """L2 logistic regression with inverse penalty ``strength`` over the vectors in ``features``."""
+    return fit_glms(rows, [Problem("logistic", label, strength=strength)])[0]
 
 
 class Prevalence:
@@ -62,15 +56,11 @@ class LogisticModel:
 
     def fit(self, rows: DataFrame, label: str = "inactive") -> "LogisticModel":
         self.fitted: FittedDesign = self.design.fit(rows)
-        train = self.fitted.transform(rows.select(*_inputs(rows), F.col(label).cast("double").alias(label))).persist()
-        try:
-            self.model = logistic(train, label, self.strength)
-        finally:
-            train.unpersist()
+        self.model = logistic(self.fitted.transform(rows.select(*_inputs(rows), F.col(label).cast("double").alias(label))), label, self.strength)
         return self
 
     def predict(self, rows: DataFrame, output: str = "p") -> DataFrame:
-        return positive_probability(self.model.transform(self.fitted.transform(rows)), output)
+        return self.fitted.transform(rows).withColumn(output, sigmoid(self.model.margin())).drop("features")
 
 
 def _inputs(rows: DataFrame) -> list[str]:
@@ -136,26 +126,19 @@ class PurchaseHazard:
                             lambda i: (i == F.col("period")).cast("double"))
         train = (VectorAssembler(inputCols=["static", "flags"], outputCol="features")
                  .transform(exposed.withColumn("flags", array_to_vector(flags)))
-                 .select("features", F.col("event").cast("double").alias("event"))).persist()
-        try:
-            self.model = logistic(train, "event", self.strength, 400)
-        finally:
-            train.unpersist()
+                 .select("features", F.col("event").cast("double").alias("event")))
+        self.model = logistic(train, "event", self.strength)
         return self
 
     def predict(self, rows: DataFrame, output: str = "p") -> DataFrame:
         """Product of the survivals of all periods: the period only shifts the margin, so no
         expansion of the rows is needed."""
         size = len(self.fitted.names)
-        weights = self.model.coefficients.toArray()
-        shifts = F.array(*[F.lit(float(w)) for w in weights[size:]])
-        zeros = array_to_vector(F.array(*[F.lit(0.0)] * self.periods))
-        scored = self.model.transform(VectorAssembler(inputCols=["static", "flags"], outputCol="features").transform(
-            self.fitted.transform(rows, "static").withColumn("flags", zeros)))
-        margin = vector_to_array("rawPrediction")[1]
+        static = LinearScore(self.model.coefficients[:size], self.model.intercept)
+        shifts = F.array(*[F.lit(float(w)) for w in self.model.coefficients[size:]])
+        scored = self.fitted.transform(rows, "static").withColumn("_margin", static.margin("static"))
         survival = F.aggregate(shifts, F.lit(1.0), lambda acc, s: acc * (1 - sigmoid(F.col("_margin") + s)))
-        return (scored.withColumn("_margin", margin).withColumn(output, clip(survival, 0.0, 1.0))
-                .drop("_margin", "static", "flags", *[c for c in TEMPORARY if c != output]))
+        return scored.withColumn(output, clip(survival, 0.0, 1.0)).drop("_margin", "static")
 
 
 class Platt:
@@ -164,7 +147,7 @@ class Platt:
     def fit(self, rows: DataFrame, probability: str = "p", label: str = "inactive") -> "Platt":
         train = rows.select(array_to_vector(F.array(logit(F.col(probability)))).alias("features"),
                             F.col(label).cast("double").alias(label))
-        model = logistic(train, label, 1.0, 500)
+        model = logistic(train, label, 1.0)
         self.slope, self.intercept = float(model.coefficients[0]), float(model.intercept)
         return self
 
@@ -231,84 +214,49 @@ def recent_spend(window: int, horizon_days: int) -> Column:
     return F.col(f"spend_{window}d_gbp") * F.lit(horizon_days / window)
 
 
-def tweedie_glm(rows: DataFrame, label: str, alpha: float, rounds: int = 6):
-    """Log-link Tweedie regression at power 1.5 with the penalty on the deviance scale.
-
-    Spark normalises the working weights of its least squares, so the equivalent regParam is
-    alpha / mean(sqrt(mu)); it is found by refitting until it settles. The label is divided by
-    its mean, which only moves the intercept and keeps the first iterations near the solution.
-    Returns the model and the factor for its predictions.
-    """
-    unit = float(rows.agg(F.avg(label)).first()[0])
-    scaled = rows.withColumn(label, F.col(label) / unit)
-    root, model = 1.0, None
-    for _ in range(rounds):
-        model = GeneralizedLinearRegression(
-            featuresCol="features", labelCol=label, family="tweedie", variancePower=1.5, linkPower=0.0,
-            regParam=alpha / (math.sqrt(unit) * root), maxIter=60, tol=1e-7).fit(scaled)
-        settled = float(model.transform(scaled).agg(F.avg(F.sqrt("prediction"))).first()[0])
-        if abs(settled - root) < 1e-4 * root:
-            break
-        root = settled
-    return model, unit
-
-
-def gamma_glm(rows: DataFrame, label: str, alpha: float, weight: str | None = None):
-    estimator = GeneralizedLinearRegression(featuresCol="features", labelCol=label, family="gamma", link="log",
-                                            regParam=alpha, maxIter=60, tol=1e-7)
-    return (estimator.setWeightCol(weight) if weight else estimator).fit(rows)
-
-
-def poisson_glm(rows: DataFrame, label: str, alpha: float):
-    mean = float(rows.agg(F.avg(label)).first()[0])
-    return GeneralizedLinearRegression(featuresCol="features", labelCol=label, family="poisson", link="log",
-                                       regParam=alpha / mean, maxIter=60, tol=1e-7).fit(rows)
-
-
-def _score(model, rows: DataFrame, output: str) -> DataFrame:
-    return model.transform(rows).withColumnRenamed("prediction", output)
-
-
 @dataclass
 class RevenueGlm:
-    """``tweedie``; ``hurdle`` (propensity x gamma); or ``frequency_severity`` (count x value)."""
+    """``tweedie``; ``hurdle`` (propensity x gamma); or ``frequency_severity`` (count x value).
+
+    The parts of a model are fitted in the same passes over the rows.
+    """
 
     design: Design
     kind: str = "tweedie"
     alpha: float = 1.0
     strength: float = 0.3
 
+    def problems(self) -> list[Problem]:
+        if self.kind == "tweedie":
+            return [Problem("tweedie", "_y", self.alpha)]
+        if self.kind == "hurdle":
+            return [Problem("gamma", "_positive", self.alpha), Problem("logistic", "_any", strength=self.strength)]
+        if self.kind == "frequency_severity":
+            return [Problem("gamma", "_value", self.alpha, weight="_n"), Problem("poisson", "_n", self.alpha)]
+        raise ValueError(f"unknown kind {self.kind}")
+
     def fit(self, rows: DataFrame, label: str = "future_revenue_gbp") -> "RevenueGlm":
-        self.fitted, self.unit = self.design.fit(rows), 1.0
-        target = F.greatest(F.col(label).cast("double"), F.lit(0.0))
+        self.fitted = self.design.fit(rows)
+        target, count = F.greatest(F.col(label).cast("double"), F.lit(0.0)), F.col("future_invoice_count").cast("double")
         train = self.fitted.transform(rows.select(
-            *_inputs(rows), target.alias("_y"), F.col("future_invoice_count").cast("double").alias("_n"))).select(
-            "features", "_y", "_n", (F.col("_y") > 0).cast("double").alias("_any")).persist()
-        try:
-            positive = train.filter("_y > 0")
-            if self.kind == "tweedie":
-                self.amount, self.unit = tweedie_glm(train, "_y", self.alpha)
-            elif self.kind == "hurdle":
-                self.rate = logistic(train, "_any", self.strength, 1500)
-                self.amount = gamma_glm(positive, "_y", self.alpha)
-            else:
-                self.rate = poisson_glm(train, "_n", self.alpha)
-                self.amount = gamma_glm(positive.withColumn("_v", F.col("_y") / F.col("_n")), "_v", self.alpha, "_n")
-        finally:
-            train.unpersist()
+            *_inputs(rows), target.alias("_y"), count.alias("_n"), (target > 0).cast("double").alias("_any"),
+            F.when(target > 0, target).alias("_positive"), F.when(target > 0, target / count).alias("_value")))
+        scores = fit_glms(train, self.problems())
+        self.amount, self.rate = scores[0], scores[-1]
         return self
 
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
-        scored = _score(self.amount, self.fitted.transform(rows), "_amount")
-        rate = F.lit(self.unit)
+        scored = self.fitted.transform(rows)
+        amount = F.exp(self.amount.margin())
         if self.kind == "hurdle":
-            scored = self.rate.transform(scored)
-            rate = vector_to_array("probability")[1]
+            amount = amount * sigmoid(self.rate.margin())
         elif self.kind == "frequency_severity":
-            scored = _score(self.rate, scored, "_rate")
-            rate = F.col("_rate")
-        return scored.withColumn(output, F.greatest(F.col("_amount") * rate, F.lit(0.0))).drop(
-            "_amount", "_rate", *[c for c in TEMPORARY if c != output])
+            amount = amount * F.exp(self.rate.margin())
+        return scored.withColumn(output, amount).drop("features")
+
+
+def _score(model, rows: DataFrame, output: str) -> DataFrame:
+    return model.transform(rows).withColumnRenamed("prediction", output)
 
 
 @dataclass

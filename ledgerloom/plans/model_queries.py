@@ -63,8 +63,8 @@ _named("full_logistic", _inactivity(lambda: models.LogisticModel(plain_design(NU
 _named("logistic_splines", _inactivity(lambda: models.LogisticModel(spline_design(LOGISTIC_SPLINE_FEATURES), 0.2)))
 _named("forest_classifier", _inactivity(lambda: models.TreeClassifier(plain_design(NUMERIC_FEATURES, scale=False), trees=30)))
 _named("boosted_classifier", _inactivity(lambda: models.TreeClassifier(
-    plain_design(NUMERIC_FEATURES, scale=False), kind="boosted", trees=10, depth=3, step=0.2, columns_per_split="0.82",
-    row_share=0.82)))
+    plain_design(NUMERIC_FEATURES, scale=False), kind="boosted", trees=220, depth=3, min_rows=1, min_weight=18.0,
+    columns_per_split="0.82", row_share=0.82)))
 _named("purchase_hazard", _inactivity(lambda: models.PurchaseHazard(plain_design(NUMERIC_FEATURES))))
 _named("weekly_network", _inactivity(lambda: models.WeeklyNetwork(plain_design(NUMERIC_FEATURES), iterations=30)))
 
@@ -98,15 +98,15 @@ _named("hurdle_splines", _revenue(lambda: models.RevenueGlm(
     additive_design(REVENUE_SPLINE_FEATURES, CALENDAR_FEATURES), "hurdle", alpha=0.3)))
 _named("forest_regressor", _revenue(lambda: models.TreeRegressor(plain_design(NUMERIC_FEATURES, scale=False), trees=30)))
 _named("boosted_median", _revenue(lambda: models.TreeRegressor(
-    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "absolute", trees=10, depth=4, min_rows=40, step=0.2)))
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "absolute", trees=180, depth=4, min_rows=40)))
 _named("boosted_tweedie", _revenue(lambda: boosting.LogLinkBoosting(
-    plain_design(VALUE_FEATURES, scale=False), "tweedie", rounds=8, step=0.2)))
+    plain_design(VALUE_FEATURES, scale=False), "tweedie", rounds=240, column_share=0.82)))
 _named("boosted_poisson", _revenue(lambda: boosting.LogLinkBoosting(
-    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "poisson", rounds=6, depth=4, step=0.2, min_rows=40, row_share=1.0)))
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "poisson", rounds=180, depth=4, step=0.045, min_rows=40, row_share=1.0)))
 _named("boosted_hurdle", _revenue(lambda: boosting.BoostedHurdle(
-    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), trees=6, step=0.2)))
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES))))
 _named("lognormal_hurdle", _revenue(lambda: models.LogNormalHurdle(
-    logged_design(VALUE_FEATURES, CALENDAR_FEATURES), trees=8, step=0.2)))
+    logged_design(VALUE_FEATURES, CALENDAR_FEATURES))))
 
 
 # --- Behaviour --------------------------------------------------------------------------
