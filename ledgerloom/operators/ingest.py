@@ -156,6 +156,21 @@ def quality_counters(raw: DataFrame, reconciled: DataFrame) -> DataFrame:
         *[F.sum(n).alias(n) for n in counters])
 
 
+def keep_first(lines: DataFrame, raw_columns: list[str] = RAW_COLUMNS) -> DataFrame:
+    """The first copy of every raw row in source order, with its lineage and the number of copies.
+
+    The order of a copy (batch, then row) is one number, so the survivor is a plain minimum: nothing is
+    sorted and no group is gathered. Batch names come back by the batch's order, one row per extract.
+    """
+    position = F.expr(LINE_POSITION.removesuffix(" AS line_position"))
+    first = lines.groupBy(*raw_columns).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    batches = lines.select(F.col("batch_order").alias("_batch"), "source_sheet", "source_sheet_role").distinct()
+    kept = first.withColumns({"batch_order": F.shiftright("_first", 48).cast("int"),
+                              "source_row": F.col("_first").bitwiseAND(F.lit((1 << 48) - 1))})
+    return kept.join(F.broadcast(batches), F.col("batch_order") == F.col("_batch")).select(
+        *raw_columns, "source_sheet", "source_row", "source_sheet_role", "batch_order", "copies")
+
+
 def drop_exact_duplicates(lines: DataFrame, raw_columns: list[str] = RAW_COLUMNS) -> DataFrame:
     """Global exact dedup: one row per distinct raw row."""
     return lines.select(*raw_columns).distinct()

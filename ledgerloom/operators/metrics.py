@@ -232,6 +232,26 @@ def replay_difference(stored: DataFrame, replayed: DataFrame, column: str = "pre
         F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_absolute_difference"))
 
 
+def table_digest(table: DataFrame) -> DataFrame:
+    """Rows and order-independent sums of two 64-bit hashes of every row, in one pass.
+
+    Two builds with the same digest hold the same rows as often; a changed cell, a lost or a repeated row
+    changes it. Columns are taken by name, so their order does not matter.
+    """
+    row = [F.col(f"`{c}`") for c in sorted(table.columns)]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")).alias(f"hash_{seed}") for seed in (1, 2)]
+    return table.agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+def digest_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: the two builds' numbers of rows and whether their digests agree."""
+    a, b = table_digest(first), table_digest(second)
+    both = a.select("*", F.lit(1).alias("build")).unionByName(b.select("*", F.lit(2).alias("build")))
+    return both.agg(F.max(F.when(F.col("build") == 1, F.col("rows"))).alias("rows_first"), F.max(F.when(F.col("build") == 2, F.col("rows"))).alias("rows_second"),
+                    (F.min("rows").eqNullSafe(F.max("rows")) & F.min("hash_1").eqNullSafe(F.max("hash_1"))
+                     & F.min("hash_2").eqNullSafe(F.max("hash_2"))).alias("identical"))
+
+
 def identical_tables(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows present on one side only; two builds of the same panel give zero."""
     a = left.select(*sorted(left.columns))

@@ -80,9 +80,14 @@ def weekly_bins(purchases: DataFrame, cutoffs: list[date]) -> DataFrame:
         F.expr(f"sum({to_units('revenue')}) AS revenue_units"), F.expr("sum(quantity) AS units"))
     binned = as_of(daily, "purchase_day", cutoffs, WINDOW_DAYS).selectExpr(
         "*", f"CAST(floor(datediff(purchase_day, date_sub(cutoff, {WINDOW_DAYS})) / 7) AS INT) AS week_index")
-    return binned.groupBy(*KEYS, "week_index").agg(*map(F.expr, (
-        "count(DISTINCT invoice_id) AS orders", f"greatest({from_units('sum(revenue_units)')}, 0D) AS revenue_gbp",
-        "greatest(sum(units), 0D) AS units", "count(DISTINCT stock_code) AS product_codes")))
+    # Both countings group by more than the customer and cutoff that the rows are dealt by: one exchange serves them,
+    # and no row is repeated per distinct count.
+    binned, week = binned.repartition(*KEYS), [*KEYS, "week_index"]
+    orders = binned.groupBy(*week, "invoice_id").agg(F.expr("sum(revenue_units) AS revenue_units"), F.expr("sum(units) AS units"))
+    orders = orders.groupBy(*week).agg(F.expr("count(invoice_id) AS orders"), F.expr(f"greatest({from_units('sum(revenue_units)')}, 0D) AS revenue_gbp"),
+                                       F.expr("greatest(sum(units), 0D) AS units"))
+    products = binned.select(*week, "stock_code").distinct().groupBy(*week).agg(F.expr("count(stock_code) AS product_codes"))
+    return orders.join(products, week)
 
 
 def dense_weeks(bins: DataFrame, first_days: DataFrame) -> DataFrame:

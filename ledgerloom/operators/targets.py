@@ -21,11 +21,15 @@ def future_activity(purchases: DataFrame, cutoffs: list[date], horizons: list[Ho
     """Invoices, revenue, first purchase and purchase days inside each forward window."""
     daily = purchases.groupBy("customer_id", "invoice_id", "purchase_day").agg(
         F.sum("revenue").alias("revenue"), F.min("invoice_date").alias("first_at"))
-    return forward_windows(daily, "purchase_day", cutoffs, horizons).groupBy("customer_id", "cutoff", "horizon").agg(
-        F.count_distinct("invoice_id").alias("future_invoice_count"),
-        F.sum("revenue").cast("double").alias("future_revenue_gbp"),
-        F.min("first_at").alias("first_future_purchase"),
-        F.count_distinct("purchase_day").alias("future_purchase_days"))
+    # One exchange serves both groupings, and no row is repeated per distinct count.
+    window = ["customer_id", "cutoff", "horizon"]
+    inside = forward_windows(daily, "purchase_day", cutoffs, horizons).repartition(*window)
+    invoices = inside.groupBy(*window, "invoice_id").agg(F.sum("revenue").alias("revenue"), F.min("first_at").alias("first_at"))
+    invoices = invoices.groupBy(*window).agg(
+        F.count("invoice_id").alias("future_invoice_count"), F.sum("revenue").cast("double").alias("future_revenue_gbp"),
+        F.min("first_at").alias("first_future_purchase"))
+    days = inside.select(*window, "purchase_day").distinct().groupBy(*window).agg(F.count("purchase_day").alias("future_purchase_days"))
+    return invoices.join(days, window)
 
 
 def build_targets(purchases: DataFrame, cohort: DataFrame, cutoffs: list[date], complete_end: date,

@@ -6,6 +6,8 @@ the defaults of the models so that a query stays interactive; the rows are never
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import boosting, history, metrics, models, segments, selection, targets
@@ -13,9 +15,10 @@ from ledgerloom.operators.behaviour import (BetaGeoNbd, GammaGamma, ParetoNbd, b
                                             penalty_sweep, quadrature_check)
 from ledgerloom.operators.design import additive_design, logged_design, plain_design, spline_design
 from ledgerloom.plans import inputs as I
-from ledgerloom.scratch import materialise
+from ledgerloom.scratch import materialise, shared_root
 from ledgerloom.settings import (CALENDAR_FEATURES, EXTRA_FEATURES, KEYS, LOGISTIC_SPLINE_FEATURES, NINETY_DAYS,
-                                 NUMERIC_FEATURES, REVENUE_SPLINE_FEATURES, SEED)
+                                 NUMERIC_FEATURES, REVENUE_SPLINE_FEATURES, SEED, SIX_MONTHS)
+from ledgerloom.sources import store
 
 MODEL_QUERIES = {}
 VALUE_FEATURES = NUMERIC_FEATURES + CALENDAR_FEATURES + EXTRA_FEATURES
@@ -235,14 +238,20 @@ def bootstrap_improvement(spark, d):
 
 @query
 def replay_audit(spark, d):
-    """Two scorings of the same model agree, and two builds of the labels are identical."""
+    """Stored predictions against those of the stored model, loaded again, and two builds of the labels from the lines."""
     parts = _splits(spark, d)
-    model = models.LogisticModel(plain_design(["recency_days"], country=False), 0.2).fit(parts["training"])
-    first = materialise(model.predict(parts["development"], "predicted").select(*KEYS, "predicted"), "scores")
-    again = model.predict(parts["development"], "predicted")
-    same = metrics.identical_tables(*[I.target_rows(spark, d, [NINETY_DAYS]) for _ in range(2)])
-    replay = metrics.replay_difference(first, again)
-    return replay.select(F.lit("replay").alias("check_name"), F.col("unmatched_keys").alias("rows"),
-                         F.col("max_absolute_difference")).unionByName(
-        same.select(F.concat(F.lit("rebuild_"), "side").alias("check_name"), "rows",
-                    F.lit(0.0).alias("max_absolute_difference")))
+    fitted = {"replay_logistic": models.LogisticModel(plain_design(NUMERIC_FEATURES), 0.25).fit(parts["training"]),
+              "replay_boosted": models.TreeClassifier(plain_design(NUMERIC_FEATURES, scale=False), kind="boosted", trees=5, depth=3).fit(parts["training"])}
+    out = None
+    for name, model in fitted.items():
+        stored = materialise(model.predict(parts["development"], "predicted").select(*KEYS, "predicted"), "scores")
+        path = f"{shared_root(spark)}/audit-{uuid.uuid4().hex}"
+        store.save_model(spark, model, path)
+        again = store.load_model(spark, path).predict(parts["development"], "predicted")
+        found = metrics.replay_difference(stored, again).select(
+            F.lit(name).alias("check_name"), F.col("unmatched_keys").alias("rows"), "max_absolute_difference")
+        out = found if out is None else out.unionByName(found)
+    builds = [materialise(I.target_rows(spark, d, [NINETY_DAYS, SIX_MONTHS]), "build") for _ in range(2)]
+    same = metrics.digest_difference(*builds)
+    return out.unionByName(same.select(F.lit("rebuild").alias("check_name"), F.abs(F.col("rows_first") - F.col("rows_second")).alias("rows"),
+                                       F.when(F.col("identical"), 0.0).otherwise(1.0).alias("max_absolute_difference")))

@@ -423,6 +423,10 @@ count(*) FILTER (batches > 1) AS cross_batch_duplicate_rows
 FROM (SELECT {_RAW8}, count(*) AS copies, count(DISTINCT source_sheet) AS batches FROM raw GROUP BY ALL)""")
 oracle("duplicate_excess_by_month", f"""SELECT strftime(invoice_date, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS excess_rows
 FROM (SELECT invoice_date, row_number() OVER (PARTITION BY {_RAW8}) AS n FROM raw) WHERE n > 1 GROUP BY 1""")
+oracle("first_copies", f"""SELECT invoice_id, stock_code, description, quantity, invoice_date, {r('unit_price')} AS unit_price, customer_id, country,
+       source_sheet, source_row, source_sheet_role, batch_order, count(*) OVER copies AS copies
+FROM raw WINDOW copies AS (PARTITION BY {_RAW8}), ordered AS (PARTITION BY {_RAW8} ORDER BY batch_order, source_row)
+QUALIFY row_number() OVER ordered = 1""")
 oracle("exact_dedup_count", f"SELECT count(*) AS distinct_rows FROM (SELECT DISTINCT {_RAW8} FROM raw)")
 oracle("key_consistency", " UNION ALL ".join(
     f"SELECT '{n}' AS check_name, count(*) AS violations FROM (SELECT {k} FROM lines WHERE {w} GROUP BY {k} HAVING count(DISTINCT {v}) > 1)"

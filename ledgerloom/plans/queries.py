@@ -231,6 +231,12 @@ def exact_dedup_count(spark, d):
     return ingest.drop_exact_duplicates(retail.raw_batches(spark, d)).agg(F.count(F.lit(1)).alias("distinct_rows"))
 
 
+@query
+def first_copies(spark, d):
+    """Global dedup that keeps the first copy of a raw row with its place in the source."""
+    return ingest.keep_first(retail.raw_batches(spark, d))
+
+
 @query
 def key_consistency(spark, d):
     return audit.key_consistency(I.lines(spark, d))

@@ -114,3 +114,16 @@ def test_tables_round_trip_and_fingerprints(spark, tmp_path):
     assert before != extracts.table_fingerprint(spark, path)
     with pytest.raises(ValueError, match="different sources"):
         extracts.require_same_source({n: spark.createDataFrame([(n,)], "source_signature string") for n in ("a", "b")})
+
+
+def test_keep_first_takes_the_earliest_copy(spark):
+    from ledgerloom.operators.ingest import keep_first
+    rows = [("1", "a", None, 2.0, 7, "B", "current", 1), ("1", "a", None, 2.0, 9, "A", "legacy", 0), ("1", "a", None, 2.0, 3, "A", "legacy", 0),
+            ("1", "a", "x", 2.0, 1, "B", "current", 1), (None, None, None, None, 5, "B", "current", 1), (None, None, None, None, 4, "B", "current", 1)]
+    lines = spark.createDataFrame(rows, "invoice_id string, stock_code string, description string, quantity double, source_row bigint, "
+                                        "source_sheet string, source_sheet_role string, batch_order int")
+    found = keep_first(lines, ["invoice_id", "stock_code", "description", "quantity"])
+    got = {(r.invoice_id, r.description): (r.source_sheet, r.source_row, r.source_sheet_role, r.batch_order, r.copies) for r in found.collect()}
+    assert got == {("1", None): ("A", 3, "legacy", 0, 3), ("1", "x"): ("B", 1, "current", 1, 1), (None, None): ("B", 4, "current", 1, 2)}
+    assert found.count() == 3 and keep_first(lines.filter("false"), ["invoice_id"]).count() == 0
+    assert "Sort [" not in found._jdf.queryExecution().executedPlan().toString()

@@ -100,3 +100,14 @@ def test_failed_origins_make_a_model_ineligible(spark):
     runs = spark.createDataFrame([("a", "90d", origins[0], "x"), ("a", "90d", origins[1], "x")], "model string, horizon string, origin date, signature string")
     stored = runs.limit(1).withColumn("status", F.lit("completed"))
     assert selection.missing_runs(runs, stored).count() == 1
+
+
+def test_digest_sees_one_changed_cell(spark):
+    rows = [(i, DAY, float(i % 7) if i % 5 else None, f"c{i % 3}") for i in range(400)]
+    schema = "customer_id bigint, cutoff date, v double, country string"
+    table = spark.createDataFrame(rows, schema)
+    again = spark.createDataFrame(rows[::-1], schema).repartition(7).select("country", "v", "cutoff", "customer_id")
+    same = metrics.digest_difference(table, again).first()
+    assert same["identical"] and same["rows_first"] == same["rows_second"] == 400
+    for changed in ([(*rows[0][:2], 1e-12, "c0"), *rows[1:]], rows[1:], [*rows, rows[3]], [*rows[1:], rows[1]], []):
+        assert not metrics.digest_difference(table, spark.createDataFrame(changed, schema)).first()["identical"]
