@@ -356,37 +356,55 @@ def split_by_cutoff(labelled: DataFrame, splits: dict[str, list[date]]) -> dict[
 
 
 def rolling_origins(labelled: DataFrame, origins: list[date], candidates: dict, horizon: str,
-                    train_rows=None) -> tuple[DataFrame, DataFrame]:
+                    runs=None, failure: str = "failed") -> tuple[DataFrame, DataFrame]:
     """Fit every candidate at every origin on available outcomes and score the origin's cohort.
 
-    ``candidates`` maps a name to ``f(train, cohort) -> rows with customer_id, cutoff,
-    predicted``. Returns predictions (written once) and a status row per (model, origin); a
-    failing candidate becomes a ``failed`` row and the others go on.
+    ``candidates`` maps a name to ``f(train, cohort) -> rows with customer_id, cutoff, predicted``, or to
+    None where its library is missing. Returns predictions and a status row per (model, origin): completed,
+    unavailable (no such candidate, or nothing to learn from or to score) or ``failure`` (an error or unusable
+    predictions; "refit_failed" for the last refits); the others go on. With ``runs``, a
+    :class:`ledgerloom.sources.runs.RunStore`, predictions and receipts are stored run by run and completed
+    runs are not fitted again.
     """
     from ledgerloom.operators.metrics import prediction_violations
     from ledgerloom.operators.targets import available_training, scoring_cohort
 
     spark = labelled.sparkSession
+    wanted = [(name, horizon, origin) for origin in origins for name in candidates]
+    open_ = runs.open_runs(spark, wanted) if runs else set(wanted)
     predictions, statuses = None, []
     for origin in origins:
+        todo = [name for name in candidates if (name, horizon, origin) in open_]
+        if not todo:
+            continue
         train, cohort = available_training(labelled, origin), scoring_cohort(labelled, origin)
-        for name, run in candidates.items():
-            try:
-                if train.isEmpty() or cohort.isEmpty():
-                    raise ValueError("no available training rows or no cohort")
-                scored = materialise(run(train, cohort).select(
-                    "customer_id", "cutoff", F.col("predicted").cast("double").alias("predicted")), "predictions")
-                bad = {k: v for k, v in prediction_violations(scored, cohort).first().asDict().items() if v}
-                if bad:
-                    raise ValueError(f"unusable predictions: {bad}")
-                keyed = (scored.withColumn("predicted", clip(F.col("predicted"), 0.0))
-                         .join(cohort.select("customer_id", "cutoff", F.col("future_revenue_gbp").alias("actual"),
-                                             "horizon_end_exclusive"), ["customer_id", "cutoff"])
-                         .select(F.lit(name).alias("model"), F.lit(horizon).alias("horizon"), "*"))
-                predictions = keyed if predictions is None else predictions.unionByName(keyed)
-                statuses.append((name, horizon, origin, "completed", None))
-            except Exception as error:  # recorded, not hidden
-                statuses.append((name, horizon, origin, "failed", f"{type(error).__name__}: {error}"[:300]))
+        empty = train.isEmpty() or cohort.isEmpty()
+        for name in todo:
+            status, error = "completed", None
+            if candidates[name] is None or empty:
+                status, error = "unavailable", "no such candidate" if candidates[name] is None else "no available training rows or no cohort"
+            else:
+                try:
+                    scored = materialise(candidates[name](train, cohort).select(
+                        "customer_id", "cutoff", F.col("predicted").cast("double").alias("predicted")), "predictions")
+                    bad = {k: v for k, v in prediction_violations(scored, cohort).first().asDict().items() if v}
+                    if bad:
+                        raise ValueError(f"unusable predictions: {bad}")
+                    keyed = (scored.withColumn("predicted", clip(F.col("predicted"), 0.0))
+                             .join(cohort.select("customer_id", "cutoff", F.col("future_revenue_gbp").alias("actual"),
+                                                 "horizon_end_exclusive"), ["customer_id", "cutoff"])
+                             .select(F.lit(name).alias("model"), F.lit(horizon).alias("horizon"), "*"))
+                    if runs:
+                        runs.write(keyed)
+                    else:
+                        predictions = keyed if predictions is None else predictions.unionByName(keyed)
+                except Exception as problem:  # recorded, not hidden
+                    status, error = failure, f"{type(problem).__name__}: {problem}"[:300]
+            if runs:
+                runs.receipt(spark, (name, horizon, origin), status, error)
+            statuses.append((name, horizon, origin, status, error))
+    if runs:
+        return runs.predictions(spark, wanted), runs.statuses(spark, wanted)
     table = spark.createDataFrame(statuses, "model string, horizon string, cutoff date, status string, error string")
     if predictions is None:
         raise RuntimeError(f"no candidate completed: {statuses}")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ledgerloom.operators import enrich, history, ingest, panel, targets
 from ledgerloom.scratch import materialise
-from ledgerloom.settings import KEYS, NINETY_DAYS, SIX_MONTHS
+from ledgerloom.settings import KEYS, NINETY_DAYS, SIX_MONTHS, Horizon
 from ledgerloom.sources import retail
 
 CUTOFFS = [date(2000, 3, 1), date(2000, 6, 1), date(2000, 9, 1), date(2000, 12, 1), date(2001, 3, 1), date(2001, 6, 1)]
@@ -52,16 +52,16 @@ def target_rows(spark: SparkSession, folder: str, horizons=(NINETY_DAYS, SIX_MON
     return targets.build_targets(sold, history.cohort(sold, CUTOFFS), CUTOFFS, targets.source_span(sold)[1], list(horizons))
 
 
-def labelled_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Enriched 90-day panel with labels, built once per session and folder and then read back."""
-    key = (spark.sparkContext.applicationId, folder)
+def labelled_panel(spark: SparkSession, folder: str, horizon: Horizon = NINETY_DAYS) -> DataFrame:
+    """Enriched panel with the labels of a horizon, built once per session and folder and then read back."""
+    key = (spark.sparkContext.applicationId, folder, horizon.name)
     if key not in _panels:
         sold = purchases(spark, folder)
         start, end = targets.source_span(sold)
         grain = materialise(history.history_grain(sold), "grain")
         base = materialise(panel.build_panel(sold, credits(spark, folder), CUTOFFS, grain=grain), "snapshots")
-        wide = enrich.enriched_features(base, grain, CUTOFFS, start, NINETY_DAYS)
-        labels = targets.build_targets(sold, base.select(*KEYS), CUTOFFS, end, [NINETY_DAYS])
+        wide = enrich.enriched_features(base, grain, CUTOFFS, start, horizon)
+        labels = targets.build_targets(sold, base.select(*KEYS), CUTOFFS, end, [horizon])
         # One file per core: the iterative fits that read the panel then use all of them.
         cores = spark.sparkContext.defaultParallelism
         _panels[key] = materialise(targets.label_panel(wide, labels).repartition(cores, *KEYS), "panel")

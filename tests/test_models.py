@@ -168,3 +168,39 @@ def test_boosted_models_are_saved_and_loaded(spark, tmp_path):
         again = store.load_model(spark, str(tmp_path / str(k)))
         want, got = ({r["customer_id"]: r["predicted"] for r in m.predict(rows).collect()} for m in (fitted, again))
         assert got == want and len(got) == 300
+
+
+def test_a_killed_comparison_goes_on(spark, tmp_path):
+    from ledgerloom.settings import add_months
+    from ledgerloom.sources.runs import RunStore
+    months = [date(2010, 6, 1), date(2010, 12, 1), date(2011, 6, 1)]
+    panel = spark.createDataFrame([(i, c, add_months(c, 6), True, 100.0 * (i + 1)) for c in months for i in range(4)],
+                                  "customer_id bigint, cutoff date, horizon_end_exclusive date, label_mature boolean, future_revenue_gbp double")
+    fitted, broken = [], [True]
+
+    def counting(train, cohort):
+        fitted.append(cohort.first()["cutoff"])
+        return cohort.withColumn("predicted", F.lit(-3.0 if len(fitted) > 1 else 7.0))
+
+    def flaky(train, cohort):
+        if broken[0]:
+            raise RuntimeError("executor lost")
+        return cohort.withColumn("predicted", F.lit(1.0))
+
+    candidates = {"counting": counting, "flaky": flaky, "absent": None}
+    runs = RunStore(str(tmp_path / "runs"), "s1")
+    models.rolling_origins(panel, months[:2], candidates, "6m", runs, "refit_failed")
+    broken[0] = False
+    predictions, statuses = models.rolling_origins(panel, months, candidates, "6m", runs, "refit_failed")
+    assert fitted == months[1:]  # the first origin has nothing to learn from; the second is not fitted again
+    got = {(r["model"], r["cutoff"]): (r["status"], r["error"]) for r in statuses.collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        **{("absent", m): "unavailable" for m in months}, ("counting", months[0]): "unavailable", ("flaky", months[0]): "unavailable",
+        **{(n, m): "completed" for n in ("counting", "flaky") for m in months[1:]}}
+    rows = {(r["model"], r["cutoff"], r["customer_id"]): r["predicted"] for r in predictions.collect()}
+    assert len(rows) == predictions.count() == 16 and rows["counting", months[1], 0] == 7.0 and rows["counting", months[2], 3] == 0.0
+    again = RunStore(str(tmp_path / "runs"), "another source")
+    assert len(again.open_runs(spark, [("counting", "6m", months[1])])) == 1 and not runs.open_runs(spark, [("counting", "6m", months[1])])
+    runs.write(predictions.filter("model = 'flaky'").withColumn("predicted", F.lit(9.0)))
+    replaced = runs.predictions(spark, [("flaky", "6m", months[1]), ("counting", "6m", months[1])])
+    assert sorted((r["model"], r["predicted"]) for r in replaced.collect()) == [("counting", 7.0)] * 4 + [("flaky", 9.0)] * 4
