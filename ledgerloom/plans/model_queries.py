@@ -1,7 +1,8 @@
 """Registered queries with fitted models; they have no SQL counterpart.
 
-All of them learn from the labelled panel of the given tables. Iteration counts are smaller than
-the defaults of the models so that a query stays interactive; the rows are never reduced.
+All of them learn from the labelled panel of the given tables. Boosted trees run all their rounds;
+forests, networks, clusterings and the rolling comparison run less than the models' defaults (README).
+The rows are never reduced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from ledgerloom.scratch import materialise, shared_root
 from ledgerloom.settings import (CALENDAR_FEATURES, EXTRA_FEATURES, KEYS, LOGISTIC_SPLINE_FEATURES, NINETY_DAYS,
                                  NUMERIC_FEATURES, REVENUE_SPLINE_FEATURES, SEED, SIX_MONTHS)
 from ledgerloom.sources import store
-from ledgerloom.sources.runs import RunStore
 
 MODEL_QUERIES = {}
 VALUE_FEATURES = NUMERIC_FEATURES + CALENDAR_FEATURES + EXTRA_FEATURES
@@ -208,44 +208,26 @@ def segment_projection(spark, d):
 # --- Comparison -------------------------------------------------------------------------
 
 
-def _rolling(spark, d):
-    """Predictions and statuses of all candidates at all origins and both horizons, stored run by run."""
+@query
+def rolling_evaluation(spark, d):
+    """Leaderboard over origins; models learn only from outcomes that had ended."""
+    rows = I.labelled_panel(spark, d)
     sold = I.purchases(spark, d)
-    runs = RunStore(f"{shared_root(spark)}/rolling-{uuid.uuid4().hex}", "given tables")
-    found = []
-    for horizon in (NINETY_DAYS, SIX_MONTHS):
-        rows = I.labelled_panel(spark, d, horizon)
-        window = 90 if horizon is NINETY_DAYS else 180
-
-        def recent(train, cohort, window=window, horizon=horizon):
-            return cohort.withColumn("predicted", models.recent_spend(window, horizon.length(cohort.first()["cutoff"])))
 
-        def hurdle(train, cohort):
-            return models.RevenueGlm(plain_design(NUMERIC_FEATURES), "hurdle", alpha=2.0).fit(train).predict(cohort)
+    def recent(train, cohort):
+        return cohort.withColumn("predicted", models.recent_spend(90, 90))
 
-        def splines(train, cohort):
-            return models.RevenueGlm(additive_design(REVENUE_SPLINE_FEATURES, CALENDAR_FEATURES), "tweedie", alpha=0.3).fit(train).predict(cohort)
+    def hurdle(train, cohort):
+        return models.RevenueGlm(plain_design(NUMERIC_FEATURES), "hurdle", alpha=2.0).fit(train).predict(cohort)
 
-        def behaviour(train, cohort, horizon=horizon):
-            origin = cohort.first()["cutoff"]
-            summary = materialise(history.purchase_day_summary(sold, [origin]), "summary")
-            return for_cohort(bg_value(summary, horizon.length(origin), BetaGeoNbd.fit(summary), GammaGamma.fit(summary)), cohort)
+    def behaviour(train, cohort):
+        summary = materialise(history.purchase_day_summary(sold, [cohort.first()["cutoff"]]), "summary")
+        return for_cohort(bg_value(summary, 90, BetaGeoNbd.fit(summary), GammaGamma.fit(summary)), cohort)
 
-        candidates = {"recent_spend": recent, "hurdle_glm": hurdle, "tweedie_splines": splines, "bg_nbd": behaviour}
-        found.append(models.rolling_origins(rows, I.CUTOFFS, candidates, horizon.name, runs))
-    predictions, statuses = ([pair[i] for pair in found] for i in (0, 1))
-    return predictions[0].unionByName(predictions[1]), statuses[0].unionByName(statuses[1])
-
-
-@query
-def rolling_evaluation(spark, d):
-    """Leaderboard per horizon over all origins; models learn only from outcomes that had ended."""
-    predictions, statuses = _rolling(spark, d)
-    scored = metrics.revenue_metrics(predictions, groups=["horizon", "model", "cutoff"]).join(statuses, ["horizon", "model", "cutoff"])
-    boards = [selection.leaderboard(scored.filter(F.col("horizon") == h.name)).select(F.lit(h.name).alias("horizon"), "*") for h in (NINETY_DAYS, SIX_MONTHS)]
-    summary = [selection.status_summary(statuses.filter(F.col("horizon") == h.name)).select(
-        F.lit(h.name).alias("horizon"), "model", "origins_completed", "origins_failed") for h in (NINETY_DAYS, SIX_MONTHS)]
-    return boards[0].unionByName(boards[1]).join(summary[0].unionByName(summary[1]), ["horizon", "model"])
+    predictions, statuses = models.rolling_origins(
+        rows, [I.CALIBRATION, I.FINAL], {"recent_spend": recent, "hurdle_glm": hurdle, "bg_nbd": behaviour}, "90d")
+    scored = metrics.revenue_metrics(predictions, groups=["model", "cutoff"]).join(statuses, ["model", "cutoff"])
+    return selection.leaderboard(scored)
 
 
 @query
