@@ -3,12 +3,17 @@
 Texts become words: lower case, runs of letters and digits. A seed is a fixed mask over consecutive
 words, such as 1101100101111; the words under its ones are hashed, those under its zeros may
 differ. Documents and benchmark items are joined on (mask, hash); a hit fixes how the two are
-aligned. Around hits the alignment is verified word by word: the best stretch, where an equal word
-counts 1 and a different one -2, has to reach the least score. So passages are found in spite of
-substituted words, and chance hits are not.
+aligned. Around hits the alignment is verified word by word. It counts if any of these holds:
 
-The least score is 12, or 0.55 of the item's words if that is less; items shorter than the longest
-mask can only be hit by masks that fit.
+* 13 words in a row of which at least 11 are equal;
+* the best stretch, where an equal word counts 1 and a different one -2, scores 12, or 0.55 of the
+  item's words if that is less;
+* the item has less than nine words, and all of them are there, in a row (items of one to three
+  words: and the document has no others, as such items stand in any text).
+
+Items of less than nine words have a seed of their own, the hash of the whole item. The masks find
+every place of one substituted word in 13 and of two in 20; of the 78 places of two in 13 words they
+miss 11, of the 105 in 15 none.
 
 Documents' seeds are never shuffled where the benchmark's hashes are few (their number is counted
 and a size bound checked): they are broadcast and probed where the text is read. Otherwise the
@@ -24,11 +29,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Fixed masks: 8 of 9 to 13 words, chosen so that one or two substitutions in 15 words leave a hit.
-MASKS = ("110111111", "1110100110111", "1101011001111")
-SPAN = max(map(len, MASKS))
+from ledgerloom.scratch import materialise
+
+# Fixed masks: eight or nine of 9 to 13 words.
+MASKS = ("110111111", "1110100110111", "1101011001111", "1111101011")
+SPAN, SHORTEST = max(map(len, MASKS)), min(map(len, MASKS))
 PENALTY = 2
 LEAST_SCORE, LEAST_SHARE = 12, 0.55
+WINDOW, LEAST_EQUAL = 13, 11
+ALONE_BELOW = 4  # items with fewer words count only where they are the whole document
 # Benchmark hashes (24 bytes each) that may be broadcast: about 50 MB.
 BROADCAST_SEEDS = 2_000_000
 ABSENT = 0
@@ -39,18 +48,26 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
-def seeds(words_table: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, position, mask, seed): one row per mask and position where it fits; ``words_table`` has (keys, words)."""
-    used = sorted({0} | {i for m in MASKS for i, c in enumerate(m) if c == "1"})
+def seeds(words_table: DataFrame, keys: list[str], whole: tuple[int, ...] = (), of_items: bool = False) -> DataFrame:
+    """(keys, position, seed): one row per mask and position where it fits; ``words_table`` has (keys, words).
+
+    ``whole`` lists lengths below the shortest mask that some item has: these words in a row are a
+    seed too, of items only if they are the whole item.
+    """
+    masks = [(k, m) for k, m in enumerate(MASKS)] + [(-n, "1" * n) for n in whole]
+    used = sorted({i for _, m in masks for i, c in enumerate(m) if c == "1"})
     hashed = F.transform("words", lambda w: F.xxhash64(w))
     padded = words_table.select(*keys, F.concat(hashed, F.array_repeat(F.lit(ABSENT).cast("long"), SPAN - 1)).alias("_h"),
-                                F.size("words").alias("_n")).where("_n >= %d" % min(map(len, MASKS)))
+                                F.size("words").alias("_n")).where("_n >= %d" % min(len(m) for _, m in masks))
     shifted = F.arrays_zip(*[F.slice("_h", i + 1, F.col("_n")).alias(f"w{i}") for i in used])
-    rows = padded.select(*keys, F.posexplode(shifted).alias("position", "_w"))
-    per_mask = [F.struct(F.lit(k).alias("mask"),
-                         F.when(F.col(f"_w.w{len(m) - 1}") != ABSENT, F.xxhash64(F.lit(k), *[F.col(f"_w.w{i}") for i, c in enumerate(m) if c == "1"])).alias("seed"))
-                for k, m in enumerate(MASKS)]
-    return rows.select(*keys, "position", F.inline(F.array(*per_mask))).where("seed is not null")
+    rows = padded.select(*keys, "_n", F.posexplode(shifted).alias("position", "_w"))
+
+    def fits(k: int, m: str) -> Column:
+        there = F.col(f"_w.w{len(m) - 1}") != ABSENT
+        return there & (F.col("_n") == len(m)) if k < 0 and (of_items or len(m) < ALONE_BELOW) else there
+
+    per_mask = [F.when(fits(k, m), F.xxhash64(F.lit(k), *[F.col(f"_w.w{i}") for i, c in enumerate(m) if c == "1"])) for k, m in masks]
+    return rows.select(*keys, "position", F.explode(F.array(*per_mask)).alias("seed")).where("seed is not null")
 
 
 def distinct_items(benchmark: DataFrame) -> DataFrame:
@@ -58,12 +75,23 @@ def distinct_items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", words().alias("item_words")).groupBy("item_words").agg(F.min("item_id").alias("item_id"))
 
 
-def _alignment(document: str, item: str, shift: str) -> Column:
-    """(score, begin, end) of the best stretch; begin and end are words of the item, end exclusive."""
-    low = F.greatest(F.lit(0), -F.col(shift))
+def _points(document: str, item: str, shift: str) -> Column:
+    """1 for an equal word and -2 for a different one, over the item's words from ``_low`` that meet the document."""
     high = F.least(F.size(item), F.size(document) - F.col(shift))
-    equal = F.zip_with(F.slice(document, low + F.col(shift) + 1, high - low), F.slice(item, low + 1, high - low),
-                       lambda a, b: F.when(a == b, 1).otherwise(-PENALTY))
+    return F.zip_with(F.slice(document, F.col("_low") + F.col(shift) + 1, high - F.col("_low")), F.slice(item, F.col("_low") + 1, high - F.col("_low")),
+                      lambda a, b: F.when(a == b, 1).otherwise(-PENALTY))
+
+
+def _dense(points: str) -> Column:
+    """Whether ``WINDOW`` words in a row have ``LEAST_EQUAL`` equal ones."""
+    least = LEAST_EQUAL - PENALTY * (WINDOW - LEAST_EQUAL)
+    total = lambda i: F.aggregate(F.slice(points, i, F.lit(WINDOW)), F.lit(0), lambda s, x: s + x)
+    return F.when(F.size(points) >= WINDOW, F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(points) - WINDOW + 1)), lambda i: total(i) >= least)).otherwise(False)
+
+
+def _alignment(points: str) -> Column:
+    """(score, begin, end) of the best stretch; begin and end are words of the item, end exclusive."""
+    low = F.col("_low")
     start = F.struct(F.lit(0).alias("run"), low.alias("from"), low.alias("at"), F.lit(0).alias("score"), low.alias("begin"), low.alias("end"))
 
     def step(s, x):
@@ -75,26 +103,34 @@ def _alignment(document: str, item: str, shift: str) -> Column:
                         F.when(better, since).otherwise(s["begin"]).alias("begin"),
                         F.when(better, s["at"] + 1).otherwise(s["end"]).alias("end"))
 
-    return F.aggregate(equal, start, step, lambda s: F.struct(s["score"], s["begin"], s["end"]))
+    return F.aggregate(points, start, step, lambda s: F.struct(s["score"], s["begin"], s["end"]))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps: doc_id, item_id, shift (document word minus item word), score, item_begin, item_end, item_words."""
     items = distinct_items(benchmark)
-    item_seeds = seeds(items.withColumnRenamed("item_words", "words"), ["item_id"]).select(
+    # The lengths of short items, eight at most.
+    whole = tuple(r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n").between(1, SHORTEST - 1)).distinct().orderBy("n").collect())
+    item_seeds = seeds(items.withColumnRenamed("item_words", "words"), ["item_id"], whole, True).select(
         "item_id", F.col("position").alias("item_position"), F.col("seed"))
     few = item_seeds.count() <= BROADCAST_SEEDS
-    found = seeds(docs.select("doc_id", words().alias("words")), ["doc_id"])
+    found = seeds(docs.select("doc_id", words().alias("words")), ["doc_id"], whole)
     hits = found.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
-    pairs = hits.select("doc_id", "item_id", (F.col("position") - F.col("item_position")).alias("shift")).distinct()
+    # Stored: the texts are thinned by it and aligned with it.
+    pairs = materialise(hits.select("doc_id", "item_id", (F.col("position") - F.col("item_position")).alias("shift")).distinct(), "leak-places")
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(
         pairs.select(F.col("doc_id").alias("_hit")).distinct(), F.col("_doc").eqNullSafe(F.col("_hit")), "left_semi")
     texts = texts.select("_doc", words().alias("words"))
-    aligned = (pairs.join(items.select(F.col("item_id").alias("_item"), "item_words"), F.col("item_id").eqNullSafe(F.col("_item")))
-               .join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")))
-               .select("doc_id", "item_id", "shift", F.size("item_words").alias("item_words"), _alignment("words", "item_words", "shift").alias("_a")))
-    least = F.least(F.lit(LEAST_SCORE), F.ceil(F.lit(LEAST_SHARE) * F.col("item_words")).cast("int"))
-    return (aligned.where(F.col("_a.score") >= least)
+    placed = (pairs.join(items.select(F.col("item_id").alias("_item"), "item_words"), F.col("item_id").eqNullSafe(F.col("_item")))
+              .join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")))
+              .withColumn("_low", F.greatest(F.lit(0), -F.col("shift"))))
+    placed = placed.select("doc_id", "item_id", "shift", "_low", F.size("item_words").alias("item_words"), F.size("words").alias("_words"),
+                           _points("words", "item_words", "shift").alias("_points"))
+    aligned = placed.select("doc_id", "item_id", "shift", "item_words", "_words", _alignment("_points").alias("_a"), _dense("_points").alias("_dense"))
+    n = F.col("item_words")
+    least = F.least(F.lit(LEAST_SCORE), F.ceil(F.lit(LEAST_SHARE) * n).cast("int"))
+    short = (F.col("_a.score") == n) & ((n >= ALONE_BELOW) | (F.col("_words") == n))
+    return (aligned.where(F.when(n < SHORTEST, short).otherwise(F.col("_dense") | (F.col("_a.score") >= least)))
             .select("doc_id", "item_id", "shift", F.col("_a.score").alias("score"), F.col("_a.begin").alias("item_begin"),
                     F.col("_a.end").alias("item_end"), "item_words"))
 

@@ -45,25 +45,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+# No masks: every alignment with three equal words in a row is scored (a stretch that counts has such a run).
 _LEAKS = r"""
-WITH masks(k, m, ones) AS (VALUES (0, 9, [0, 1, 3, 4, 5, 6, 7, 8]), (1, 13, [0, 1, 2, 4, 7, 8, 10, 11, 12]), (2, 13, [0, 1, 3, 5, 6, 9, 10, 11, 12])),
-d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
 b0 AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
-b AS (SELECT min(item_id) AS item_id, w FROM b0 GROUP BY w),
-ds AS (SELECT doc_id, k, p, list_transform(ones, lambda i: w[p + i + 1]) AS seed
-       FROM (SELECT doc_id, w, k, ones, unnest(range(0, len(w) - m + 1)) AS p FROM d, masks WHERE len(w) >= m)),
-bs AS (SELECT item_id, k, p, list_transform(ones, lambda i: w[p + i + 1]) AS seed
-       FROM (SELECT item_id, w, k, ones, unnest(range(0, len(w) - m + 1)) AS p FROM b, masks WHERE len(w) >= m)),
-h AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.p - bs.p AS shift FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed),
+b AS (SELECT min(item_id) AS item_id, w FROM b0 WHERE len(w) > 0 GROUP BY w),
+dg AS (SELECT doc_id, p, w[p + 1:p + 3] AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS p FROM d WHERE len(w) > 2)),
+bg AS (SELECT item_id, p, w[p + 1:p + 3] AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 2)) AS p FROM b WHERE len(w) > 8)),
+h AS (SELECT DISTINCT dg.doc_id, bg.item_id, dg.p - bg.p AS shift FROM dg JOIN bg USING (g)),
 x AS (SELECT h.doc_id, h.item_id, h.shift, len(b.w) AS n, d.w AS dw, b.w AS bw,
              unnest(range(greatest(0, -h.shift), least(len(b.w), len(d.w) - h.shift))) AS j
       FROM h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id),
-s AS (SELECT doc_id, item_id, shift, n, j,
-             sum(CASE WHEN dw[j + shift + 1] = bw[j + 1] THEN 1 ELSE -2 END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS total FROM x),
+e AS (SELECT doc_id, item_id, shift, n, j, CASE WHEN dw[j + shift + 1] = bw[j + 1] THEN 1 ELSE -2 END AS v FROM x),
+s AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS total,
+             sum(v) OVER t AS near, count(*) OVER t AS wide FROM e
+      WINDOW t AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
 r AS (SELECT *, least(0, coalesce(min(total) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s),
-a AS (SELECT doc_id, item_id, shift, n, max(total - low) AS score FROM r GROUP BY ALL)
+a AS (SELECT doc_id, item_id, shift, n, max(total - low) AS score, bool_or(wide = 13 AND near >= 7) AS dense FROM r GROUP BY ALL),
+u AS (SELECT doc_id, item_id, n, score, shift FROM a WHERE dense OR score >= least(12, ceil(CAST(0.55 AS DOUBLE) * n))
+      UNION ALL
+      SELECT doc_id, item_id, len(bw), len(bw), p
+      FROM (SELECT doc_id, item_id, d.w AS dw, b.w AS bw, unnest(range(0, len(d.w) - len(b.w) + 1)) AS p FROM b JOIN d ON len(b.w) < 9 AND len(b.w) <= len(d.w))
+      WHERE dw[p + 1:p + len(bw)] = bw AND (len(bw) > 3 OR len(dw) = len(bw)))
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS item_words, CAST(max(score) AS BIGINT) AS score, count(*) AS places
-FROM a WHERE score >= least(12, ceil(CAST(0.55 AS DOUBLE) * n)) GROUP BY doc_id, item_id, n
+FROM u GROUP BY doc_id, item_id, n
 """
 
 ORACLES = {"op5_decontaminate": _LEAKS, "op3_chat_format": _CHAT, "op9_source_mix": _MIX}

@@ -62,3 +62,40 @@ def test_join_without_broadcast_agrees(spark, documents, monkeypatch):
     first = sorted(leak.contaminated(table, bench).collect())
     monkeypatch.setattr(leak, "BROADCAST_SEEDS", 0)
     assert sorted(leak.contaminated(table, bench).collect()) == first and len(first) == 10
+
+
+def counts(document, item):
+    """Whether some alignment of two word lists holds a passage, with no masks."""
+    n = len(item)
+    if n < 9:
+        return any(document[p:p + n] == item for p in range(len(document) - n + 1)) and (n > 3 or document == item)
+    for shift in range(-n + 1, len(document)):
+        points = [1 if document[j + shift] == item[j] else -2 for j in range(max(0, -shift), min(n, len(document) - shift))]
+        run = best = 0
+        for x in points:
+            run = max(0, run) + x
+            best = max(best, run)
+        if best >= min(12, -(-55 * n // 100)) or any(sum(points[i:i + 13]) >= 7 for i in range(len(points) - 12)):
+            return True
+    return False
+
+
+def test_agrees_with_all_alignments(spark, documents):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate([1, 2, 3, 4, 5, 8, 9, 10, 13, 16, 22, 40, 60])}
+    rows = {100 + i: list(w) for i, w in items.items()} | {200 + i: text(5) + w + text(5) for i, w in items.items()}
+    for at in range(13):  # one substitution in thirteen words of a long item
+        passage = items[12][20:33]
+        passage[at] = "other"
+        rows[300 + at] = text(rng.randint(0, 9)) + ["x", *passage, "y"] + text(3)
+    for k in range(30):  # two in fifteen
+        passage = items[11][5:20]
+        for at in rng.sample(range(15), 2):
+            passage[at] = "other"
+        rows[400 + k] = ["x", *passage, "y"]
+    bench = benchmark_table(spark, [(i, " ".join(w)) for i, w in items.items()])
+    found = {(r.doc_id, r.item_id) for r in leak.contaminated(documents([(d, " ".join(w)) for d, w in rows.items()]), bench).collect()}
+    assert found == {(d, i) for d, w in rows.items() for i, item in items.items() if counts(w, item)}
+    assert {(200 + i, i) for i in (3, 4, 5)} <= found and {(300 + i, 12) for i in range(13)} <= found and not {(200 + i, i) for i in (0, 1, 2)} & found
