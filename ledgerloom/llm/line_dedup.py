@@ -187,16 +187,26 @@ def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list
 
 
 def marked(first: list[int], second: list[int], words: list[int], least: int) -> list[int]:
-    """The lines of the second document that go: aligned blocks, and what repeats one of them."""
-    gone, run = set(), []
-    matches = patience_matches(first, second, words, least)
-    for match in [*matches, None]:
-        if match is None or (run and match != (run[-1][0] + 1, run[-1][1] + 1)):
-            block = blocks(run, words, least)
-            gone.update(repeated(second, block) if block else [])
-            run = []
-        if match is not None:
-            run.append(match)
+    """The lines of the second document that go: aligned blocks, and what repeats one of them.
+
+    What is left is aligned again until no block is found: blocks that stand in another order
+    cross, so that one alignment cannot have them all.
+    """
+    gone, rest, known = set(), list(second), set(first)
+    while sum(words[j] for j, x in enumerate(rest) if x in known) >= least:
+        found, run = set(), []
+        for match in [*patience_matches(first, rest, words, least), None]:
+            if match is None or (run and match != (run[-1][0] + 1, run[-1][1] + 1)):
+                block = blocks(run, words, least)
+                found.update(repeated(second, block) if block else [])
+                run = []
+            if match is not None:
+                run.append(match)
+        if not found - gone:
+            break
+        gone |= found
+        for j in found:
+            rest[j] = None  # equals no line
     return sorted(gone)
 
 
@@ -283,12 +293,15 @@ def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS)
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_lines, n_deleted, kept_text of every document with an id (rows with one id joined by line feeds)."""
+    """doc_id, n_lines, n_deleted, kept_text of every document (rows with one id joined by line feeds; without an id, row by row)."""
     whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_t"))
     whole = whole.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_t", "text"))).alias("_all"))
     rows = whole.join(deletions(docs, **options), "doc_id", "left").withColumn("_lines", F.split(F.concat_ws("\n", "_all.text"), "\n"))
     gone = F.coalesce("deleted", F.array().cast("array<int>"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
     kept = F.transform(stays, lambda i: F.element_at("_lines", i + 1))
+    text = F.coalesce("text", F.lit(""))
+    unnamed = docs.where("doc_id is null").select(
+        F.lit(None).cast("long").alias("doc_id"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_deleted"), text.alias("kept_text"))
     return rows.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_deleted"),
-                       F.array_join(kept, "\n").alias("kept_text"))
+                       F.array_join(kept, "\n").alias("kept_text")).unionByName(unnamed)
