@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.tables import bounded_sample, is_held_out, unit_hash
+from ledgerloom.llm.tables import bounded_sample, is_held_out, one_text_each, unit_hash
 
 WIDTH_BITS = 15
 WIDTH = 1 << WIDTH_BITS
@@ -190,7 +190,7 @@ def train(docs: DataFrame, most: int = 4_000) -> Languages:
                  pa.array([c.astype("<u2").tobytes() for c, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())],
                 names=["doc_id", "lang", "calibrates", "columns", "counts"])
 
-    chosen = bounded_sample(usable, "lang", "doc_id", most).withColumn("calibrates", unit_hash("doc_id", 23) < 0.2)
+    chosen = one_text_each(bounded_sample(usable, "lang", "doc_id", most), "doc_id", "lang").withColumn("calibrates", unit_hash("doc_id", 23) < 0.2)
     sample = chosen.mapInArrow(to_counts, "doc_id long, lang string, calibrates boolean, columns binary, counts binary").toPandas()
     sample = sample.sort_values(["doc_id", "lang"], kind="stable")
     rows = [(np.frombuffer(c, "<u2").astype(np.int64), np.frombuffer(n, "<u4")) for c, n in zip(sample["columns"], sample["counts"])]

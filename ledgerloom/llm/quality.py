@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm import boosted_trees
-from ledgerloom.llm.tables import bounded_sample, is_held_out
+from ledgerloom.llm.tables import bounded_sample, is_held_out, one_text_each
 
 # Which bytes count as what; bytes over 127 are parts of letters beyond ASCII.
 _CLASSES = np.full(256, 0)
@@ -81,8 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
     known = labelled(labels, column)
     chosen = bounded_sample(known, "label", "label_id", most)  # ids and labels only: its size is bounded by ``most``
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    rows = _with_statistics(texts.select("label", "text"), ["label"])
-    found = rows.toPandas()
+    rows = _with_statistics(one_text_each(texts, "label_id", "label"), ["label_id", "label"])
+    found = rows.toPandas().sort_values("label_id", kind="stable")  # one row per chosen id
     x = np.array(found["statistics"].tolist(), float).reshape(len(found), len(STATISTICS))
     y = found["label"].to_numpy(float)
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

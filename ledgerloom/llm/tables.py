@@ -34,3 +34,9 @@ def bounded_sample(rows: DataFrame, stratum: str, key: str, most: int) -> DataFr
     share = F.broadcast(share.select(F.col(stratum).alias("_stratum"), "_share"))  # one row per class or language
     kept = rows.join(share, F.col(stratum) == F.col("_stratum"))
     return kept.where(unit_hash(key, 17) < F.col("_share")).drop("_stratum", "_share")
+
+
+def one_text_each(rows: DataFrame, key: str, *further: str) -> DataFrame:
+    """One row per key with its text: the one with the smallest hash, so that repeated ids cannot swell a bounded sample."""
+    least = F.min(F.struct(F.xxhash64("text", *further).alias("_h"), "text", *further)).alias("_r")
+    return rows.groupBy(key).agg(least).select(key, "_r.text", *[f"_r.{c}" for c in further])

@@ -5,8 +5,12 @@ and signs, are set apart by separators or spaces, or are repeated. What looks wr
 lattice of readings; Viterbi search picks the reading with the best sum of a character language
 model and the costs of the channel. The restored words, not the written ones, are then scored.
 
-* The language model has n-grams of up to ``ORDER`` characters, hashed into ``LM_WIDTH`` counts and
-  added up over every document; shorter contexts stand in for unseen ones.
+* The language model has the n-grams of up to ``ORDER`` characters of every document, counted in a
+  table of one row per n-gram (by its 32-bit hash), which grows with the corpus; those seen more than
+  twice serve the decoder, shorter contexts stand in for the others.
+* Invisible characters are dropped and compatibility forms (full-width letters) folded first; a word
+  with accents is also read without them. A sign inside a word that looks like no letter may stand
+  for any.
 * The score is a logistic regression on the restored words and their beginnings. Its weights are
   not negative, so harmless words around an insult cannot make up for it. It is trained by
   follow-the-regularised-leader with an L1 penalty on about ``most`` labelled documents, an equal
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
@@ -33,10 +38,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.language_id import letters, ngram_columns
 from ledgerloom.llm.quality import labelled
-from ledgerloom.llm.tables import bounded_sample, is_held_out, unit_hash
+from ledgerloom.llm.tables import bounded_sample, is_held_out, one_text_each, unit_hash
 
-ORDER, LM_BITS = 5, 19
-LM_WIDTH = 1 << LM_BITS
+ORDER, LM_BITS = 5, 32
+LEAST_SEEN = 3
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
 BACK_OFF = math.log(0.4)
@@ -51,45 +56,83 @@ EDGES = ".,;:!?\"'()[]{}<>*#&%|-_~`/\\=+…«»„“”’"
 REPEATED = re.compile(r"(.)\1\1")
 # Three signs or more at an end are decoration, not letters.
 DECORATION = re.compile(r"^[\W_]{3,}|[\W_]{3,}$")
-COST_LOOK_ALIKE, COST_DROP, COST_SPACE = 0.7, 0.3, 0.6
+COST_LOOK_ALIKE, COST_DROP, COST_SPACE, COST_ANY = 0.7, 0.3, 0.6, 1.5
+ANY = [(c, COST_ANY) for c in "abcdefghijklmnopqrstuvwxyz"]
+MASKING = set("*^%#&?=<>\"")  # signs that may stand for any letter inside a word
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+# Three or more words in a row of one or two characters each.
+LOOSE = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
+
+
+def folded(text: str) -> str:
+    """Lower case, without invisible characters, compatibility forms as plain characters."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).lower()
+
+
+def unaccented(word: str) -> str:
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
 # ---------------------------------------------------------------- language model
 
-def character_counts(docs: DataFrame) -> np.ndarray:
-    """Hashed n-gram counts over the letters of every document.
+@dataclass(frozen=True)
+class Counts:
+    """How often each n-gram occurs, by its hash in ascending order."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+
+    def of(self, column: int) -> int:
+        at = int(np.searchsorted(self.hashes, np.uint32(column)))
+        return int(self.counts[at]) if at < len(self.hashes) and self.hashes[at] == column else 0
+
 
-    A task adds up its documents and sends the counts that are not zero, at most ``LM_WIDTH`` rows
-    a task; their sums, bounded by ``LM_WIDTH``, reach the driver.
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, numbers = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, numbers = keys[order], numbers[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(numbers, first) if len(keys) else numbers
+
+
+def _tallied(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    columns = np.sort(columns)
+    first = np.flatnonzero(np.concatenate([[True], columns[1:] != columns[:-1]]))
+    return columns[first], np.diff(np.append(first, len(columns)))
+
+
+def character_counts(docs: DataFrame) -> Counts:
+    """The n-grams over the letters of all documents that occur ``LEAST_SEEN`` times or more.
+
+    A task adds up its documents and sends one row per n-gram; rarer n-grams leave after the sum.
     """
     def count(batches):
-        total, held, size = np.zeros(LM_WIDTH, np.int64), [], 0
+        total, held, size = [], [], 0
         for batch in batches:
             for text in batch.column("text"):
                 columns = ngram_columns(letters(text.as_py() or ""), ORDER, LM_BITS)
                 held.append(columns)
                 size += len(columns)
                 if size > 4_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=LM_WIDTH)
+                    total = [_summed([*total, _tallied(np.concatenate(held))])]
                     held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=LM_WIDTH)
-        at = np.flatnonzero(total)
-        for low in range(0, len(at), 65536):
-            part = at[low:low + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["column", "n"])
-
-    found = docs.select("text").mapInArrow(count, "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(LM_WIDTH, np.int64)
-    out[found.column("column").to_numpy()] = found.column("n").to_numpy()
-    return out
+        if size:
+            total = [_summed([*total, _tallied(np.concatenate(held))])]
+        for keys, numbers in total:
+            for low in range(0, len(keys), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[low:low + 65536].astype(np.int64)), pa.array(numbers[low:low + 65536].astype(np.int64))], names=["column", "n"])
+
+    found = docs.select("text").mapInArrow(count, "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN).toArrow()
+    keys, numbers = found.column("column").to_numpy().astype(np.uint32), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return Counts(keys[order], numbers[order])
 
 
 class LanguageModel:
     """log P(character | up to four characters before), from hashed counts."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.tolist()
+    def __init__(self, counts: Counts):
+        self.counts = counts
         self.known: dict[str, dict[str, float]] = {}
         self.total = None
 
@@ -115,15 +158,13 @@ class LanguageModel:
 
     def _compute(self, before: str, character: str) -> float:
         if before:
-            base = self.counts[self.column(before)]
-            both = self.counts[self.column(before + character)]
-            # Below three sightings a hashed count may be a collision.
-            if both > 2 and base >= both:
+            base, both = self.counts.of(self.column(before)), self.counts.of(self.column(before + character))
+            if both and base >= both:
                 return math.log(both / base)
             return BACK_OFF + self.log_p(before[1:], character)
         if self.total is None:
-            self.total = float(self.counts[self.column(" ")]) * 6 + 100.0
-        return math.log((self.counts[self.column(character)] + 0.5) / self.total)
+            self.total = float(self.counts.of(self.column(" "))) * 6 + 100.0
+        return math.log((self.counts.of(self.column(character)) + 0.5) / self.total)
 
 
 # ---------------------------------------------------------------- decoding
@@ -142,9 +183,9 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
             readings = [(x * k, COST_LOOK_ALIKE) for x in LOOK_ALIKES[c] for k in ((run,) if run < 3 else (1, 2))]
             out.append(readings + [(" ", COST_LOOK_ALIKE + COST_SPACE)])
         elif c in SEPARATORS:
-            out.append([("", COST_DROP), (" ", COST_SPACE)])
+            out.append([("", COST_DROP), (" ", COST_SPACE)] + (ANY if c in MASKING else []))
         else:
-            out.append([(" ", 0.0)])
+            out.append([(" ", 0.0)] + (ANY if c in MASKING and run == 1 else []))
         at = end
     return out
 
@@ -187,21 +228,33 @@ class Reader:
         core = DECORATION.sub("", word).strip(EDGES)
         if core.isalpha():
             return restore(core, self.model).split() if REPEATED.search(core) else [core]
+        whole = DECORATION.sub("", word).rstrip(".,;:?\"')").lstrip("\"'(")
         if not any(c.isalpha() for c in core):
-            return []
-        if all(c.isalpha() or c in LOOK_ALIKES or c in SEPARATORS for c in core):
-            return restore(DECORATION.sub("", word).rstrip(".,;:?\"')").lstrip("\"'("), self.model).split()
+            # Numbers are numbers; look-alike signs among them make a word.
+            signs = sum(c in LOOK_ALIKES and not c.isdigit() for c in whole)
+            if signs == 0 or signs == len(whole) or len(whole) < 3 or not all(c in LOOK_ALIKES for c in whole):
+                return []
+            return restore(whole, self.model).split()
+        if all(c.isalpha() or c in LOOK_ALIKES or c in SEPARATORS or c in MASKING for c in core):
+            return restore(whole, self.model).split()
         return "".join(c if c.isalpha() else " " for c in core).split()
 
     @staticmethod
-    def spaced(words: list[str]) -> list[str]:
-        """Runs of three or more one-character words, written with spaces."""
-        out, run = [], []
-        for word in [*words, ""]:
-            if len(word) == 1 and (word.isalpha() or word in LOOK_ALIKES):
-                run.append(word)
-            else:
-                if len(run) >= 3:
+    def spaced(text: str) -> list[str]:
+        """Stretches of three or more one- or two-character pieces that may be one word written with spaces.
+
+        Each piece has letters, look-alikes or separators only; two of them at least are single
+        characters or have look-alikes, as prose is full of words of two letters.
+        """
+        out = []
+        for found in LOOSE.finditer(text):
+            run = []
+            for piece in [*found.group().split(), ""]:
+                if piece and all(c.isalpha() or c in LOOK_ALIKES or c in SEPARATORS for c in piece):
+                    run.append(piece)
+                    continue
+                said = [p for p in run if any(c not in SEPARATORS for c in p)]
+                if len(said) >= 3 and sum(len(p) == 1 or any(c in LOOK_ALIKES for c in p) for p in said) >= 2:
                     out.append(" ".join(run))
                 run = []
         return out
@@ -210,17 +263,17 @@ class Reader:
         if word not in self.known:
             if len(self.known) > MEMO_WORDS:
                 self.known.clear()
-            self.known[word] = frozenset(x for w in self.restored(word) for x in word_features(w))
+            forms = {word, unaccented(word)}
+            self.known[word] = frozenset(x for form in forms for w in self.restored(form) for x in word_features(w))
         return self.known[word]
 
     def features(self, text: str | None) -> np.ndarray:
         """The sorted feature columns of a text's restored words."""
-        words = (text or "").lower().split()
-        found = set().union(*map(self._features, set(words)))
-        if sum(map((1).__eq__, map(len, words))) >= 3:
-            for run in self.spaced(words):
-                for w in restore(run, self.model).split():
-                    found.update(word_features(w))
+        text = folded(text or "")
+        found = set().union(*map(self._features, set(text.split())))
+        for run in self.spaced(text):
+            for w in restore(run, self.model).split():
+                found.update(word_features(w))
         return np.fromiter(sorted(found), np.int64, len(found))
 
 
@@ -234,7 +287,7 @@ def word_features(word: str) -> list[int]:
 
 @dataclass
 class Toxicity:
-    counts: np.ndarray
+    counts: Counts
     weights: np.ndarray
     bias: float
     reader: Reader | None = field(default=None, repr=False)
@@ -307,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    sample = rows.select("doc_id", "label", "text").mapInArrow(to_features, "doc_id long, label int, features binary")
+    sample = one_text_each(rows, "doc_id", "label").select("doc_id", "label", "text").mapInArrow(to_features, "doc_id long, label int, features binary")
     sample = sample.withColumn("fold", F.floor(unit_hash("doc_id", 29) * FOLDS).cast("int")).toPandas()
     sample = sample.sort_values(["doc_id", "features"], kind="stable")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -333,7 +386,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # 4 MB of counts and 4 MB of weights, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # 12 bytes per n-gram seen three times, 4 MB of weights
 
     def compute(batches):
         model = sent.value

@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import pytest
 
-from ledgerloom.llm import boosted_trees, language_id, quality, queries, toxicity
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import boosted_trees, language_id, quality, queries, tables, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 LABELS = "doc_id long, quality int, toxic int, text string, label string"
@@ -105,7 +107,32 @@ def test_restoration(spark, documents):
         assert toxicity.restore(written, model) == meant
     reader = toxicity.Reader(model)
     assert reader.restored("weather") == ["weather"] and reader.restored("nice!!") == ["nice"] and reader.restored("3.14") == []
-    assert toxicity.Reader.spaced("a b i d i o t nice a b".split()) == ["a b i d i o t"]
+    assert toxicity.Reader.spaced("a b i d i o t nice a b") == ["a b i d i o t"] and toxicity.Reader.spaced("as it is up to me if so") == []
+    insult = set(reader.features("idiot"))
+    for written in ("i - d - i - o - t", "i . d . i . o . t", "id 10 t", "1d1%t", "ｉｄｉｏｔ", "ìdïót", "id\u200biot", "so ( i d i o t )"):
+        assert insult <= set(reader.features(written)), written
+    assert set(reader.features("moron")) <= set(reader.features("m%ron")) and set(reader.features("scum")) <= set(reader.features("5(^m"))
+    assert reader.restored("2024") == reader.restored("10.5%") == reader.restored("$!") == []
     assert reader.features("1d10t").tolist() == reader.features("idiot").tolist()
     assert set(reader.features("idiot")) <= set(reader.features("i d i o t"))  # the single letters are words as well
     assert toxicity.restore("1d10t " * 20000, model).split()[-1] == "idiot"
+
+
+def test_repeated_ids_cannot_swell_the_sample(spark, documents):
+    rows = documents([(2, f"text number {i}") for i in range(3000)] + [(i, f"other {i}") for i in range(3, 9)])
+    found = tables.one_text_each(rows.select("doc_id", "text", "lang"), "doc_id", "lang").collect()
+    assert sorted(r.doc_id for r in found) == [2, *range(3, 9)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "", "") for i in range(2, 9)], LABELS)
+    one, two = (quality.train(t, labels).scores(np.zeros((1, len(quality.STATISTICS)))) for t in (rows, rows.orderBy(F.desc("text"))))
+    assert one == two
+
+
+def test_every_ngram_is_counted(spark, documents):
+    from collections import Counter
+    texts = ["the cat sat on the mat"] * 3 + ["été à la plage"] * 2 + [None, "", "xyz"]
+    counts, plain = toxicity.character_counts(documents(list(enumerate(texts)))), Counter()
+    for text in texts:
+        padded = "".join(map(chr, language_id.letters(text or "")))
+        plain.update(padded[i:i + n] for n in range(1, 6) for i in range(len(padded) - n + 1))
+    assert len(counts.hashes) == sum(n >= 3 for n in plain.values())
+    assert all(counts.of(toxicity.LanguageModel.column(g)) == (n if n >= 3 else 0) for g, n in plain.items())
