@@ -110,24 +110,27 @@ def exact_quantiles(df: DataFrame, values: list[str], probabilities: list[float]
                     groups: list[str] | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: (groups…, variable, probability, quantile, n).
 
-    The values are ranked on range partitions and the two order statistics around each probability
-    picked by their rank, at any size: no group is gathered, sampled or treated apart.
+    Equal values are counted first, so a value that most rows share is one row. The distinct values
+    are laid out on range partitions, their counts added up in order, and the two order statistics
+    around each probability are the values whose ranks hold them: no group is gathered, sampled or
+    treated apart, and no value's ties meet in one task.
     """
     groups = list(groups or [])
     keys = groups + ["variable"]
     pairs = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in values])
     long = df.select(*groups, F.explode(pairs).alias("_p")).select(*groups, "_p.*").filter(F.col("value").isNotNull())
-    placed = ranked(long, [F.col("value").asc()], keys, "_rank", "n")
-    asked = F.array(*[F.struct(F.lit(float(p)).alias("probability"), (F.lit(float(p)) * (F.col("n") - 1)).alias("spot")) for p in probabilities])
-    # A value matters to the probabilities whose spot is less than one rank away; all others leave here.
-    near = F.filter(asked, lambda q: F.abs(q["spot"] - (F.col("_rank") - 1)) < 1)
-    hits = placed.select(*keys, "n", "_rank", "value", F.explode(near).alias("_q")).select(*keys, "n", "_rank", "value", "_q.*")
-    weight = 1 - F.abs(F.col("spot") - (F.col("_rank") - 1))
-    low = F.max(F.when(F.col("_rank") - 1 <= F.col("spot"), F.col("value")))
-    high = F.max(F.col("value"))
-    share = F.max(F.when(F.col("_rank") - 1 > F.col("spot"), weight).otherwise(0.0))
-    return (hits.groupBy(*keys, "n", "probability").agg(low.alias("_a"), high.alias("_b"), share.alias("_w"))
-            .select(*keys, "probability", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("quantile"), "n"))
+    counted = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_totals(counted, [F.col("value").asc()], {"_upto": "_c"}, keys)
+    # A value has the ranks (from 0) from _upto - _c to _upto - 1; it matters to the probabilities whose spot lies on or beside one of them.
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("probability"), (F.lit(float(p)) * (F.col("_upto_total") - 1)).alias("spot")) for p in probabilities])
+    holds = lambda rank: (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+    near = F.filter(asked, lambda q: holds(F.floor(q["spot"])) | holds(F.ceil(q["spot"])))
+    hits = placed.select(*keys, F.col("_upto_total").alias("n"), "_upto", "_c", "value", F.explode(near).alias("_q")).select(
+        *keys, "n", "_upto", "_c", "value", "_q.*")
+    low = F.max(F.when(holds(F.floor("spot")), F.col("value")))
+    high = F.max(F.when(holds(F.ceil("spot")), F.col("value")))
+    return (hits.groupBy(*keys, "n", "probability", "spot").agg(low.alias("_a"), high.alias("_b"))
+            .select(*keys, "probability", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("spot") - F.floor("spot"))).alias("quantile"), "n"))
 
 
 def wide_quantiles(quantiles: DataFrame, groups: list[str], values: list[str],

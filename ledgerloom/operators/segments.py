@@ -7,12 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.operators import kmeans
 from ledgerloom.operators.design import FittedDesign, segment_design
 from ledgerloom.operators.ordering import exact_medians
 from ledgerloom.scratch import materialise
@@ -48,11 +48,10 @@ class SegmentSpace:
             projected).drop("_pc")
 
 
-def best_kmeans(points: DataFrame, k: int, seed: int, restarts: int = 20, max_iter: int = 500):
-    """Restart with the lowest training cost."""
-    fits = [KMeans(featuresCol="z", predictionCol="segment", k=k, seed=seed * 1000 + i, maxIter=max_iter, tol=1e-4)
-            .fit(points) for i in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def best_kmeans(points: DataFrame, k: int, seed: int, restarts: int = 20, max_iter: int = 500) -> kmeans.Centres:
+    """Restart with the lowest cost; all restarts run in the same passes."""
+    runs = [kmeans.Run("z", k, seed, i) for i in range(restarts)]
+    return min(kmeans.fit_grid(kmeans.as_arrays(points, {"z": "z"}), runs, max_iter), key=lambda m: m.cost)
 
 
 def shares(labels: DataFrame, column: str = "segment") -> DataFrame:
@@ -112,39 +111,38 @@ def silhouette(points: DataFrame, label: str = "segment") -> float:
 
 def kmeans_candidates(train: DataFrame, sizes: range | list[int] = range(2, 9), seeds: list[int] | None = None,
                       spaces: tuple[bool, ...] = (True, False), restarts: int = 20) -> tuple[DataFrame, dict]:
-    """Grid over projections, cluster counts and seeds; returns the table and the fitted models."""
+    """Grid over projections, cluster counts and seeds; returns the table and the fitted models.
+
+    All runs of the grid share their passes over the rows, and so do the measures of the best
+    restarts. The model of a size is that of the first seed.
+    """
     spark = train.sparkSession
-    seeds = seeds or [SEED, SEED + 1, SEED + 2]
+    sizes, seeds = list(sizes), seeds or [SEED, SEED + 1, SEED + 2]
+    fitted = {f"z{int(use_pca)}": SegmentSpace(use_pca).fit(train) for use_pca in spaces}
+    placed = train
+    for name, space in fitted.items():
+        placed = space.transform(placed, name)
+    points = kmeans.as_arrays(placed.select(*KEYS, *fitted), {name: name for name in fitted})
+    runs = [kmeans.Run(name, k, seed, i) for name in fitted for k in sizes for seed in seeds for i in range(restarts)]
+    found = kmeans.fit_grid(points, runs)
+    at = range(0, len(runs), restarts)
+    best = [min(range(low, low + restarts), key=lambda i: found[i].cost) for low in at]
+    runs, found = [runs[i] for i in best], [found[i] for i in best]
+    measured = kmeans.qualities(points, runs, found)
+    first = range(0, len(runs), len(seeds))
+    agreed = kmeans.agreements(points, runs, found, [(low, low + i) for low in first for i in range(1, len(seeds))])
     rows, models = [], {}
-    for use_pca in spaces:
-        space = SegmentSpace(use_pca).fit(train)
-        points = space.transform(train).select(*KEYS, "z").persist()
-        coordinates = [f"z{i}" for i in range(space.dimensions)]
-        for k in sizes:
-            fits = [best_kmeans(points, k, seed, restarts) for seed in seeds]
-            labelled = points
-            for i, fit in enumerate(fits):
-                labelled = fit.transform(labelled).withColumnRenamed("segment", f"s{i}")
-            labelled = labelled.persist()
-            silhouettes, scatters, smallest = [], [], []
-            for i in range(len(seeds)):
-                one = labelled.select(*KEYS, "z", F.col(f"s{i}").alias("segment"))
-                share = float(shares(one).agg(F.min("customer_share")).first()[0])
-                smallest.append(share)
-                if share >= MIN_SHARE:
-                    silhouettes.append(silhouette(one))
-                    flat = one.withColumn("_a", vector_to_array("z")).select(
-                        "segment", *[F.col("_a")[j].alias(c) for j, c in enumerate(coordinates)])
-                    scatters.append(float(davies_bouldin(flat, coordinates, "segment").first()[0]))
-            squared = silhouette(labelled, "s0")
-            stability = [float(adjusted_rand(labelled, "s0", f"s{i}").first()[0]) for i in range(1, len(seeds))]
-            labelled.unpersist()
-            name = "kmeans_pca" if use_pca else "kmeans_no_pca"
-            mean = lambda v: float(np.mean(v)) if v else None
-            rows.append((name, k, use_pca, space.dimensions, mean(silhouettes), float(squared), mean(scatters),
-                         mean(stability), float(min(smallest)), min(smallest) >= MIN_SHARE and bool(silhouettes)))
-            models[(name, k)] = (space, fits[0])
-        points.unpersist()
+    mean = lambda v: float(np.mean(v)) if v else None
+    for n, low in enumerate(first):
+        run, space = runs[low], fitted[runs[low].space]
+        per_seed = measured[low:low + len(seeds)]
+        smallest = [float((q.sizes / q.sizes.sum()).min()) if len(q.sizes) == run.k else 0.0 for q in per_seed]
+        usable = [q for q, share in zip(per_seed, smallest) if share >= MIN_SHARE]
+        stability = agreed[n * (len(seeds) - 1):(n + 1) * (len(seeds) - 1)]
+        name = "kmeans_pca" if space.use_pca else "kmeans_no_pca"
+        rows.append((name, run.k, space.use_pca, space.dimensions, mean([q.silhouette for q in usable]), per_seed[0].silhouette,
+                     mean([q.davies_bouldin for q in usable]), mean(stability), min(smallest), min(smallest) >= MIN_SHARE))
+        models[(name, run.k)] = (space, found[low])
     table = spark.createDataFrame(
         rows, "model string, k int, pca boolean, pca_components int, mean_silhouette double, squared_silhouette double, "
         "mean_davies_bouldin double, mean_seed_ari double, minimum_segment_share double, eligible boolean")
@@ -203,55 +201,41 @@ def fit_mixtures(points: DataFrame, sizes: range | list[int] = range(2, 7), star
                  max_iter: int = 500, tolerance: float = 1e-3, seed: int = SEED) -> list[DiagonalMixture]:
     """Expectation-maximisation for all sizes and starts together: one pass per iteration.
 
-    Starts come from K-Means labels. A pass returns only sums per component.
+    Starts come from K-Means clusters, fitted together as well. A pass returns only sums per component.
     """
-    stored = materialise(points.select(vector_to_array("z").alias("z"), F.col("z").alias("_v")), "mixture")
-    vectors = stored.select(F.col("_v").alias("z"))
+    stored = kmeans.as_arrays(points, {"z": "z"})
     n = stored.count()
+    runs = [kmeans.Run("z", k, seed + s) for k in sizes for s in range(starts)]
     models = []
-    for k in sizes:
-        for s in range(starts):
-            labelled = KMeans(featuresCol="z", predictionCol="l", k=k, seed=seed + s, maxIter=50).fit(vectors).transform(vectors)
-            parts = labelled.select("l", F.posexplode(vector_to_array("z")).alias("j", "v")).groupBy("l", "j").agg(
-                F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s")).collect()  # k x d rows
-            used = sorted({r["l"] for r in parts})
-            d = max(r["j"] for r in parts) + 1
-            w, m, v = np.zeros(len(used)), np.zeros((len(used), d)), np.zeros((len(used), d))
-            for r in parts:
-                i = used.index(r["l"])
-                w[i], m[i, r["j"]], v[i, r["j"]] = r["n"] / n, r["m"], r["s"]
-            models.append(DiagonalMixture(w, m, v + floor))
-    tables = stored.select("z")
+    for size, first, second in kmeans.moments(stored, runs, kmeans.fit_grid(stored, runs, 50)):
+        used = size > 0
+        size, first, second = size[used], first[used], second[used]
+        means = first / size[:, None]
+        models.append(DiagonalMixture(size / n, means, np.maximum(second / size[:, None] - means ** 2, 0) + floor))
     live = list(range(len(models)))
     for step in range(max_iter):
         if not live:
             break
-        current = [(i, models[i].weights, models[i].means, models[i].variances) for i in live]
-
-        def sums(batches, current=current):
-            totals = {}
-            for rows in batches:
-                z = np.array(rows["z"].tolist())
-                if not len(z):
-                    continue
-                for i, w, m, v in current:
-                    logs = _log_densities(z, w, m, v)
-                    top = logs.max(axis=1, keepdims=True)
-                    norm = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-                    share = np.exp(logs - norm[:, None])
-                    value = np.concatenate([[norm.sum()], share.sum(axis=0), (share.T @ z).ravel(), (share.T @ z ** 2).ravel()])
-                    totals[i] = totals.get(i, 0) + value
-            for i, value in totals.items():
-                yield pd.DataFrame(dict(i=i, j=np.arange(len(value)), v=value))
-
-        rows = tables.mapInPandas(sums, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-        found = {}
-        for r in rows:  # components x dimensions
-            found.setdefault(r["i"], {})[r["j"]] = r["v"]
+        current = [(models[i].weights, models[i].means, models[i].variances) for i in live]
+        offsets = np.concatenate([[0], np.cumsum([1 + len(w) + 2 * m.size for w, m, _ in current])])
+
+        def sums(blocks, hashes, current=current):
+            z, parts = blocks["z"], []
+            for w, m, v in current:
+                logs = _log_densities(z, w, m, v)
+                top = logs.max(axis=1, keepdims=True)
+                norm = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+                share = np.exp(logs - norm[:, None])
+                parts += [[norm.sum()], share.sum(axis=0), (share.T @ z).ravel(), (share.T @ z ** 2).ravel()]
+            return np.concatenate(parts)
+
+        width = max(m.size for _, m, _ in current)
+        total = kmeans.summed(stored, ["z"], width, int(offsets[-1]), sums)
+        found = {i: total[offsets[k]:offsets[k + 1]] for k, i in enumerate(live)}
         still = []
         for i in live:
             model = models[i]
-            values = np.array([found[i][j] for j in range(len(found[i]))])
+            values = found[i]
             k, d = model.means.shape
             size = values[1:1 + k]
             first = values[1 + k:1 + k + k * d].reshape(k, d)

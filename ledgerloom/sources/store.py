@@ -10,14 +10,14 @@ from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import SparkSession
 
-from ledgerloom.operators import behaviour, boosting, glm, histogram_trees, models, segments
+from ledgerloom.operators import behaviour, boosting, glm, histogram_trees, kmeans, models, segments
 from ledgerloom.operators.design import Design, FittedDesign
 
 KINDS = {c.__name__: c for c in (
     models.Prevalence, models.LogisticModel, models.TreeClassifier, models.PurchaseHazard, models.Platt,
     models.WeeklyNetwork, models.RevenueGlm, models.TreeRegressor, models.LogNormalHurdle,
     behaviour.BetaGeoNbd, behaviour.GammaGamma, behaviour.ParetoNbd, boosting.LogLinkBoosting, boosting.BoostedHurdle,
-    glm.LinearScore, histogram_trees.HistogramTrees, segments.DiagonalMixture, segments.SegmentSpace)}
+    glm.LinearScore, histogram_trees.HistogramTrees, kmeans.Centres, segments.DiagonalMixture, segments.SegmentSpace)}
 
 
 def _plain(value):
