@@ -210,8 +210,8 @@ def revenue_baselines(train: DataFrame, rows: DataFrame, horizon_days: int, wind
         f"recent_{window}d_spend_baseline": recent_spend(window, horizon_days)})
 
 
-def recent_spend(window: int, horizon_days: int) -> Column:
-    return F.col(f"spend_{window}d_gbp") * F.lit(horizon_days / window)
+def recent_spend(window: int, horizon_days: int | Column) -> Column:
+    return F.col(f"spend_{window}d_gbp") * (horizon_days / F.lit(float(window)))
 
 
 @dataclass

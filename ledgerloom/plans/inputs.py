@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.operators import enrich, history, ingest, panel, targets
-from ledgerloom.scratch import materialise
-from ledgerloom.settings import KEYS, NINETY_DAYS, SIX_MONTHS, Horizon
-from ledgerloom.sources import retail
+from ledgerloom.scratch import materialise, shared_root
+from ledgerloom.settings import KEYS, NINETY_DAYS, SIX_MONTHS, Horizon, month_starts
+from ledgerloom.sources import extracts, prepared, retail
 
 CUTOFFS = [date(2000, 3, 1), date(2000, 6, 1), date(2000, 9, 1), date(2000, 12, 1), date(2001, 3, 1), date(2001, 6, 1)]
 FINAL = CUTOFFS[-1]
 DEVELOPMENT = CUTOFFS[-3]
 CALIBRATION = CUTOFFS[-2]
 TRAINING = CUTOFFS[:3]
+MONTHLY = month_starts(CUTOFFS[0], FINAL)
+QUARTER_MONTHS = [3, 6, 9, 12]
 HOME = "NATION_1"
 EVENT_CUTOFF = date(2024, 1, 20)
 
@@ -56,18 +59,44 @@ def labelled_panel(spark: SparkSession, folder: str, horizon: Horizon = NINETY_D
     """Enriched panel with the labels of a horizon, built once per session and folder and then read back."""
     key = (spark.sparkContext.applicationId, folder, horizon.name)
     if key not in _panels:
-        sold = purchases(spark, folder)
-        start, end = targets.source_span(sold)
-        grain = materialise(history.history_grain(sold), "grain")
-        base = materialise(panel.build_panel(sold, credits(spark, folder), CUTOFFS, grain=grain), "snapshots")
-        wide = enrich.enriched_features(base, grain, CUTOFFS, start, horizon)
-        labels = targets.build_targets(sold, base.select(*KEYS), CUTOFFS, end, [horizon])
-        # One file per core: the iterative fits that read the panel then use all of them.
-        cores = spark.sparkContext.defaultParallelism
-        _panels[key] = materialise(targets.label_panel(wide, labels).repartition(cores, *KEYS), "panel")
+        _panels[key] = labelled_snapshots(purchases(spark, folder), credits(spark, folder), horizon)
     return _panels[key]
 
 
+def labelled_snapshots(sold: DataFrame, credited: DataFrame, horizon: Horizon) -> DataFrame:
+    """Enriched panel of purchase and credit lines with the labels of a horizon, stored."""
+    start, end = targets.source_span(sold)
+    grain = materialise(history.history_grain(sold), "grain")
+    base = materialise(panel.build_panel(sold, credited, CUTOFFS, grain=grain), "snapshots")
+    wide = enrich.enriched_features(base, grain, CUTOFFS, start, horizon)
+    labels = targets.build_targets(sold, base.select(*KEYS), CUTOFFS, end, [horizon])
+    # One file per core: the iterative fits that read the panel then use all of them.
+    cores = sold.sparkSession.sparkContext.defaultParallelism
+    return materialise(targets.label_panel(wide, labels).repartition(cores, *KEYS), "panel")
+
+
+def prepared_tables(spark: SparkSession, folder: str) -> prepared.Prepared:
+    """Both raw extracts reconciled, written as marts and read back."""
+    root = f"{shared_root(spark)}/prepared-{uuid.uuid4().hex}"
+    prepared.write_prepared(spark, retail.raw_batches(spark, folder), root, folder)
+    return prepared.load_prepared(spark, root)
+
+
+def monthly_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Order features and the labels of both horizons at 16 month starts, stored by horizon and cutoff."""
+    sold = purchases(spark, folder)
+    features = panel.order_features(panel.invoices_as_of(history.history_grain(sold), MONTHLY))
+    labels = targets.build_targets(sold, history.cohort(sold, MONTHLY), MONTHLY, targets.source_span(sold)[1], [NINETY_DAYS, SIX_MONTHS])
+    path = f"{shared_root(spark)}/monthly-{uuid.uuid4().hex}"
+    extracts.write_table(targets.label_panel(features, labels), path, ["horizon", "cutoff"])
+    return spark.read.parquet(path).withColumn("cutoff", F.col("cutoff").cast("date"))
+
+
+def quarterly(rows: DataFrame) -> DataFrame:
+    """Snapshots of the quarter starts; of a table stored by cutoff only their partitions are read."""
+    return rows.filter(F.month("cutoff").isin(QUARTER_MONTHS))
+
+
 def split_name() -> Column:
     """Role of a cutoff: training, development, calibration or final test."""
     return (F.when(F.col("cutoff") == F.lit(FINAL), "final_test").when(F.col("cutoff") == F.lit(CALIBRATION), "calibration")

@@ -1,8 +1,8 @@
 """Registered queries with fitted models; they have no SQL counterpart.
 
-All of them learn from the labelled panel of the given tables. Boosted trees run all their rounds;
-forests, networks, clusterings and the rolling comparison run less than the models' defaults (README).
-The rows are never reduced.
+All of them learn from the labelled panel of the given tables, over all its rows. Boosted trees run all
+their rounds, forests all their trees and segmentations the whole grid; networks and the rolling
+comparison run less than the models' defaults (README).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import boosting, history, metrics, models, segments, selection, targets
+from ledgerloom.operators import boosting, history, metrics, models, review, segments, selection, targets
 from ledgerloom.operators.behaviour import (BetaGeoNbd, GammaGamma, ParetoNbd, bg_value, for_cohort, pareto_value,
                                             penalty_sweep, quadrature_check)
 from ledgerloom.operators.design import additive_design, logged_design, plain_design, spline_design
@@ -20,6 +20,7 @@ from ledgerloom.scratch import materialise, shared_root
 from ledgerloom.settings import (CALENDAR_FEATURES, EXTRA_FEATURES, KEYS, LOGISTIC_SPLINE_FEATURES, NINETY_DAYS,
                                  NUMERIC_FEATURES, REVENUE_SPLINE_FEATURES, SEED, SIX_MONTHS)
 from ledgerloom.sources import store
+from ledgerloom.sources.runs import RunStore
 
 MODEL_QUERIES = {}
 VALUE_FEATURES = NUMERIC_FEATURES + CALENDAR_FEATURES + EXTRA_FEATURES
@@ -65,7 +66,7 @@ def _named(name, f):
 _named("recency_logistic", _inactivity(lambda: models.LogisticModel(plain_design(["recency_days"], country=False), 0.2)))
 _named("full_logistic", _inactivity(lambda: models.LogisticModel(plain_design(NUMERIC_FEATURES), 0.25)))
 _named("logistic_splines", _inactivity(lambda: models.LogisticModel(spline_design(LOGISTIC_SPLINE_FEATURES), 0.2)))
-_named("forest_classifier", _inactivity(lambda: models.TreeClassifier(plain_design(NUMERIC_FEATURES, scale=False), trees=30)))
+_named("forest_classifier", _inactivity(lambda: models.TreeClassifier(plain_design(NUMERIC_FEATURES, scale=False))))
 _named("boosted_classifier", _inactivity(lambda: models.TreeClassifier(
     plain_design(NUMERIC_FEATURES, scale=False), kind="boosted", trees=220, depth=3, min_rows=1, min_weight=18.0,
     columns_per_split="0.82", row_share=0.82)))
@@ -100,7 +101,7 @@ _named("tweedie_splines", _revenue(lambda: models.RevenueGlm(
     additive_design(REVENUE_SPLINE_FEATURES, CALENDAR_FEATURES), "tweedie", alpha=0.3)))
 _named("hurdle_splines", _revenue(lambda: models.RevenueGlm(
     additive_design(REVENUE_SPLINE_FEATURES, CALENDAR_FEATURES), "hurdle", alpha=0.3)))
-_named("forest_regressor", _revenue(lambda: models.TreeRegressor(plain_design(NUMERIC_FEATURES, scale=False), trees=30)))
+_named("forest_regressor", _revenue(lambda: models.TreeRegressor(plain_design(NUMERIC_FEATURES, scale=False))))
 _named("boosted_median", _revenue(lambda: models.TreeRegressor(
     logged_design(VALUE_FEATURES, CALENDAR_FEATURES), "absolute", trees=180, depth=4, min_rows=40)))
 _named("boosted_tweedie", _revenue(lambda: boosting.LogLinkBoosting(
@@ -145,11 +146,14 @@ def seasonal_pareto_value(spark, d):
 
 @query
 def penalty_sensitivity(spark, d):
-    summary = _summary(spark, d, I.CALIBRATION)
-    labels = targets.scoring_cohort(I.labelled_panel(spark, d), I.CALIBRATION).select(
-        *KEYS, F.col("future_revenue_gbp").alias("actual"))
-    rows = materialise(penalty_sweep(summary, labels, 90, [0.0, 1e-5, 1e-4, 1e-3, 1e-2]), "sweep")
-    return metrics.revenue_metrics(rows, groups=["model", "bg_a", "bg_b", "gamma_q"])
+    """Forecast errors of every purchase penalty at three origins, each fitted on the history before it."""
+    out = None
+    for origin in (I.DEVELOPMENT, I.CALIBRATION, I.FINAL):
+        summary = _summary(spark, d, origin)
+        labels = targets.scoring_cohort(I.labelled_panel(spark, d), origin).select(*KEYS, F.col("future_revenue_gbp").alias("actual"))
+        rows = materialise(penalty_sweep(summary, labels, 90, [0.0, 1e-5, 1e-4, 1e-3, 1e-2]), "sweep")
+        out = rows if out is None else out.unionByName(rows)
+    return metrics.revenue_metrics(out, groups=["cutoff", "model", "bg_a", "bg_b", "gamma_q"])
 
 
 @query
@@ -167,42 +171,79 @@ def quadrature_audit(spark, d):
 # --- Segments ---------------------------------------------------------------------------
 
 
+def _chosen_segments(rows):
+    """The space and model chosen from the whole grid, and the mixture of the lowest BIC, of the calibration cohort."""
+    train = rows.filter(F.col("cutoff") == F.lit(I.CALIBRATION))
+    table, fitted = segments.kmeans_candidates(train)
+    chosen = segments.choose_segments(table).first()  # one row
+    if chosen is None:
+        raise ValueError("no eligible segmentation")
+    soft_space = segments.SegmentSpace(True).fit(train)
+    points = soft_space.transform(train).select(*KEYS, "z")
+    n = points.count()
+    return *fitted[(chosen["model"], chosen["k"])], soft_space, min(segments.fit_mixtures(points), key=lambda m: m.bic(n))
+
+
 @query
 def segment_candidates(spark, d):
     train = I.labelled_panel(spark, d).filter(F.col("cutoff") == F.lit(I.CALIBRATION))
-    return segments.kmeans_candidates(train, [2, 3], [SEED, SEED + 1], restarts=1)[0]
+    return segments.kmeans_candidates(train)[0]
+
+
+@query
+def segment_choice(spark, d):
+    train = I.labelled_panel(spark, d).filter(F.col("cutoff") == F.lit(I.CALIBRATION))
+    return segments.choose_segments(segments.kmeans_candidates(train)[0])
+
+
+def _assigned(rows, space, hard, soft_space, soft):
+    """Segments and soft membership of ``rows``."""
+    first = hard.transform(space.transform(rows), output="kmeans_segment").select(*KEYS, "kmeans_segment")
+    return first.join(soft.assign(soft_space.transform(rows)).select(*KEYS, "gmm_segment", "gmm_max_membership"), KEYS)
 
 
 @query
 def segment_assignments(spark, d):
-    """Segments and soft membership of the later cohort in the space fitted on the earlier one."""
+    """Segments and soft membership of the later cohort in the spaces fitted on the earlier one."""
     rows = I.labelled_panel(spark, d)
-    train, later = (rows.filter(F.col("cutoff") == F.lit(c)) for c in (I.CALIBRATION, I.FINAL))
-    space = segments.SegmentSpace(True).fit(train)
-    points = space.transform(train).select(*KEYS, "z")
-    hard = segments.best_kmeans(points, 2, SEED, 2)
-    soft = min(segments.fit_mixtures(points, [2, 3], starts=1, max_iter=30), key=lambda m: m.bic(points.count()))
-    assigned = soft.assign(hard.transform(space.transform(later)))
-    return assigned.select(*KEYS, F.col("segment").alias("kmeans_segment"), "gmm_segment", "gmm_max_membership")
+    return _assigned(rows.filter(F.col("cutoff") == F.lit(I.FINAL)), *_chosen_segments(rows))
 
 
 @query
 def mixture_candidates(spark, d):
     train = I.labelled_panel(spark, d).filter(F.col("cutoff") == F.lit(I.CALIBRATION))
     points = segments.SegmentSpace(True).fit(train).transform(train).select(*KEYS, "z")
-    found = segments.fit_mixtures(points, range(2, 5), starts=1, max_iter=30)
-    return segments.mixture_table(spark, found, points.count())
+    return segments.mixture_table(spark, segments.fit_mixtures(points), points.count())
 
 
 @query
 def segment_projection(spark, d):
     rows = I.labelled_panel(spark, d)
     train, later = (rows.filter(F.col("cutoff") == F.lit(c)) for c in (I.CALIBRATION, I.FINAL))
-    space = segments.SegmentSpace(True).fit(train)
-    points = space.transform(train).select(*KEYS, "z")
-    soft = segments.fit_mixtures(points, [3], starts=1, max_iter=20)[0]
-    return segments.projection(space, segments.best_kmeans(points, 2, SEED, 1), space, soft,
-                               {"fit": train, "assignment": later})
+    return segments.projection(*_chosen_segments(rows), {"fit": train, "assignment": later})
+
+
+@query
+def fitted_review(spark, d):
+    """The whole chain: extracts reconciled into marts, snapshots, fitted risk, revenue and segments, the ranked review.
+
+    Risk and revenue learn only from outcomes that had ended by the review's day; the risk is
+    calibrated on the latest of them, which its model has not seen.
+    """
+    marts = I.prepared_tables(spark, d)
+    rows = I.labelled_snapshots(marts.purchases, marts.credits, NINETY_DAYS)
+    available = targets.available_training(rows, I.FINAL)
+    latest = F.col("cutoff") == F.lit(I.CALIBRATION)
+    today = rows.filter(F.col("cutoff") == F.lit(I.FINAL))
+    model = models.LogisticModel(plain_design(NUMERIC_FEATURES), 0.25).fit(available.filter(~latest))
+    platt = models.Platt().fit(model.predict(available.filter(latest)))
+    risk = platt.predict(model.predict(today)).select(*KEYS, F.col("p").alias("calibrated_logistic_risk"))
+    revenue = models.RevenueGlm(plain_design(NUMERIC_FEATURES), "hurdle", alpha=2.0).fit(available).predict(
+        today, "predicted_revenue_gbp").select(*KEYS, "predicted_revenue_gbp")
+    space, hard, soft_space, soft = _chosen_segments(rows)
+    profiles = segments.segment_profiles(hard.transform(space.transform(rows.filter(latest))), ["purchase_day_count"])
+    stored = [materialise(x, "scored") for x in (risk, revenue, _assigned(today, space, hard, soft_space, soft))]
+    return review.build_review(rows, *stored, profiles, I.FINAL, I.CALIBRATION, "calibrated_logistic", "hurdle_glm").drop("gmm_max_membership")
 
 
 # --- Comparison -------------------------------------------------------------------------
@@ -230,6 +271,31 @@ def rolling_evaluation(spark, d):
     return selection.leaderboard(scored)
 
 
+@query
+def feature_set_comparison(spark, d):
+    """Basic, calendar and enriched inputs of one model at both horizons, against recent spend.
+
+    Predictions and receipts are stored run by run; a horizon's candidates and their states are
+    reported also where no origin was fit to learn from.
+    """
+    inputs = {"basic": NUMERIC_FEATURES, "calendar": NUMERIC_FEATURES + CALENDAR_FEATURES, "enriched": VALUE_FEATURES}
+
+    def candidate(features):
+        design = logged_design(features, CALENDAR_FEATURES)
+        return lambda train, cohort: models.RevenueGlm(design, "frequency_severity", alpha=1.0).fit(train).predict(cohort)
+
+    out, store_of = None, RunStore(f"{shared_root(spark)}/runs-{uuid.uuid4().hex}", d)
+    for horizon, window in ((NINETY_DAYS, 90), (SIX_MONTHS, 180)):
+        rows = I.labelled_panel(spark, d, horizon)
+        candidates = {"recent_spend": lambda train, cohort: cohort.withColumn("predicted", models.recent_spend(window, F.col("horizon_days"))),  # noqa: B023
+                      **{name: candidate(features) for name, features in inputs.items()}}
+        predictions, statuses = models.rolling_origins(rows, [I.DEVELOPMENT, I.CALIBRATION, I.FINAL], candidates, horizon.name, store_of)
+        scored = metrics.revenue_metrics(predictions, groups=["model", "cutoff"]).join(statuses, ["model", "cutoff"])
+        found = selection.status_summary(statuses).join(selection.leaderboard(scored), "model", "left").select(F.lit(horizon.name).alias("horizon"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query
 def bootstrap_improvement(spark, d):
     rows = materialise(I.rule_forecasts(spark, d), "forecasts")

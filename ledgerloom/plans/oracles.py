@@ -112,8 +112,8 @@ SELECT customer_id, cutoff, f AS first_day
 FROM (SELECT customer_id, min(purchase_day) AS f FROM sold GROUP BY 1) JOIN cutoffs ON f < cutoff"""
 
 
-def _labels(horizon: Horizon) -> str:
-    ends = ", ".join(f"(DATE '{c}', DATE '{horizon.end(c)}')" for c in I.CUTOFFS)
+def _labels(horizon: Horizon, cutoffs=I.CUTOFFS, firsts: str = "firsts") -> str:
+    ends = ", ".join(f"(DATE '{c}', DATE '{horizon.end(c)}')" for c in cutoffs)
     return f"""
 SELECT customer_id, cutoff, '{horizon.name}' AS horizon, horizon_end_exclusive, label_mature,
        CASE WHEN label_mature THEN n END AS future_invoice_count,
@@ -126,13 +126,18 @@ FROM (SELECT c.customer_id, c.cutoff, w.e AS horizon_end_exclusive,
              w.e <= (SELECT max(purchase_day) FROM sold) AS label_mature,
              count(DISTINCT invoice_id) AS n, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS rev,
              min(invoice_date) AS first_at, count(DISTINCT purchase_day) AS days
-      FROM firsts c JOIN (VALUES {ends}) w(c, e) ON w.c = c.cutoff
+      FROM {firsts} c JOIN (VALUES {ends}) w(c, e) ON w.c = c.cutoff
       LEFT JOIN sold s ON s.customer_id = c.customer_id AND s.purchase_day >= c.cutoff AND s.purchase_day < w.e
       GROUP BY c.customer_id, c.cutoff, w.e)"""
 
 
 CTES["y90"] = _labels(NINETY_DAYS)
 CTES["y6m"] = _labels(SIX_MONTHS)
+CTES["month_starts"] = f"SELECT CAST(col0 AS DATE) AS cutoff FROM (VALUES {dates(I.MONTHLY)}) t(col0)"
+CTES["month_inv"] = CTES["inv"].replace("JOIN cutoffs", "JOIN month_starts")
+CTES["month_rfm"] = _rfm("month_inv")
+CTES["month_firsts"] = CTES["firsts"].replace("JOIN cutoffs", "JOIN month_starts")
+CTES["month_labels"] = (_labels(NINETY_DAYS, I.MONTHLY, "month_firsts") + "\nUNION ALL" + _labels(SIX_MONTHS, I.MONTHLY, "month_firsts"))
 CTES["daily"] = "SELECT customer_id, purchase_day, sum(revenue) AS spend FROM sold GROUP BY ALL"
 CTES["summary"] = """
 SELECT customer_id, cutoff, first_day, max(purchase_day) AS last_day, count(*) AS occasions, count(*) - 1 AS frequency,
@@ -318,6 +323,7 @@ oracle("credit_lines", f"SELECT {_LINE}, {r('credit_amount_abs')} AS credit_amou
 oracle("purchase_invoices", f"""SELECT customer_id, invoice_id, min(invoice_date) AS invoice_date, {r('sum(revenue)')} AS revenue,
 sum(quantity) AS units, count(*) AS line_count, count(DISTINCT stock_code) AS product_count,
 last(country ORDER BY line_position) AS country FROM sold GROUP BY customer_id, invoice_id""")
+ORACLES["prepared_invoices"] = ORACLES["purchase_invoices"]
 
 # --- Panel ----------------------------------------------------------------------------
 
@@ -361,6 +367,10 @@ _LABEL = f"""customer_id, cutoff, horizon, horizon_end_exclusive, label_mature,
 {rs('future_revenue_gbp')}, first_future_purchase, CAST(future_purchase_days AS BIGINT) AS future_purchase_days, returned, inactive"""
 oracle("targets_90d", f"SELECT {_LABEL} FROM y90")
 oracle("targets_6m", f"SELECT {_LABEL} FROM y6m")
+_MONTH = f"""SELECT customer_id, cutoff, horizon, {rs('recency_days')}, purchase_count, {rs('orders_90d', 'spend_90d_gbp', 'avg_order_value_gbp')},
+horizon_end_exclusive, label_mature, {rs('future_revenue_gbp')}, inactive FROM month_labels JOIN month_rfm USING (customer_id, cutoff)"""
+oracle("monthly_panel", _MONTH)
+oracle("quarterly_six_months", _MONTH + " WHERE horizon = '6m' AND month(cutoff) IN (3, 6, 9, 12)")
 oracle("cohort_summary", f"""SELECT cutoff, count(DISTINCT customer_id) AS customers, {r('avg(inactive)')} AS inactive_rate,
 CAST(sum(returned) AS BIGINT) AS returned, {r('sum(future_revenue_gbp)')} AS future_revenue_gbp,
 count(*) FILTER (orders_365d > 0) AS active_365d_customers FROM y90 JOIN rfm USING (customer_id, cutoff) GROUP BY cutoff""")

@@ -139,6 +139,29 @@ def targets_6m(spark, d):
     return _targets(spark, d, SIX_MONTHS)
 
 
+def _monthly(rows):
+    return rows.select(*KEYS, "horizon", "recency_days", "purchase_count", "orders_90d", "spend_90d_gbp", "avg_order_value_gbp",
+                       "horizon_end_exclusive", "label_mature", "future_revenue_gbp", F.col("inactive").cast("bigint").alias("inactive"))
+
+
+@query
+def monthly_panel(spark, d):
+    """Snapshots at 16 month starts with the labels of both horizons."""
+    return _monthly(I.monthly_panel(spark, d))
+
+
+@query
+def quarterly_six_months(spark, d):
+    """The six-month rows of the monthly panel's quarter starts."""
+    return _monthly(I.quarterly(I.monthly_panel(spark, d).filter(F.col("horizon") == SIX_MONTHS.name)))
+
+
+@query
+def prepared_invoices(spark, d):
+    """The invoice mart of the reconciled extracts, written and read back."""
+    return I.prepared_tables(spark, d).invoices
+
+
 @query
 def cohort_summary(spark, d):
     return targets.cohort_summary(I.target_rows(spark, d, [NINETY_DAYS]), I.order_rows(spark, d))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators.selection import missing_runs
+from ledgerloom.scratch import materialise
 
 RECEIPT = "model string, horizon string, origin date, signature string, status string, error string"
 STORED = "customer_id bigint, cutoff date, predicted double, actual double, horizon_end_exclusive date, horizon string, model string, origin date"
@@ -32,6 +34,9 @@ class RunStore:
 
     def open_runs(self, spark: SparkSession, runs: list[tuple]) -> set[tuple]:
         """Those (model, horizon, origin) that are not stored as completed for this source."""
+        unusable = sorted({x for model, horizon, _ in runs for x in (model, horizon) if not re.fullmatch(r"[\w.+-]+", x)})
+        if unusable:
+            raise ValueError(f"names of models and horizons become folders: {unusable}")
         wanted = spark.createDataFrame([(*run, self.signature) for run in runs], "model string, horizon string, origin date, signature string")
         return {(r["model"], r["horizon"], r["origin"]) for r in missing_runs(wanted, self.receipts(spark)).collect()}  # one row per run
 
@@ -45,15 +50,21 @@ class RunStore:
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/receipts")
 
     def statuses(self, spark: SparkSession, runs: list[tuple]) -> DataFrame:
-        """model, horizon, cutoff, status and error of these runs: completed if any receipt says so."""
+        """model, horizon, cutoff, status and error of these runs: completed if any receipt says so.
+
+        Stored as they are now: two reads of one growing folder are the same plan to Spark, so a query
+        that unites them would read the earlier listing twice.
+        """
         wanted = spark.createDataFrame(runs, "model string, horizon string, origin date")
         found = self.receipts(spark).filter(f"signature = '{self.signature}'").join(wanted, ["model", "horizon", "origin"], "left_semi")
-        return found.groupBy("model", "horizon", "origin").agg({"status": "min", "error": "max"}).selectExpr(  # completed comes before all others
-            "model", "horizon", "origin AS cutoff", "`min(status)` AS status", "CASE WHEN `min(status)` <> 'completed' THEN `max(error)` END AS error")
+        return materialise(found.groupBy("model", "horizon", "origin").agg({"status": "min", "error": "max"}).selectExpr(  # completed comes before all others
+            "model", "horizon", "origin AS cutoff", "`min(status)` AS status", "CASE WHEN `min(status)` <> 'completed' THEN `max(error)` END AS error"), "statuses")
 
     def predictions(self, spark: SparkSession, runs: list[tuple]) -> DataFrame:
-        """Stored predictions of the completed ones of these runs."""
-        wanted = spark.createDataFrame(runs, "model string, horizon string, origin date")
-        done = self.receipts(spark).filter(f"status = 'completed' AND signature = '{self.signature}'").join(wanted, ["model", "horizon", "origin"], "left_semi")
-        stored = spark.read.schema(STORED).parquet(f"{self.path}/predictions")
-        return stored.join(done.select("model", "horizon", "origin").distinct(), ["model", "horizon", "origin"], "left_semi").drop("origin")
+        """Stored predictions of the completed ones of these runs; only their folders are read."""
+        done = [(r["model"], r["horizon"], r["cutoff"]) for r in self.statuses(spark, runs).filter("status = 'completed'").collect()]  # one row per run
+        root = f"{self.path}/predictions"
+        if not done:
+            return spark.createDataFrame([], STORED).drop("origin")
+        folders = [f"{root}/horizon={horizon}/model={model}/origin={origin}" for model, horizon, origin in sorted(done)]
+        return spark.read.schema(STORED).option("basePath", root).parquet(*folders).drop("origin")

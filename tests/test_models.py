@@ -199,6 +199,12 @@ def test_a_killed_comparison_goes_on(spark, tmp_path):
         **{(n, m): "completed" for n in ("counting", "flaky") for m in months[1:]}}
     rows = {(r["model"], r["cutoff"], r["customer_id"]): r["predicted"] for r in predictions.collect()}
     assert len(rows) == predictions.count() == 16 and rows["counting", months[1], 0] == 7.0 and rows["counting", months[2], 3] == 0.0
+    # Two horizons in one store, united in one query: the later runs are there too.
+    later = models.rolling_origins(panel, months, candidates, "90d", runs)
+    assert statuses.unionByName(later[1]).groupBy("horizon").count().orderBy("horizon").collect() == [("6m", 9), ("90d", 9)]
+    assert predictions.unionByName(later[0]).groupBy("horizon").count().orderBy("horizon").collect() == [("6m", 16), ("90d", 16)]
+    with pytest.raises(ValueError, match="become folders"):
+        runs.open_runs(spark, [("a/b", "6m", months[1])])
     again = RunStore(str(tmp_path / "runs"), "another source")
     assert len(again.open_runs(spark, [("counting", "6m", months[1])])) == 1 and not runs.open_runs(spark, [("counting", "6m", months[1])])
     runs.write(predictions.filter("model = 'flaky'").withColumn("predicted", F.lit(9.0)))
