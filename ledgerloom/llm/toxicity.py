@@ -215,10 +215,14 @@ def restore(written: str, model: LanguageModel) -> str:
 
 
 class Reader:
-    """Restored words of whole texts; remembers what single written words restore to."""
+    """Restored words of whole texts; remembers what single written words restore to.
 
-    def __init__(self, model: LanguageModel):
+    With ``weights`` only feature columns that have one are found: most words have none.
+    """
+
+    def __init__(self, model: LanguageModel, weights: np.ndarray | None = None):
         self.model = model
+        self.counted = None if weights is None else frozenset(np.flatnonzero(weights).tolist())
         self.known: dict[str, frozenset[int]] = {}
 
     def restored(self, word: str) -> list[str]:
@@ -259,21 +263,28 @@ class Reader:
                 run = []
         return out
 
+    def _columns(self, words: list[str]) -> frozenset[int]:
+        found = frozenset(x for w in words for x in word_features(w))
+        return found if self.counted is None else found & self.counted
+
     def _features(self, word: str) -> frozenset[int]:
-        if word not in self.known:
-            if len(self.known) > MEMO_WORDS:
-                self.known.clear()
-            forms = {word, unaccented(word)}
-            self.known[word] = frozenset(x for form in forms for w in self.restored(form) for x in word_features(w))
-        return self.known[word]
+        if len(self.known) > MEMO_WORDS:
+            self.known.clear()
+        forms = {word, unaccented(word)}
+        found = self.known[word] = self._columns([w for form in forms for w in self.restored(form)])
+        return found
 
     def features(self, text: str | None) -> np.ndarray:
         """The sorted feature columns of a text's restored words."""
-        text = folded(text or "")
-        found = set().union(*map(self._features, set(text.split())))
+        text, found = folded(text or ""), set()
+        for word in set(text.split()):
+            columns = self.known.get(word)
+            if columns is None:
+                columns = self._features(word)
+            if columns:
+                found |= columns
         for run in self.spaced(text):
-            for w in restore(run, self.model).split():
-                found.update(word_features(w))
+            found |= self._columns(restore(run, self.model).split())
         return np.fromiter(sorted(found), np.int64, len(found))
 
 
@@ -296,7 +307,7 @@ class Toxicity:
         return {"counts": self.counts, "weights": self.weights, "bias": self.bias, "reader": None}
 
     def score(self, text: str | None) -> float:
-        self.reader = self.reader or Reader(LanguageModel(self.counts))
+        self.reader = self.reader or Reader(LanguageModel(self.counts), self.weights)
         z = self.bias + float(self.weights[self.reader.features(text)].sum())
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 

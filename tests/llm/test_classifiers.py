@@ -112,6 +112,11 @@ def test_restoration(spark, documents):
     for written in ("i - d - i - o - t", "i . d . i . o . t", "id 10 t", "1d1%t", "ｉｄｉｏｔ", "ìdïót", "id\u200biot", "so ( i d i o t )"):
         assert insult <= set(reader.features(written)), written
     assert set(reader.features("moron")) <= set(reader.features("m%ron")) and set(reader.features("scum")) <= set(reader.features("5(^m"))
+    weights = np.zeros(toxicity.FEATURES, np.float32)
+    weights[list(reader.features("idiot"))[:2]] = 1.5
+    few = toxicity.Reader(model, weights)
+    for text in ("an 1d10t she said", "i d i o t", "nice weather", "", None):
+        assert few.features(text).tolist() == [c for c in reader.features(text).tolist() if weights[c]]
     assert reader.restored("2024") == reader.restored("10.5%") == reader.restored("$!") == []
     assert reader.features("1d10t").tolist() == reader.features("idiot").tolist()
     assert set(reader.features("idiot")) <= set(reader.features("i d i o t"))  # the single letters are words as well
