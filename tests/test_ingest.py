@@ -64,6 +64,34 @@ def test_many_losing_groups_take_the_salted_join(spark, monkeypatch):
     assert Counter(r["source_sheet"] for r in kept.select("source_sheet").collect()) == brute(rows)
 
 
+def test_many_marks_are_neither_broadcast_nor_repeated(spark, tmp_path, monkeypatch):
+    """The marks that lose copies were repeated 16 times and then broadcast, as their files looked small."""
+    from ledgerloom.operators import ordering
+    rows = [(b, i, {"quantity": float(i)}) for b in "AB" for i in range(40)]
+    facts = lines(spark, rows)
+    path = str(tmp_path / "marks")
+    facts.select("quantity", F.lit(1).alias("_copies"), F.lit(0).alias("_quota")).distinct().write.parquet(path)
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 0)
+    out = ordering.join_marks(facts, spark.read.parquet(path), ["quantity"], "source_row", "_copies")
+    assert out.filter("_quota = 0").count() == 80
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "strategy=merge" in plan
+
+
+def test_heavy_keys_are_spread_and_kept_exactly(spark, monkeypatch):
+    from ledgerloom.operators import ordering
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ordering, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(ingest, "HEAVY_ROWS", 20)
+    rows = [("A", i, {}) for i in range(30)] + [("B", i, {}) for i in range(45)]
+    rows += [(b, 100 + i, {"customer_id": None}) for b in "AB" for i in range(25)]
+    rows += [(b, 200 + i, {"quantity": float(10 + i % 5)}) for b in "AB" for i in range(12 if b == "A" else 15)]
+    kept = ingest.reconcile(lines(spark, rows)).collect()
+    assert Counter(r["source_sheet"] for r in kept) == brute(rows)
+    assert sorted(r["source_row"] for r in kept if r["source_sheet"] == "B" and r["customer_id"] == 7 and r["quantity"] == 2.0
+                  and r["source_row"] < 200) == list(range(15))
+
+
 def test_purchase_and_credit_rules(spark):
     rows = [("A", 1, {"invoice_id": " c123 ", "quantity": -1.0, "stock_code": "M"}), ("A", 2, {"stock_code": "12345\n x"}),
             ("A", 3, {"stock_code": "12345ab"}), ("A", 4, {"stock_code": None}), ("A", 5, {"invoice_id": "C9", "quantity": 1.0}),
