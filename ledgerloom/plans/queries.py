@@ -65,10 +65,13 @@ def purchase_invoices(spark, d):
 
 @query
 def customer_rfm(spark, d):
-    sold = I.purchases(spark, d)
-    invoices = materialise(panel.invoices_as_of(history.history_grain(sold), I.CUTOFFS), "invoices")
-    rows = (panel.order_features(invoices).join(panel.median_order_values(invoices), KEYS, "left")
-            .join(history.last_country(sold, I.CUTOFFS), KEYS, "left"))
+    def build(tables, parts):
+        invoices = panel.invoices_as_of(history.history_grain(*tables, parts), I.CUTOFFS)
+        invoices = materialise(invoices, "invoices") if parts is None else invoices
+        return (panel.order_features(invoices).join(panel.median_order_values(invoices, parts), KEYS, "left")
+                .join(history.last_country(*tables, I.CUTOFFS, parts=parts), KEYS, "left"))
+
+    rows = history.by_customer([I.stored_purchases(spark, d)], I.CUTOFFS, build)
     return rows.select(
         *KEYS, "country", "first_purchase", "last_purchase", "recency_days", "tenure_days", "history_days", "purchase_count",
         "purchase_day_count", "repeat_purchase_day_count", "lifetime_revenue_gbp", "avg_order_value_gbp",
@@ -110,7 +113,9 @@ def dense_weeks(spark, d):
 
 @query
 def customer_panel(spark, d):
-    return panel.build_panel(I.purchases(spark, d), I.credits(spark, d), I.CUTOFFS).drop("weeks")
+    credited = materialise(I.credits(spark, d).select("customer_id", "invoice_id", "credit_day", "credit_amount_abs"), "credited")
+    return history.by_customer([I.stored_purchases(spark, d), credited], I.CUTOFFS, lambda tables, parts: panel.build_panel(
+        *tables, I.CUTOFFS, parts=parts)).drop("weeks")
 
 
 @query
@@ -164,7 +169,8 @@ def prepared_invoices(spark, d):
 
 @query
 def cohort_summary(spark, d):
-    return targets.cohort_summary(I.target_rows(spark, d, [NINETY_DAYS]), I.order_rows(spark, d))
+    sold = I.stored_purchases(spark, d)
+    return targets.cohort_summary(I.target_rows(spark, d, [NINETY_DAYS], sold), I.order_rows(spark, d, sold=sold))
 
 
 @query
@@ -197,11 +203,15 @@ def purchase_gaps(spark, d):
 
 
 def _enriched(spark, d, horizon):
-    sold = I.purchases(spark, d)
-    grain = materialise(history.history_grain(sold), "grain")
-    base = panel.order_features(panel.invoices_as_of(grain, I.CUTOFFS)).withColumn("horizon_days", F.lit(0))
-    wide = enrich.enriched_features(base, grain, I.CUTOFFS, targets.source_span(sold)[0], horizon)
-    return wide.select(*KEYS, "horizon_days", *enrich.ENRICHED_COLUMNS)
+    sold = I.stored_purchases(spark, d)
+    start = targets.source_span(sold)[0]
+
+    def build(tables, parts):
+        grain = materialise(history.history_grain(*tables), "grain") if parts is None else history.history_grain(*tables, parts)
+        base = panel.order_features(panel.invoices_as_of(grain, I.CUTOFFS)).withColumn("horizon_days", F.lit(0))
+        return enrich.enriched_features(base, grain, I.CUTOFFS, start, horizon)
+
+    return history.by_customer([sold], I.CUTOFFS, build).select(*KEYS, "horizon_days", *enrich.ENRICHED_COLUMNS)
 
 
 @query
@@ -520,9 +530,10 @@ def davies_bouldin(spark, d):
 
 @query
 def holdout_outcomes(spark, d):
-    rows, _, _, labels = I.review_sources(spark, d)
+    sold = I.stored_purchases(spark, d)
+    rows, _, _, labels = I.review_sources(spark, d, sold)
     assigned = labels.filter(F.col("cutoff") == F.lit(I.FINAL)).drop("gmm_max_membership")
-    return segments.holdout_outcomes(assigned, I.target_rows(spark, d, [NINETY_DAYS])).withColumn(
+    return segments.holdout_outcomes(assigned, I.target_rows(spark, d, [NINETY_DAYS], sold)).withColumn(
         "segment", F.col("segment").cast("bigint"))
 
 

@@ -133,3 +133,33 @@ def test_unseen_source_year_is_null(spark, lines):
     rows = enrich.enriched_features(base, grain, CUTOFFS, date(2009, 1, 1), NINETY_DAYS).collect()
     assert all(r["spend_same_future_window_last_year_gbp"] == 0 for r in rows)
     assert {r["order_value_std_gbp"] for r in rows if r["customer_id"] == 2} == {None}
+
+
+def test_lines_are_moved_once_and_not_per_cutoff(spark, lines):
+    """No exchange lies behind the repetition for every cutoff; it moved each invoice once per cutoff."""
+    features = panel.order_features(panel.invoices_as_of(history.history_grain(lines, 3), CUTOFFS))
+    for rows in (features, panel.median_order_values(panel.invoices_as_of(history.history_grain(lines, 3), CUTOFFS), 3),
+                 panel.product_features(lines, CUTOFFS, 3)):
+        moves = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in line]
+        assert len(moves) == 1 and "hashpartitioning(customer_id" in moves[0] and "REPARTITION_BY_NUM" in moves[0], moves
+    old = panel.order_features(panel.invoices_as_of(history.history_grain(lines), CUTOFFS))
+    assert sorted(map(tuple, features.collect()), key=str) == sorted(map(tuple, old.collect()), key=str)
+
+
+def test_parts_give_the_same_panel_and_hot_customers_are_built_apart(spark, lines, monkeypatch, tmp_path):
+    more = sold(spark, BASE + [(3, 20 + i, f"2010-0{1 + i % 8}-1{i % 9} 10:00:00", f"1111{i % 7}", 1, 1 + i, "DE" if i % 3 else "UK") for i in range(40)])
+    more.write.parquet(str(tmp_path / "sold"))
+    stored = spark.read.parquet(str(tmp_path / "sold"))
+    credits = stored.limit(0).withColumn("credit_amount_abs", F.col("revenue")).withColumn("credit_day", F.col("purchase_day"))
+    expected = panel.build_panel(stored, credits, CUTOFFS)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    seen = []
+
+    def build(tables, parts):
+        seen.append(parts)
+        return panel.build_panel(*tables, CUTOFFS, parts=parts)
+
+    assert rows(history.by_customer([stored, credits], CUTOFFS, build)) == rows(expected)
+    monkeypatch.setattr(history, "HOT_LINES", 30)
+    assert rows(history.by_customer([stored, credits], CUTOFFS, build)) == rows(expected)
+    assert seen[0] and seen[1] and seen[2] is None and len(seen) == 3
