@@ -49,3 +49,22 @@ def test_small_groups_interpolate(spark):
     rows = exact_quantiles(df, ["v"], [0.25, 0.5], ["g"]).collect()
     assert {(r["g"], r["probability"]): r["quantile"] for r in rows} == {
         (1, 0.25): 1.25, (1, 0.5): 1.5, (2, 0.25): 5.0, (2, 0.5): 5.0, (3, 0.25): 1.5, (3, 0.5): 2.0}
+
+
+def test_medians_of_whole_tables_shuffle_few_values(spark):
+    """All values of all columns were shuffled and laid out; now only those near the median are."""
+    import random
+    from statistics import median
+    from ledgerloom.operators.ordering import exact_medians, values_near_medians
+    draw = random.Random(5)
+    rows = [(draw.gauss(0, 1), float(draw.randrange(3)), draw.random() if i % 3 else None, None, i, float("nan") if i % 4 else 1.0) for i in range(20_001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e bigint, f double").repartition(5)
+    near = values_near_medians(df, ["a", "b", "c", "d", "e", "f"])
+    assert near.count() < 2000
+    assert sum(r["_c"] for r in near.filter("variable = 'a'").collect()) == 20_001
+    found = exact_medians(df, ["a", "b", "c", "d", "e", "f"]).first()
+    for k, name in enumerate("abc"):
+        assert found[name] == median([r[k] for r in rows if r[k] is not None])
+    assert found["d"] is None and found["e"] == 10_000.0 and found["f"] != found["f"]
+    few = spark.createDataFrame([(1.0,), (4.0,)], "a double")
+    assert exact_medians(few, ["a"]).first()["a"] == 2.5 and exact_medians(few.limit(0), ["a"]).first()["a"] is None
