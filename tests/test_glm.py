@@ -84,3 +84,22 @@ def test_separable_and_empty_and_zero(table):
             fit_glms(bad, [Problem("logistic", "any", 0.1)])
     with pytest.raises(ValueError, match="positive mean"):
         fit_glms(table.withColumn("none", F.lit(0.0)), [Problem("poisson", "none", 0.1)])
+
+
+def test_blocks_of_a_task_are_not_held_together(spark):
+    """Rows are blocks of megabytes; in one Arrow batch all blocks of a task were in memory at once."""
+    size = 1 << 18  # numbers: 2 MB a block, 240 MB in one task
+    blocks = spark.range(120, numPartitions=1).select(F.lit(size // 2).cast("long").alias("n"), F.expr(f"cast(repeat('a', {8 * size}) as binary)").alias("x"),
+                                                      F.expr(f"cast(repeat('a', {4 * size}) as binary)").alias("rest"))
+
+    def peak(matrix, columns):
+        import resource
+        return np.array([1.0, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])
+
+    def worker(rows):
+        import resource
+        return [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss]
+
+    before = max(spark.sparkContext.parallelize([0], 1).mapPartitions(worker).collect())
+    count, peaks = glm.summed(blocks, peak)
+    assert count == 120 and peaks / 120 - before < 150_000  # kB
