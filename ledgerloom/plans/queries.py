@@ -68,8 +68,8 @@ def customer_rfm(spark, d):
     def build(tables, parts):
         invoices = panel.invoices_as_of(history.history_grain(*tables, parts), I.CUTOFFS)
         invoices = materialise(invoices, "invoices") if parts is None else invoices
-        return (panel.order_features(invoices).join(panel.median_order_values(invoices, parts), KEYS, "left")
-                .join(history.last_country(*tables, I.CUTOFFS, parts=parts), KEYS, "left"))
+        rows = history.joined(panel.order_features(invoices), panel.median_order_values(invoices, parts), parts, "left")
+        return history.joined(rows, history.last_country(*tables, I.CUTOFFS, parts=parts), parts, "left")
 
     rows = history.by_customer([I.stored_purchases(spark, d)], I.CUTOFFS, build)
     return rows.select(
@@ -209,7 +209,7 @@ def _enriched(spark, d, horizon):
     def build(tables, parts):
         grain = materialise(history.history_grain(*tables), "grain") if parts is None else history.history_grain(*tables, parts)
         base = panel.order_features(panel.invoices_as_of(grain, I.CUTOFFS)).withColumn("horizon_days", F.lit(0))
-        return enrich.enriched_features(base, grain, I.CUTOFFS, start, horizon)
+        return enrich.enriched_features(base, grain, I.CUTOFFS, start, horizon, parts)
 
     return history.by_customer([sold], I.CUTOFFS, build).select(*KEYS, "horizon_days", *enrich.ENRICHED_COLUMNS)
 

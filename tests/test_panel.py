@@ -163,3 +163,32 @@ def test_parts_give_the_same_panel_and_hot_customers_are_built_apart(spark, line
     monkeypatch.setattr(history, "HOT_LINES", 30)
     assert rows(history.by_customer([stored, credits], CUTOFFS, build)) == rows(expected)
     assert seen[0] and seen[1] and seen[2] is None and len(seen) == 3
+
+
+def test_branches_of_a_panel_are_joined_where_they_lie(spark, lines, tmp_path, monkeypatch):
+    """Each join on customer and cutoff moved both sides again, into a number of partitions that does not grow with them."""
+    lines.write.parquet(str(tmp_path / "sold"))
+    stored = spark.read.parquet(str(tmp_path / "sold"))
+    credits = stored.limit(0).withColumn("credit_amount_abs", F.col("revenue")).withColumn("credit_day", F.col("purchase_day"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = history.by_customer([stored, credits], CUTOFFS, lambda tables, parts: targets.label_panel(
+            panel.build_panel(*tables, CUTOFFS, parts=parts),
+            targets.build_targets(tables[0], history.cohort(tables[0], CUTOFFS, parts), CUTOFFS, date(2011, 9, 1), parts=parts), parts))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    plain = targets.label_panel(panel.build_panel(stored, credits, CUTOFFS), targets.build_targets(
+        stored, history.cohort(stored, CUTOFFS), CUTOFFS, date(2011, 9, 1)))
+    assert rows.columns == plain.columns
+    assert sorted(map(str, rows.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joined_is_a_join_on_all_keys(spark, how):
+    left = spark.createDataFrame([(1, CUTOFFS[0], "a"), (1, CUTOFFS[1], "b"), (1, CUTOFFS[1], "b2"), (2, CUTOFFS[0], "c"), (None, CUTOFFS[0], "d")],
+                                 "customer_id bigint, cutoff date, x string")
+    right = spark.createDataFrame([(1, CUTOFFS[1], "p"), (1, CUTOFFS[1], "q"), (2, CUTOFFS[1], "r"), (None, CUTOFFS[0], "s")], "customer_id bigint, cutoff date, y string")
+    found, plain = history.joined(left, right, 3, how), left.join(right, KEYS, how)
+    assert found.columns == plain.columns and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
