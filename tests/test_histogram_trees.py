@@ -108,3 +108,9 @@ def test_one_label_and_no_rows(table):
         HistogramTrees("logistic", 2, 2).fit(same.filter("customer_id < 0"), "one", F.col("customer_id"))
     with pytest.raises(ValueError, match="positive mean"):
         HistogramTrees("tweedie", 2, 2).fit(same.withColumn("zero", F.lit(0.0)), "zero", F.col("customer_id"))
+
+
+def test_wide_rows_are_not_moved_into_blocks(table, monkeypatch):
+    """The stored rows were dealt anew, eight bytes a value, before they were packed in one."""
+    monkeypatch.setattr(type(table), "repartition", lambda *_: pytest.fail("rows are moved"))
+    assert len(HistogramTrees("squared", 2, 2).fit(table, "y", F.col("customer_id")).feature) == 2
