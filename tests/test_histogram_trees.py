@@ -114,3 +114,20 @@ def test_wide_rows_are_not_moved_into_blocks(table, monkeypatch):
     """The stored rows were dealt anew, eight bytes a value, before they were packed in one."""
     monkeypatch.setattr(type(table), "repartition", lambda *_: pytest.fail("rows are moved"))
     assert len(HistogramTrees("squared", 2, 2).fit(table, "y", F.col("customer_id")).feature) == 2
+
+
+def test_columns_of_a_block_lie_in_one_piece_and_only_allowed_ones_are_added_up(table):
+    """Scoring jumped through rows of all columns, and columns that a round may not use were added up as well."""
+    model = HistogramTrees("squared", 1, 2)
+    cuts = model._cuts(table.select("x"), 4)
+    blocks = model._blocks(table.selectExpr("x", "y", "customer_id AS k").coalesce(1), cuts)
+    (bins, y, keys, f), = histogram_trees._unpacked(0.0, 4, blocks.collect())
+    assert bins.flags.f_contiguous and bins.shape == (900, 4)
+    x = np.array([r[0] for r in table.select("x").collect()])
+    assert all((bins[:, c] == np.searchsorted(cuts[c], x[:, c])).all() for c in range(4))
+    sizes = np.array([len(c) + 1 for c in cuts])
+    starts = np.cumsum(sizes) - sizes
+    none = histogram_trees.Trees(np.full((1, 7), -1), np.zeros((1, 7)), np.zeros((1, 7)))
+    found, = histogram_trees.level_sums("squared", 0, 1.0, none, none, [0], starts, int(sizes.sum()), [1, 2], [(bins, y, keys, f)])
+    rows = found[:-2].reshape(3, -1)[2]
+    assert [int(rows[a:a + n].sum()) for a, n in zip(starts, sizes)] == [0, 900, 900, 0]
