@@ -68,3 +68,15 @@ def test_medians_of_whole_tables_shuffle_few_values(spark):
     assert found["d"] is None and found["e"] == 10_000.0 and found["f"] != found["f"]
     few = spark.createDataFrame([(1.0,), (4.0,)], "a double")
     assert exact_medians(few, ["a"]).first()["a"] == 2.5 and exact_medians(few.limit(0), ["a"]).first()["a"] is None
+
+
+def test_medians_of_few_values_are_not_laid_out(spark, monkeypatch):
+    """Some hundred values near a median were sorted into files of ranges first, for every design of every fit."""
+    from ledgerloom.operators import ordering
+    df = spark.createDataFrame([(i % 7 + 0.5, None if i % 3 else float(i), float("nan") if i % 4 else 1.0) for i in range(1000)], "a double, b double, c double")
+    monkeypatch.setattr(ordering, "FEW_VALUES", -1)
+    want = ordering.exact_medians(df, ["a", "b", "c"]).first()
+    monkeypatch.setattr(ordering, "FEW_VALUES", 1000)
+    monkeypatch.setattr(ordering, "_lay_out", lambda *_: pytest.fail("values are laid out"))
+    found = ordering.exact_medians(df, ["a", "b", "c"]).first()
+    assert found[:2] == want[:2] == (3.5, 499.5) and found["c"] != found["c"] and want["c"] != want["c"]
