@@ -131,3 +131,70 @@ def test_columns_of_a_block_lie_in_one_piece_and_only_allowed_ones_are_added_up(
     found, = histogram_trees.level_sums("squared", 0, 1.0, none, none, [0], starts, int(sizes.sum()), [1, 2], [(bins, y, keys, f)])
     rows = found[:-2].reshape(3, -1)[2]
     assert [int(rows[a:a + n].sum()) for a, n in zip(starts, sizes)] == [0, 900, 900, 0]
+
+
+def test_columns_of_few_bins_are_counted_together():
+    """Every column was counted on its own, three times over the rows."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 2, 120, 2, 3])
+    starts, x = np.cumsum(sizes) - sizes, np.asfortranarray((rng.random((700, 5)) * sizes).astype(np.uint8))
+    groups = histogram_trees.joint_columns([0, 1, 3, 4], sizes, 64)
+    assert sorted(c for g in groups for c in g) == [0, 1, 3, 4] and len(groups) == 1
+    tree = histogram_trees.Trees(np.array([[2, -1, 0, -1, -1, -1, -1]]), np.array([[60, 0, 1, 0, 0, 0, 0]]), np.zeros((1, 7)))
+    none = histogram_trees.Trees(np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 7)))
+    y, keys, f = rng.gamma(1, 1, 700), rng.integers(0, 1 << 62, 700).astype(np.uint64), rng.normal(size=700)
+    leaf = np.where(x[:, 2] <= 60, 1, np.where(x[:, 0] <= 1, 5, 6))
+    assert (tree.leaves(x, 0) == leaf).all()
+    for loss in ("tweedie", "squared"):
+        found, = histogram_trees.level_sums(loss, 4, 0.7, none, tree, [1, 6], starts, int(sizes.sum()), [0, 1, 2, 4], [(x[:400], y[:400], keys[:400], f[:400]), (x[400:], y[400:], keys[400:], f[400:])])
+        found, taken = found[:-2].reshape(3, 2, -1), picked(keys, 4, 0.7)
+        for n, node in enumerate((1, 6)):
+            rows = taken & (leaf == node)
+            for part, w in zip(found, (*derivatives(loss, y, f), np.ones(700))):
+                for c in (0, 1, 2, 4):
+                    assert part[n, starts[c]:starts[c] + sizes[c]] == pytest.approx(np.bincount(x[rows, c], w[rows], sizes[c]))
+        assert not found[:, :, starts[3]:starts[4]].any()
+
+
+def test_blocks_are_dealt_out_evenly(spark):
+    """Tasks held as many blocks as their files, and every job waited for the largest."""
+    lying = spark.sparkContext.parallelize(range(41), 3).mapPartitionsWithIndex(lambda p, rows: rows if p else [*rows][:2])
+    dealt = [histogram_trees.dealt(lying, 4).glom().collect() for _ in range(2)]
+    assert sorted(b for part in dealt[0] for b in part) == sorted(lying.collect()) and dealt[0] == dealt[1]
+    assert max(map(len, dealt[0])) - min(map(len, dealt[0])) <= 3
+
+
+def test_edges_of_bins_are_exact_ranks(spark, monkeypatch):
+    """Small summaries hold every value; larger ones are off by little."""
+    rng = np.random.default_rng(8)
+    x = np.c_[rng.gamma(1, 100, 6000), np.where(rng.random(6000) < 0.9, 0.0, rng.random(6000)), np.full(6000, 2.0)]
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    model = HistogramTrees("squared", 1, bins=64)
+    for f, cuts in enumerate(model._cuts(rows, 3)):
+        assert (cuts == np.unique(np.sort(x[:, f])[np.maximum(1, -(-np.arange(65) * 6000 // 64)) - 1])[:-1]).all()
+    summary = histogram_trees.condensed(*histogram_trees.merged([(np.sort(x[:, 0]), np.ones(6000, int))]), 500)
+    assert len(summary[0]) <= 501 and summary[1].sum() == 6000 and summary[0][0] == x[:, 0].min() and summary[0][-1] == x[:, 0].max()
+    ranks = np.searchsorted(np.sort(x[:, 0]), summary[0], side="right")
+    assert (ranks == np.cumsum(summary[1])).all()
+
+
+def test_a_hurdle_fits_its_design_once_and_its_parts_side_by_side(table, monkeypatch):
+    """The second model of a hurdle fitted the same design again, after the first had ended."""
+    from ledgerloom.operators import boosting
+    from ledgerloom.operators.design import Design
+    fits, running = [], []
+    fit, trees = Design.fit, HistogramTrees.fit
+    monkeypatch.setattr(Design, "fit", lambda self, rows: fits.append(1) or fit(self, rows))
+
+    def started(self, *args):
+        running.append(self.loss)
+        out = trees(self, *args)
+        running.append("end")
+        return out
+
+    monkeypatch.setattr(HistogramTrees, "fit", started)
+    rows = table.selectExpr("customer_id", "cutoff", "x[0] AS a", "x[1] AS b", "if(y > 1, y, 0) AS future_revenue_gbp")
+    model = boosting.BoostedHurdle(Design(numeric=("a", "b"), country=False), trees=3, depth=2).fit(rows)
+    assert len(fits) == 1 and sorted(running[:2]) == ["gamma", "logistic"]
+    alone = boosting.LogLinkBoosting(Design(numeric=("a", "b"), country=False), "gamma", 3, 2, 0.045, 10.0, 40, row_share=1.0).fit(rows)
+    assert (alone.trees.feature == model.amount.trees.feature).all() and np.allclose(alone.trees.value, model.amount.trees.value)
