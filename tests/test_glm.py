@@ -103,3 +103,15 @@ def test_blocks_of_a_task_are_not_held_together(spark):
     before = max(spark.sparkContext.parallelize([0], 1).mapPartitions(worker).collect())
     count, peaks = glm.summed(blocks, peak)
     assert count == 120 and peaks / 120 - before < 150_000  # kB
+
+
+def test_stored_blocks_lie_in_small_row_groups(spark, monkeypatch):
+    """A hundred blocks were held, and read again, as one row group."""
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(glm, "BLOCK_VALUES", 1 << 18)  # two megabytes
+    rows = spark.range(0, 40 * 2**14, 1, 1).select(array_to_vector(F.array(*[F.rand(i) for i in range(15)])).alias("features"), F.rand(99).alias("y"))
+    blocks = glm.packed(rows, ["y"])
+    (file,) = [f.removeprefix("file:").replace("///", "/") for f in blocks.inputFiles()]
+    parts = [pq.ParquetFile(file).metadata.row_group(i) for i in range(pq.ParquetFile(file).metadata.num_row_groups)]
+    assert sum(p.num_rows for p in parts) >= 40 and max(p.total_byte_size for p in parts) <= 20 << 20
+    assert blocks.agg(F.sum("n")).first()[0] == 40 * 2**14
