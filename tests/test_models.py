@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -210,3 +210,60 @@ def test_a_killed_comparison_goes_on(spark, tmp_path):
     runs.write(predictions.filter("model = 'flaky'").withColumn("predicted", F.lit(9.0)))
     replaced = runs.predictions(spark, [("flaky", "6m", months[1]), ("counting", "6m", months[1])])
     assert sorted((r["model"], r["predicted"]) for r in replaced.collect()) == [("counting", 7.0)] * 4 + [("flaky", 9.0)] * 4
+
+
+def test_candidates_of_an_origin_are_fitted_side_by_side(spark):
+    """A candidate waited for the one before, so a pair that meets could not end."""
+    from threading import Barrier
+    panel = spark.createDataFrame([(i, c, e, True, 100.0) for i, (c, e) in enumerate([(date(2010, 6, 1), date(2010, 12, 1)), (date(2011, 6, 1), date(2011, 12, 1))])],
+                                  "customer_id bigint, cutoff date, horizon_end_exclusive date, label_mature boolean, future_revenue_gbp double")
+    meeting = Barrier(2, timeout=60)
+
+    def meets(train, cohort):
+        meeting.wait()
+        return cohort.withColumn("predicted", F.lit(1.0))
+
+    _, statuses = models.rolling_origins(panel, [date(2011, 6, 1)], {"one": meets, "other": meets}, "6m")
+    assert {r["model"]: r["status"] for r in statuses.collect()} == {"one": "completed", "other": "completed"}
+
+
+def test_panels_of_two_horizons_are_built_together(spark, monkeypatch):
+    """The features, which both share, were built once per horizon."""
+    from ledgerloom.operators import panel as panels
+    from ledgerloom.plans import inputs
+    from ledgerloom.settings import NINETY_DAYS, SIX_MONTHS
+    lines = [(c, f"{c}-{k}", f"{10000 + (c * k) % 7}", date(2000, 1, 1) + timedelta(days=17 * k + c), 1.0 + k, 2.0, f"N{c % 2}", 100 * c + k)
+             for c in range(1, 9) for k in range(30 + c)]
+    sold = spark.createDataFrame(lines, "customer_id long, invoice_id string, stock_code string, purchase_day date, quantity double, price double, country string, line_position long").selectExpr(
+        "*", "CAST(purchase_day AS TIMESTAMP_NTZ) AS invoice_date", "CAST(quantity * price AS DECIMAL(18, 4)) AS revenue")
+    credited = sold.filter("line_position % 5 = 0").selectExpr("customer_id", "invoice_id", "purchase_day AS credit_day", "revenue AS credit_amount_abs")
+    built = []
+    build = panels.build_panel
+    monkeypatch.setattr(panels, "build_panel", lambda *a, **k: built.append(1) or build(*a, **k))
+    both = inputs.labelled_snapshots(sold, credited, NINETY_DAYS, SIX_MONTHS)
+    assert len(built) == 1
+    for horizon in (NINETY_DAYS, SIX_MONTHS):
+        alone = inputs.labelled_snapshots(sold, credited, horizon)
+        mine = both.filter(F.col("horizon") == horizon.name).select(*alone.columns)
+        rows = [sorted(map(str, x.collect())) for x in (alone, mine)]
+        assert len(rows[0]) > 8 and rows[0] == rows[1]
+
+
+def test_networks_of_an_ensemble_share_their_design_and_rows(spark, monkeypatch):
+    """Every seed fitted the design and the scaling, and built the rows, again."""
+    from ledgerloom.settings import WEEK_CHANNELS
+    rng = np.random.default_rng(6)
+    weeks = lambda r: [tuple(float(v) for v in w) for w in r]
+    made = [(i, DAY, float(rng.normal()), "x", i % 2, weeks(rng.random((26, len(WEEK_CHANNELS))) + i % 2)) for i in range(60)]
+    channels = ", ".join(f"{c}: float" for c in WEEK_CHANNELS)
+    rows = spark.createDataFrame(made, f"customer_id long, cutoff date, a double, country string, inactive int, weeks array<struct<{channels}>>")
+    make = lambda seed: models.WeeklyNetwork(plain_design(["a"]), hidden=3, iterations=5, seed=seed)
+    alone = [make(seed).fit(rows).predict(rows, "p") for seed in (1, 2)]
+    fits = []
+    fit, scaling = Design.fit, models.sequence_scaling
+    monkeypatch.setattr(Design, "fit", lambda self, train: fits.append("design") or fit(self, train))
+    monkeypatch.setattr(models, "sequence_scaling", lambda *a: fits.append("scaling") or scaling(*a))
+    found = models.seed_ensemble(make, [1, 2], rows, rows)
+    assert sorted(fits) == ["design", "scaling"]
+    read = lambda df: np.array([r["p"] for r in df.orderBy("customer_id").select("p").collect()])
+    assert read(found) == pytest.approx((read(alone[0]) + read(alone[1])) / 2, abs=1e-9)

@@ -80,3 +80,24 @@ def test_medians_of_few_values_are_not_laid_out(spark, monkeypatch):
     monkeypatch.setattr(ordering, "_lay_out", lambda *_: pytest.fail("values are laid out"))
     found = ordering.exact_medians(df, ["a", "b", "c"]).first()
     assert found[:2] == want[:2] == (3.5, 499.5) and found["c"] != found["c"] and want["c"] != want["c"]
+
+
+def test_medians_take_no_approximate_percentile_and_no_row_per_value(spark, monkeypatch):
+    """Bounds came from percentile_approx and every value was made a row before those near the median were kept."""
+    import numpy as np
+    from ledgerloom.operators import ordering
+    rng = np.random.default_rng(2)
+    x = np.round(rng.gamma(1, 50, (4001, 3)), 2)
+    x[:, 1] = np.where(rng.random(4001) < 0.7, 0.0, x[:, 1])
+    rows = [(*map(float, r[:2]), None if i % 3 else float(r[2]), float("nan") if i % 5 else -1.0, None) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    for name in ("percentile_approx", "explode"):
+        monkeypatch.setattr(ordering.F, name, lambda *_, name=name: pytest.fail(name))
+    monkeypatch.setattr(ordering, "CUT_POINTS", 300)
+    near, most = ordering._near_medians(df, ["a", "b", "c", "d", "e"])
+    assert most > 0 and near.count() < 5000
+    monkeypatch.undo()
+    found = ordering.exact_medians(df, ["a", "b", "c", "d", "e"]).first()
+    kept = [r[2] for r in rows if r[2] is not None]
+    assert (found["a"], found["b"], found["c"]) == pytest.approx((np.median(x[:, 0]), np.median(x[:, 1]), np.median(kept)))
+    assert np.isnan(found["d"]) and found["e"] is None
