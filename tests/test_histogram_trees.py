@@ -169,6 +169,7 @@ def test_edges_of_bins_are_exact_ranks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = np.c_[rng.gamma(1, 100, 6000), np.where(rng.random(6000) < 0.9, 0.0, rng.random(6000)), np.full(6000, 2.0)]
     rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    monkeypatch.setattr(histogram_trees, "FEW_ROWS", 0)
     model = HistogramTrees("squared", 1, bins=64)
     for f, cuts in enumerate(model._cuts(rows, 3)):
         assert (cuts == np.unique(np.sort(x[:, f])[np.maximum(1, -(-np.arange(65) * 6000 // 64)) - 1])[:-1]).all()
@@ -198,3 +199,17 @@ def test_a_hurdle_fits_its_design_once_and_its_parts_side_by_side(table, monkeyp
     assert len(fits) == 1 and sorted(running[:2]) == ["gamma", "logistic"]
     alone = boosting.LogLinkBoosting(Design(numeric=("a", "b"), country=False), "gamma", 3, 2, 0.045, 10.0, 40, row_share=1.0).fit(rows)
     assert (alone.trees.feature == model.amount.trees.feature).all() and np.allclose(alone.trees.value, model.amount.trees.value)
+
+
+@pytest.mark.parametrize("loss,label", [("tweedie", "y"), ("absolute", "y")])
+def test_many_rows_are_fitted_as_few_are(table, monkeypatch, loss, label):
+    """Dealt blocks, columns counted together and edges by ranks give the same trees."""
+    def fit():
+        return HistogramTrees(loss, 4, 3, 0.2, 5.0, 15, row_share=0.8, store_every=2).fit(table, label, F.col("customer_id"))
+
+    few = fit()
+    monkeypatch.setattr(histogram_trees, "FEW_ROWS", 0)
+    monkeypatch.setattr(histogram_trees, "SMALL_BLOCK", 100)
+    monkeypatch.setattr(histogram_trees, "SMALL_TASK", 500)
+    many = fit()
+    assert (few.feature == many.feature).all() and (few.threshold == many.threshold).all() and np.allclose(few.value, many.value)
